@@ -1,4 +1,358 @@
-"""The queries by name, and their SQL."""
+"""The queries by name, each over whole tables, and their SQL for DuckDB."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textweir.functions import distance as dist
+from textweir.functions.text import normalize_text
+from textweir.jobs.derived import documents, keyword_queries, log_lines
+from textweir.operators import lifecycle, matching, verify, wordjoin
+from textweir.sources import commands as cmd
+from textweir.streaming import streams
+
+
+def _ids(df: DataFrame, *names: str) -> DataFrame:
+    """Arrays of ids as comma-joined text, so that results compare by value."""
+    return df.withColumns({n: F.concat_ws(",", F.transform(n, lambda x: x.cast("string"))) for n in names or ("query_ids",)})
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return cmd.parse_commands(log_lines(spark, d))
+
+
+def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return matching.doc_words(documents(spark, d)), matching.query_words(keyword_queries(spark, d))
+
+
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    dw, qw = _words(spark, d)
+    return wordjoin.vocabulary(dw), wordjoin.dictionary(qw)
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='textweir-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def read_command_log(spark, d):
+    """S1: the derived log, written as text and read back in its global order."""
+    path = _shared(spark, "log")
+    log_lines(spark, d).orderBy("seq", "value").select("value").write.text(path)
+    return cmd.read_command_log(spark, path)
+
+
+def parse_starts(spark, d):
+    return cmd.parse_starts(_parsed(spark, d))
+
+
+def parse_ends(spark, d):
+    return cmd.parse_ends(_parsed(spark, d))
+
+
+def parse_documents(spark, d):
+    return cmd.parse_documents(_parsed(spark, d))
+
+
+def _expected_lines(spark, d):
+    """The `r` line of each document for the exact queries."""
+    docs, q = documents(spark, d), keyword_queries(spark, d)
+    results = matching.document_results(docs, matching.match_exact(docs, q))
+    return cmd.result_lines(results)
+
+
+def parse_expected(spark, d):
+    lines = _expected_lines(spark, d).select((F.col("doc_id") * 100 + 53).alias("seq"), "value")
+    return _ids(cmd.parse_expected(cmd.parse_commands(lines)))
+
+
+def validate_commands(spark, d):
+    """S6: every raw document and benchmark text as a command, sound or not, with the reason."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") * 2).alias("seq"), F.concat(F.lit("m "), F.col("doc_id").cast("string"), F.lit(" 1 "), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.lower("text"))).alias("value"))
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select((F.col("item_id") * 2 + 1).alias("seq"), F.concat(F.lit("s "), F.floor(F.col("item_id") / 2).cast("string"), F.lit(" "), (F.col("item_id") % 3).cast("string"), F.lit(" "), (F.col("item_id") % 5).cast("string"), F.lit(" 1 "), F.split(normalize_text(F.col("text")), " ")[F.lit(1)]).alias("value"))
+    return cmd.with_reasons(cmd.parse_commands(docs.unionByName(items))).select("seq", "cmd", "id", F.coalesce("reason", F.lit("good")).alias("reason"))
+
+
+def write_results(spark, d):
+    return _expected_lines(spark, d)
+
+
+def query_words(spark, d):
+    return _words(spark, d)[1]
+
+
+def doc_words(spark, d):
+    return _words(spark, d)[0]
+
+
+def normalized_text(spark, d):
+    return documents(spark, d).select("doc_id", "text")
+
+
+def _pairs(spark, d):
+    """Neighbouring words of each query text, a small set of word pairs."""
+    _, qw = _words(spark, d)
+    a = qw.select("query_id", "pos", F.col("word").alias("a"), "match_type", "match_dist")
+    b = qw.select("query_id", (F.col("pos") - 1).alias("pos"), F.col("word").alias("b"))
+    return a.join(b, ["query_id", "pos"])
+
+
+def exact_match(spark, d):
+    return _pairs(spark, d).select("query_id", "pos", dist.exact_match(F.col("a"), F.col("b")).alias("same"))
+
+
+def hamming_distance(spark, d):
+    return _pairs(spark, d).select("query_id", "pos", dist.hamming_distance(F.col("a"), F.col("b")).alias("hamming"))
+
+
+def edit_distance(spark, d):
+    return _pairs(spark, d).select("query_id", "pos", dist.edit_distance(F.col("a"), F.col("b")).alias("edit"))
+
+
+def word_matches(spark, d):
+    return _pairs(spark, d).select("query_id", "pos", dist.word_matches(F.col("a"), F.col("b"), F.col("match_type"), F.col("match_dist")).alias("matches"))
+
+
+def query_lifetimes(spark, d):
+    p = _parsed(spark, d)
+    return lifecycle.query_lifetimes(cmd.parse_starts(p), cmd.parse_ends(p)).select("query_id", "start_seq", "end_seq")
+
+
+def active_queries(spark, d):
+    """J2: queries active at the middle of the clock."""
+    return lifecycle.active_queries(keyword_queries(spark, d), 1005).select("query_id")
+
+
+def active_at_document(spark, d):
+    return lifecycle.active_at_document(documents(spark, d), keyword_queries(spark, d))
+
+
+def exact_word_join(spark, d):
+    return wordjoin.exact_word_join(*_tables(spark, d))
+
+
+def hamming_word_join(spark, d):
+    return wordjoin.hamming_word_join(*_tables(spark, d), 2)
+
+
+def edit_word_join(spark, d):
+    return wordjoin.edit_word_join(*_tables(spark, d), 2)
+
+
+def edit_word_join_by_segments(spark, d):
+    """J6 as for a dictionary too large to broadcast."""
+    return wordjoin.edit_word_join(*_tables(spark, d), 1, broadcast_words=0)
+
+
+def word_match_table(spark, d):
+    v, k = _tables(spark, d)
+    return wordjoin.word_match_table(v, wordjoin.index_thresholds(k))
+
+
+def first_word_candidates(spark, d):
+    return matching.first_word_candidates(*_words(spark, d))
+
+
+def match_exact(spark, d):
+    return matching.match_exact(documents(spark, d), keyword_queries(spark, d))
+
+
+def match_hamming(spark, d):
+    return matching.match_hamming(documents(spark, d), keyword_queries(spark, d))
+
+
+def match_edit(spark, d):
+    return matching.match_edit(documents(spark, d), keyword_queries(spark, d))
+
+
+def match_documents(spark, d):
+    return matching.match_documents(documents(spark, d), keyword_queries(spark, d))
+
+
+def union_matches(spark, d):
+    docs, q = documents(spark, d), keyword_queries(spark, d)
+    return matching.union_matches(matching.match_exact(docs, q), matching.match_hamming(docs, q), matching.match_edit(docs, q))
+
+
+def _results(spark, d):
+    docs = documents(spark, d)
+    return docs, matching.document_results(docs, matching.match_documents(docs, keyword_queries(spark, d)))
+
+
+def document_results(spark, d):
+    return _ids(_results(spark, d)[1])
+
+
+def unmatched_documents(spark, d):
+    docs = documents(spark, d)
+    return matching.unmatched_documents(docs, matching.match_documents(docs, keyword_queries(spark, d)))
+
+
+def vocabulary(spark, d):
+    """A1: distinct words by length and first letter."""
+    return _tables(spark, d)[0].groupBy(F.length("word").alias("len"), F.substring("word", 1, 1).alias("first")).agg(F.count("*").alias("n"))
+
+
+def dictionary(spark, d):
+    return _tables(spark, d)[1].drop("max_hamming", "max_edit")
+
+
+def index_thresholds(spark, d):
+    return wordjoin.index_thresholds(_tables(spark, d)[1])
+
+
+def best_distances(spark, d):
+    dw, qw = _words(spark, d)
+    return matching.best_distances(dw, wordjoin.word_match_table(wordjoin.vocabulary(dw), wordjoin.index_thresholds(wordjoin.dictionary(qw))))
+
+
+def covered_words(spark, d):
+    return matching.covered_words(matching.word_hits(*_words(spark, d)))
+
+
+def assign_epochs(spark, d):
+    return lifecycle.assign_epochs(_parsed(spark, d)).select("seq", "cmd", "id", "epoch")
+
+
+def first_by_seq(spark, d):
+    """W2: of the queries' starts with ids folded together, the first of each id."""
+    p = _parsed(spark, d).where("cmd = 's'").withColumn("id", F.floor(F.col("id") / 2000))
+    return cmd.first_by_seq(p.withColumn("seq", F.col("seq") * 1000 + F.col("match_dist") * 10 + F.col("match_type"))).select("cmd", "id", "seq")
+
+
+def sorted_ids(spark, d):
+    """O1: the non-empty results."""
+    return _ids(_results(spark, d)[1].where("num_res > 0")).select("doc_id", "query_ids")
+
+
+def in_arrival_order(spark, d):
+    docs, results = _results(spark, d)
+    return _ids(matching.in_arrival_order(results, docs)).select("seq", "doc_id", "num_res")
+
+
+def undelivered(spark, d):
+    docs, results = _results(spark, d)
+    return matching.undelivered(results, docs.where("doc_id % 3 = 0")).select("doc_id", "num_res")
+
+
+def verify_results(spark, d):
+    """V1: the results of all queries against those of the exact ones alone."""
+    docs, results = _results(spark, d)
+    expected = matching.document_results(docs, matching.match_exact(docs, keyword_queries(spark, d)))
+    return _ids(verify.verify_results(results, expected), "missing_ids", "extra_ids")
+
+
+def _stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = _shared(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+
+
+def match_stream(spark, d):
+    """T1: the documents as a stream against the query table."""
+    out = _shared(spark, "matched")
+    streams.match_stream(_stream(spark, documents(spark, d), "docs"), keyword_queries(spark, d), out, _shared(spark, "state")).awaitTermination()
+    return _ids(streams.delivered(spark, out)).select("doc_id", "num_res", "query_ids")
+
+
+def replay_stream(spark, d):
+    """T2 to T4: the command log as a stream; the registry holds the queries, results are delivered once."""
+    out = _shared(spark, "replayed")
+    streams.replay_stream(_stream(spark, _parsed(spark, d), "commands"), _shared(spark, "registry"), out, _shared(spark, "state")).awaitTermination()
+    return _ids(streams.delivered(spark, out)).select("doc_id", "num_res", "query_ids")
+
+
+QUERIES = {f.__name__: f for f in (
+    read_command_log, parse_starts, parse_ends, parse_documents, parse_expected, validate_commands, write_results,
+    query_words, doc_words, normalized_text, exact_match, hamming_distance, edit_distance, word_matches,
+    query_lifetimes, active_queries, active_at_document, exact_word_join, hamming_word_join, edit_word_join, edit_word_join_by_segments, word_match_table, first_word_candidates,
+    match_exact, match_hamming, match_edit, match_documents, document_results, unmatched_documents,
+    vocabulary, dictionary, index_thresholds, best_distances, covered_words,
+    assign_epochs, first_by_seq, sorted_ids, in_arrival_order, union_matches, undelivered, match_stream, replay_stream, verify_results)}
+
+_NORM = "lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
+_BASE = rf"""
+WITH bw AS (SELECT item_id, list_filter(string_split({_NORM}, ' '), lambda x: length(x) BETWEEN 4 AND 31) AS ws FROM benchmark),
+bc AS (SELECT item_id, ws, unnest(range(0, ceil(len(ws) / 5.0)::BIGINT)) AS c FROM bw WHERE len(ws) > 0),
+q0 AS (SELECT item_id * 1000 + c AS query_id, ws[5*c+1 : 5*c+1+(item_id+c)%5] AS words, ((item_id + c) % 3)::INTEGER AS match_type,
+  (CASE WHEN (item_id + c) % 3 = 0 THEN 0 ELSE 1 + c % 3 END)::INTEGER AS match_dist, 10 * ((item_id * 13 + c * 7) % 200) + 1 AS start_seq FROM bc),
+q AS (SELECT *, CASE WHEN query_id % 4 <> 0 THEN start_seq + 10 * (50 + query_id % 100) END AS end_seq FROM q0),
+qw AS (SELECT query_id, len(words)::INTEGER AS n_words, match_type, match_dist, start_seq, end_seq, unnest(range(len(words)))::INTEGER AS pos, unnest(words) AS word FROM q),
+d AS (SELECT doc_id, 10 * doc_id + 5 AS seq, {_NORM} AS text FROM documents),
+dl AS (SELECT doc_id, seq, list_filter(string_split(text, ' '), lambda x: length(x) BETWEEN 4 AND 31) AS ws FROM d),
+dw AS (SELECT doc_id, seq, unnest(list_distinct(ws)) AS word FROM dl),
+v AS (SELECT DISTINCT word FROM dw),
+k AS (SELECT word, max(match_dist) FILTER (match_type < 2) AS max_hamming, max(match_dist) FILTER (match_type = 2) AS max_edit FROM qw GROUP BY 1)
+"""
+_WM = r""", w0 AS (SELECT v.word AS doc_word, k.word AS query_word, max_hamming, max_edit, CASE WHEN length(v.word) = length(k.word) THEN hamming(v.word, k.word) END AS h, levenshtein(v.word, k.word) AS e
+  FROM v JOIN k ON length(v.word) BETWEEN length(k.word) - 3 AND length(k.word) + 3),
+wm AS (SELECT doc_word, query_word, CASE WHEN h <= max_hamming THEN h END::INTEGER AS hamming, CASE WHEN e <= max_edit THEN e END::INTEGER AS edit FROM w0 WHERE h <= max_hamming OR e <= max_edit)
+"""
+_HITS = _WM + r""", hw AS (SELECT DISTINCT dw.doc_id, qw.query_id, qw.match_type, qw.pos, qw.n_words FROM dw JOIN wm ON dw.word = wm.doc_word JOIN qw ON qw.word = wm.query_word
+  WHERE CASE WHEN match_type = 2 THEN edit <= match_dist ELSE hamming <= match_dist END AND start_seq < dw.seq AND (end_seq IS NULL OR dw.seq < end_seq)),
+m AS (SELECT doc_id, query_id, match_type FROM hw GROUP BY doc_id, query_id, match_type, n_words HAVING count(*) = n_words)
+"""
+_RES = ", res AS (SELECT d.doc_id, d.seq, count(m.query_id)::INTEGER AS num_res, coalesce(string_agg(m.query_id::VARCHAR, ',' ORDER BY m.query_id), '') AS query_ids FROM d LEFT JOIN m ON d.doc_id = m.doc_id{} GROUP BY 1, 2)\n"
+_PAIRS = ", p AS (SELECT a.query_id, a.pos, a.word AS a, b.word AS b, a.match_type, a.match_dist FROM qw a JOIN qw b ON a.query_id = b.query_id AND b.pos = a.pos + 1)\n"
+_LOG = ", log AS (SELECT start_seq * 10 AS seq, 's' AS cmd, query_id AS id FROM q UNION ALL SELECT end_seq * 10 + 1, 'e', query_id FROM q WHERE end_seq IS NOT NULL UNION ALL SELECT seq * 10 + 2, 'm', doc_id FROM d)\n"
+_ALL, _EXACT = _BASE + _HITS + _RES.format(""), _BASE + _HITS + _RES.format(" AND m.match_type = 0")
+_HAM = "CASE WHEN length(a) = length(b) THEN hamming(a, b) END"
+_RAW = r"""WITH c AS (SELECT doc_id * 2 AS seq, 'm' AS cmd, doc_id AS id, NULL AS dist, NULL AS typ, CASE WHEN doc_id % 2 = 0 THEN text ELSE lower(text) END AS body FROM documents
+  UNION ALL SELECT item_id * 2 + 1, 's', item_id // 2, item_id % 5, item_id % 3, string_split(""" + _NORM + r""", ' ')[2] FROM benchmark),
+r AS (SELECT seq, cmd, id, CASE WHEN cmd = 's' AND (dist > 3 OR (typ = 0 AND dist <> 0)) THEN 'distance'
+  WHEN NOT regexp_full_match(body, '[a-z ]*[a-z][a-z ]*') THEN 'characters' WHEN cmd = 'm' AND length(body) > 4194304 THEN 'too long'
+  WHEN len(list_filter(string_split(body, ' '), lambda x: x <> '' AND NOT length(x) BETWEEN 4 AND 31)) > 0 THEN 'word length' END AS reason FROM c)
+SELECT seq, cmd, id, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY cmd, id, reason IS NULL ORDER BY seq) > 1 THEN 'id used before' END, 'good') AS reason FROM r"""
+
+SQL = {
+    "parse_starts": _BASE + "SELECT start_seq * 10 AS seq, query_id, array_to_string(words, ' ') AS query_str, match_type, match_dist FROM q",
+    "parse_ends": _BASE + "SELECT end_seq * 10 + 1 AS seq, query_id FROM q WHERE end_seq IS NOT NULL",
+    "parse_documents": _BASE + "SELECT seq * 10 + 2 AS seq, doc_id, CASE WHEN len(ws) > 0 THEN array_to_string(ws, ' ') END AS text FROM dl",
+    "parse_expected": _EXACT + "SELECT doc_id * 100 + 53 AS seq, doc_id, num_res, query_ids FROM res",
+    "validate_commands": _RAW,
+    "write_results": _EXACT + "SELECT doc_id, 'r ' || doc_id || ' ' || num_res || CASE WHEN num_res > 0 THEN ' ' || replace(query_ids, ',', ' ') ELSE '' END AS value FROM res",
+    "query_words": _BASE + "SELECT * FROM qw",
+    "doc_words": _BASE + "SELECT * FROM dw",
+    "normalized_text": _BASE + "SELECT doc_id, text FROM d",
+    "exact_match": _BASE + _PAIRS + "SELECT query_id, pos, a = b AS same FROM p",
+    "hamming_distance": _BASE + _PAIRS + f"SELECT query_id, pos, ({_HAM})::INTEGER AS hamming FROM p",
+    "edit_distance": _BASE + _PAIRS + "SELECT query_id, pos, levenshtein(a, b)::INTEGER AS edit FROM p",
+    "word_matches": _BASE + _PAIRS + f"SELECT query_id, pos, CASE match_type WHEN 0 THEN a = b WHEN 1 THEN coalesce({_HAM} <= match_dist, false) ELSE levenshtein(a, b) <= match_dist END AS matches FROM p",
+    "query_lifetimes": _BASE + "SELECT query_id, start_seq * 10 AS start_seq, end_seq * 10 + 1 AS end_seq FROM q",
+    "active_queries": _BASE + "SELECT query_id FROM q WHERE start_seq < 1005 AND (end_seq IS NULL OR 1005 < end_seq)",
+    "active_at_document": _BASE + "SELECT doc_id, query_id FROM d JOIN q ON start_seq < seq AND (end_seq IS NULL OR seq < end_seq)",
+    "exact_word_join": _BASE + "SELECT word AS doc_word, word AS query_word FROM v JOIN k USING (word)",
+    "hamming_word_join": _BASE + "SELECT v.word AS doc_word, k.word AS query_word, hamming(v.word, k.word)::INTEGER AS hamming FROM v JOIN k ON length(v.word) = length(k.word) WHERE CASE WHEN length(v.word) = length(k.word) THEN hamming(v.word, k.word) END <= 2",
+    "edit_word_join": _BASE + "SELECT v.word AS doc_word, k.word AS query_word, levenshtein(v.word, k.word)::INTEGER AS edit FROM v JOIN k ON length(v.word) BETWEEN length(k.word) - 2 AND length(k.word) + 2 WHERE levenshtein(v.word, k.word) <= 2",
+    "edit_word_join_by_segments": _BASE + "SELECT v.word AS doc_word, k.word AS query_word, levenshtein(v.word, k.word)::INTEGER AS edit FROM v JOIN k ON length(v.word) BETWEEN length(k.word) - 1 AND length(k.word) + 1 WHERE levenshtein(v.word, k.word) <= 1",
+    "word_match_table": _BASE + _WM + "SELECT * FROM wm",
+    "first_word_candidates": _BASE + _HITS + "SELECT DISTINCT doc_id, query_id FROM hw WHERE pos = 0",
+    "match_exact": _BASE + _HITS + "SELECT doc_id, query_id FROM m WHERE match_type = 0",
+    "match_hamming": _BASE + _HITS + "SELECT doc_id, query_id FROM m WHERE match_type = 1",
+    "match_edit": _BASE + _HITS + "SELECT doc_id, query_id FROM m WHERE match_type = 2",
+    "match_documents": _BASE + _HITS + "SELECT doc_id, query_id FROM m",
+    "union_matches": _BASE + _HITS + "SELECT doc_id, query_id FROM m",
+    "document_results": _ALL + "SELECT doc_id, num_res, query_ids FROM res",
+    "unmatched_documents": _ALL + "SELECT doc_id FROM res WHERE num_res = 0",
+    "vocabulary": _BASE + "SELECT length(word)::INTEGER AS len, word[1] AS first, count(*)::BIGINT AS n FROM v GROUP BY 1, 2",
+    "dictionary": _BASE + "SELECT word, count(*) FILTER (match_type < 2)::BIGINT AS n_hamming, " + ", ".join(f"count(*) FILTER (match_type = 2 AND match_dist = {i})::BIGINT AS n_edit_{i}" for i in range(4)) + " FROM qw GROUP BY 1",
+    "index_thresholds": _BASE + "SELECT * FROM k",
+    "best_distances": _BASE + _WM + "SELECT doc_id, query_word, min(hamming) AS best_hamming, min(least(edit, hamming)) AS best_edit FROM dw JOIN wm ON dw.word = wm.doc_word GROUP BY 1, 2",
+    "covered_words": _BASE + _HITS + "SELECT doc_id, query_id, n_words, count(*)::INTEGER AS n_covered FROM hw GROUP BY 1, 2, 3",
+    "assign_epochs": _BASE + _LOG + "SELECT seq, cmd, id, sum(CASE WHEN cmd <> 'm' THEN 1 ELSE 0 END) OVER (ORDER BY seq)::BIGINT AS epoch FROM log",
+    "first_by_seq": _BASE + "SELECT 's' AS cmd, query_id // 2000 AS id, min(start_seq * 10000 + match_dist * 10 + match_type) AS seq FROM q GROUP BY 2",
+    "sorted_ids": _ALL + "SELECT doc_id, query_ids FROM res WHERE num_res > 0",
+    "in_arrival_order": _ALL + "SELECT seq, doc_id, num_res FROM res",
+    "undelivered": _ALL + "SELECT doc_id, num_res FROM res WHERE doc_id % 3 <> 0",
+    "match_stream": _ALL + "SELECT doc_id, num_res, query_ids FROM res",
+    "replay_stream": _ALL + "SELECT doc_id, num_res, query_ids FROM res",
+    "verify_results": _ALL + ", x AS (SELECT d.doc_id, count(m.query_id) FILTER (m.match_type <> 0) AS n, coalesce(string_agg(m.query_id::VARCHAR, ',' ORDER BY m.query_id) FILTER (m.match_type <> 0), '') AS extra_ids FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY 1)\nSELECT doc_id, CASE WHEN n = 0 THEN 'ok' ELSE 'wrong' END AS status, '' AS missing_ids, extra_ids FROM x",
+}
