@@ -46,5 +46,5 @@ def assign_epochs(commands: DataFrame, parts: int = 64) -> DataFrame:
     ranged = commands.repartitionByRange(parts, "seq").withColumn("part", F.spark_partition_id())
     sums = ranged.groupBy("part").agg(F.sum(change).alias("n"))
     before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.sum(change).over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum(change).over(Window.partitionBy("part").orderBy("seq"))  # rows of one seq share their number
     return ranged.withColumn("within", within).join(F.broadcast(before), "part").withColumn("epoch", F.col("within") + F.col("before")).drop("part", "within", "before")

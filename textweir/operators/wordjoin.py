@@ -68,7 +68,8 @@ def edit_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE, b
         start = lambda i: F.floor(F.col("len") * i / (k + 1)).cast("int")
         cut = q.select("query_word", "len", F.explode(_segments("query_word", k)).alias("s")).select("query_word", "len", "s.no", "s.piece")
         left = v.select("doc_word", near).where("len > 0")
-        asks = F.flatten(F.array(*(F.transform(F.sequence(start(i) + 1 - k, start(i) + 1 + k), lambda p, i=i: F.struct(F.lit(i).alias("no"), p.alias("p"), (start(i + 1) - start(i)).alias("n"))) for i in range(k + 1))))
+        shifted = lambda i: F.transform(F.sequence(start(i) + 1 - k, start(i) + 1 + k), lambda p: F.struct(F.lit(i).alias("no"), p.alias("p"), (start(i + 1) - start(i)).alias("n")))
+        asks = F.flatten(F.array(*(shifted(i) for i in range(k + 1))))
         left = left.select("doc_word", "len", F.explode(asks).alias("a")).where("a.p >= 1 and a.p + a.n - 1 <= length(doc_word)")
         left = left.select("doc_word", "len", "a.no", F.substring(F.col("doc_word"), F.col("a.p"), F.col("a.n")).alias("piece")).distinct()
         pairs = left.join(cut, ["len", "no", "piece"]).select("doc_word", "query_word").distinct()
