@@ -107,7 +107,7 @@ def _linked(given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
     dropped(multi)
     spark = given.sparkSession
     comps = spark.createDataFrame([], "node long, component long")
-    good = tried = None
+    tried = None
     left = members
     count = 1
     while True:
@@ -115,6 +115,8 @@ def _linked(given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
         now = left.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         now = stored(now.join(split.select("key"), "key"), "round")
+        if not now.take(1):
+            return comps
         by_rank = Window.partitionBy("key").orderBy(F.desc("rank"))
         centres = stored(now.withColumn("at", F.row_number().over(by_rank)).where(F.col("at") <= count).select("key", F.col("rep").alias("c"), F.col("n_shingles").alias("nc"), F.col("component").alias("cc")), "centres")
         pairs = now.join(centres, "key").where((F.col("component") != F.col("cc")) & (F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * percent))
@@ -125,11 +127,9 @@ def _linked(given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
         tested = stored(_confirmed(pairs, sets, percent), "tested")
         tried = pairs if tried is None else stored(tried.unionByName(pairs), "tried")
         fresh = tested.where("linked").select("a", "b")
-        good = fresh if good is None else good.unionByName(fresh)
-        comps = stored(components(good), "components")
+        if fresh.take(1):
+            comps = stored(components(fresh.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
         left = stored(now.drop("component").join(centres.select("key", F.col("c").alias("rep")), ["key", "rep"], "left_anti"), "left")
-        if not left.take(1):
-            return comps
         count *= 2
 
 

@@ -154,6 +154,11 @@ def crc32_text(column: Column | str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) if isinstance(column, str) else F.crc32(column.cast("string").cast("binary"))
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Tells one set of edges from another."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (node, component), the component being its smallest node.
 
@@ -164,7 +169,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = edges.sparkSession
     x, y = F.col(a), F.col(b)
     now = stored(edges.where(x.isNotNull() & y.isNotNull()).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u > v").distinct(), "edges")
-    mark = None
+    mark = _mark(now)
     while True:
         # Large star: each node ties its larger neighbours to the smallest of its neighbours and itself.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -175,11 +180,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         after = stored(small, "edges")
-        found = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        found = _mark(after)
         dropped(now)
-        if (found.n, found.s) == mark or not found.n:
+        if found == mark:
             break
-        now, mark = after, (found.n, found.s)
+        now, mark = after, found
     tops = after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
