@@ -5,7 +5,7 @@ their sets is at least 0.75. Each set is hashed once; the smallest hash of each
 signature, and an empty bin copies the first full one in a random order of its own. Sets that share a band meet in a
 bucket. There each document is compared only with the bucket's centre (the member that meets most others anywhere),
 and every comparison is settled on the full sets. Members that are not yet connected to each other after that get
-further centres, one, two, four and so on of each bucket, until each bucket is connected or each of its pairs that
+further centres, four, sixteen and so on of each bucket, until each bucket is connected or each of its pairs that
 may still matter has been compared. So no pair of a bucket is lost, and pairs that are connected cost nothing.
 
 With 32 bands of 4 rows, a pair of similarity 0.75 meets in no bucket with probability (1 - 0.75**4)**32 = 5e-6.
@@ -130,7 +130,7 @@ def _linked(given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
         if fresh.take(1):
             comps = stored(components(fresh.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
         left = stored(now.drop("component").join(centres.select("key", F.col("c").alias("rep")), ["key", "rep"], "left_anti"), "left")
-        count *= 2
+        count *= 4
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
