@@ -5,8 +5,8 @@ their sets is at least 0.75. Each set is hashed once; the smallest hash of each
 signature, and an empty bin copies the first full one in a random order of its own. Sets that share a band meet in a
 bucket. There each document is compared only with the bucket's centre (the member that meets most others anywhere),
 and every comparison is settled on the full sets. Members that are not yet connected to each other after that get
-further centres, four, sixteen and so on of each bucket, until each bucket is connected or each of its pairs that
-may still matter has been compared. So no pair of a bucket is lost, and pairs that are connected cost nothing.
+further centres, up to the 8th, the 64th and so on of each bucket, until each bucket is connected or each of its pairs
+that may still matter has been compared. So no pair of a bucket is lost, and pairs that are connected cost nothing.
 
 With 32 bands of 4 rows, a pair of similarity 0.75 meets in no bucket with probability (1 - 0.75**4)**32 = 5e-6.
 """
@@ -95,50 +95,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _linked(given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of all class representatives that have a link."""
+    """(node, component) of all class representatives that share a bucket."""
     rows = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     multi = stored(rows.join(shared, "key"), "buckets")
-    # The member that meets most others is the centre of each of its buckets.
+    # The member that meets most others comes first in each of its buckets.
     degree = multi.groupBy("rep").agg(F.sum("m").alias("degree"))
-    members = stored(multi.drop("m").join(degree, "rep").select("key", "rep", "n_shingles", F.struct(F.col("degree"), (-F.col("rep")).alias("r")).alias("rank")), "members")
-    needed = degree.select(F.col("rep").alias("doc_id"))
-    sets = stored(given.join(needed, "doc_id", "left_semi").mapInArrow(lambda x: _hashed(x, k), "rep long, hashes array<long>").where("size(hashes) > 0"), "sets")
+    by_rank = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
+    members = stored(multi.join(degree, "rep").withColumn("at", F.row_number().over(by_rank)).select("key", "rep", "n_shingles", "at"), "members")
+    sets = stored(given.join(degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lambda x: _hashed(x, k), "rep long, hashes array<long>").where("size(hashes) > 0"), "sets")
+    labels = stored(degree.select(F.col("rep").alias("node"), F.col("rep").alias("component")), "labels")
     dropped(multi)
-    spark = given.sparkSession
-    comps = spark.createDataFrame([], "node long, component long")
-    tried = None
-    left = members
-    count = 1
+    tried = []
+    left, low, high = members, 1, 1
     while True:
-        # Of each bucket that still holds several components, the next `count` members by rank are centres.
-        now = left.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        now = stored(now.join(split.select("key"), "key"), "round")
-        if not now.take(1):
-            return comps
-        by_rank = Window.partitionBy("key").orderBy(F.desc("rank"))
-        centres = stored(now.withColumn("at", F.row_number().over(by_rank)).where(F.col("at") <= count).select("key", F.col("rep").alias("c"), F.col("n_shingles").alias("nc"), F.col("component").alias("cc")), "centres")
-        pairs = now.join(centres, "key").where((F.col("component") != F.col("cc")) & (F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * percent))
-        pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        # Of each bucket that still holds several components, the members from `low` to `high` by rank are centres;
+        # each meets the members that come after it.
+        now = left.join(labels.withColumnRenamed("node", "rep"), "rep")
+        split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("at").alias("last")).where(f"lo < hi and last > {low}").select("key")
+        now = stored(now.join(split, "key"), "round")
+        if now.isEmpty():
+            return labels
+        centres = now.where(F.col("at").between(low, high)).select("key", F.col("rep").alias("c"), F.col("n_shingles").alias("nc"), F.col("component").alias("cc"), F.col("at").alias("place"))
+        pairs = now.join(centres, "key").where((F.col("at") > F.col("place")) & (F.col("component") != F.col("cc")) & (F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * percent))
+        x, y = F.struct(F.col("rep").alias("a"), F.col("component").alias("ca")), F.struct(F.col("c").alias("a"), F.col("cc").alias("ca"))
+        pairs = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).select("x.a", "x.ca", F.col("y.a").alias("b"), F.col("y.ca").alias("cb")).distinct()
+        for earlier in tried:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         tested = stored(_confirmed(pairs, sets, percent), "tested")
-        tried = pairs if tried is None else stored(tried.unionByName(pairs), "tried")
-        fresh = tested.where("linked").select("a", "b")
-        if fresh.take(1):
-            comps = stored(components(fresh.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
-        left = stored(now.drop("component").join(centres.select("key", F.col("c").alias("rep")), ["key", "rep"], "left_anti"), "left")
-        count *= 4
+        tried.append(tested.select("a", "b"))
+        if not (fresh := tested.where("linked").select("ca", "cb")).isEmpty():
+            # What has just met are components; those that are tied take one label.
+            tied = components(fresh, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top"))
+            before, labels = labels, stored(labels.join(tied, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "labels")
+            dropped(before)
+        left, low, high = now.drop("component"), high + 1, 8 * high
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked), judged on the full sets."""
+    """The pairs with linked, judged on the full sets."""
     a = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
     b = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return both.select("a", "b", (F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).alias("linked"))
+    both = pairs.join(b, "b").join(a, "a").select("a", "b", "ca", "cb", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.select("a", "b", "ca", "cb", (F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).alias("linked"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
