@@ -106,7 +106,7 @@ def _linked(given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
     sets = stored(given.join(degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lambda x: _hashed(x, k), "rep long, hashes array<long>").where("size(hashes) > 0"), "sets")
     labels = stored(degree.select(F.col("rep").alias("node"), F.col("rep").alias("component")), "labels")
     dropped(multi)
-    tried = []
+    tried = None
     left, low, high = members, 1, 1
     while True:
         # Of each bucket that still holds several components, the members from `low` to `high` by rank are centres;
@@ -120,10 +120,10 @@ def _linked(given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
         pairs = now.join(centres, "key").where((F.col("at") > F.col("place")) & (F.col("component") != F.col("cc")) & (F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * percent))
         x, y = F.struct(F.col("rep").alias("a"), F.col("component").alias("ca")), F.struct(F.col("c").alias("a"), F.col("cc").alias("ca"))
         pairs = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).select("x.a", "x.ca", F.col("y.a").alias("b"), F.col("y.ca").alias("cb")).distinct()
-        for earlier in tried:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tested = stored(_confirmed(pairs, sets, percent), "tested")
-        tried.append(tested.select("a", "b"))
+        tried = tested.select("a", "b") if tried is None else tried.union(tested.select("a", "b"))
         if not (fresh := tested.where("linked").select("ca", "cb")).isEmpty():
             # What has just met are components; those that are tied take one label.
             tied = components(fresh, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top"))
