@@ -27,30 +27,53 @@ SHINGLE, SIMILARITY = 5, 75
 BANDS, ROWS = 32, 4
 
 
-def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; all words as one shingle where there are fewer than k."""
+def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all texts, those of each text sorted and together, and where each text's begin
+    (one more entry at the end); all words are one shingle where there are fewer than k."""
     words = Pieces(texts, lower=True)
-    for a, b in zip(words.first, words.first[1:], strict=False):
-        n = b - a
-        yield np.unique(runs(words.hashes[a:b], k)) if n >= k else runs(words.hashes[a:b], n, seed=1000 + n) if n else np.empty(0, np.uint64)
+    n = np.diff(words.first)
+    kept = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    edges = np.concatenate(([0], np.cumsum(kept)))
+    found = np.empty(edges[-1], np.uint64)
+    whole = runs(words.hashes, k)  # also those that reach into the next text, which are passed over
+    for a, b, size, start in zip(edges, edges[1:], n, words.first, strict=False):
+        if size >= k:
+            found[a:b] = np.sort(whole[start : start + b - a])
+        elif size:
+            found[a:b] = runs(words.hashes[start : start + size], size, seed=1000 + size)
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = found[1:] != found[:-1]
+    fresh[edges[:-1][kept > 0]] = True
+    return found[fresh], np.concatenate(([0], np.cumsum(fresh)))[edges]
 
 
 @lru_cache(maxsize=4)
 def _orders(n: int) -> np.ndarray:
-    """For each bin its own random order of all bins, as ranks."""
-    return np.random.default_rng(17).permuted(np.tile(np.arange(n, dtype=np.int32), (n, 1)), axis=1)
-
-
-def signature(found: np.ndarray, bins: int) -> np.ndarray:
-    """One-permutation MinHash of a sorted, non-empty set of 64-bit hashes; bins is a power of two."""
-    shift = np.uint64(64 - int(bins).bit_length() + 1)
-    of = (found >> shift).astype(np.int64)
-    full, place = np.unique(of, return_index=True)
-    out = np.empty(bins, np.uint64)
-    out[full] = found[place]
-    if len(full) < bins:
-        empty = np.setdiff1d(np.arange(bins), full)
-        out[empty] = out[full[_orders(bins)[np.ix_(empty, full)].argmin(axis=1)]]
+    """For each bin its own random order of all bins."""
+    return np.random.default_rng(17).permuted(np.tile(np.arange(n), (n, 1)), axis=1)
+
+
+def signatures(found: np.ndarray, edges: np.ndarray, bins: int) -> np.ndarray:
+    """One-permutation MinHash, a row for each non-empty set of shingle_sets; bins is a power of two.
+
+    An empty bin goes through the bins in its own order and takes what the first full one holds."""
+    sizes = np.diff(edges)
+    sizes = sizes[sizes > 0]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = row * bins + (found >> np.uint64(64 - int(bins).bit_length() + 1)).astype(np.int64)
+    least = np.flatnonzero(np.diff(at, prepend=-1))
+    full = np.zeros((len(sizes), bins), bool)
+    out = np.empty((len(sizes), bins), np.uint64)
+    full.reshape(-1)[at[least]] = True
+    out.reshape(-1)[at[least]] = found[least]
+    row, own = np.nonzero(~full)
+    for probe in range(bins):
+        if not len(row):
+            break
+        other = _orders(bins)[own, probe]
+        hit = full[row, other]
+        out[row[hit], own[hit]] = out[row[hit], other[hit]]
+        row, own = row[~hit], own[~hit]
     return out
 
 
@@ -58,19 +81,25 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
     at = constants(bands, 31)
     by = constants(rows, 37)
     for batch in slices(batches, "text"):
-        n, one, two, keys = [], [], [], []
-        for found in shingle_sets(texts_of(batch, "text"), k):
-            n.append(len(found))
-            one.append(np.sum(mixed(found + np.uint64(1))).view(np.int64))
-            two.append(np.sum(mixed(found + np.uint64(2))).view(np.int64))
-            keys.append(mixed((signature(found, bands * rows).reshape(bands, rows) * by).sum(axis=1, dtype=np.uint64) + at).view(np.int64) if len(found) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+        found, edges = shingle_sets(texts_of(batch, "text"), k)
+        n = np.diff(edges)
+        full = n > 0
+        sums = np.zeros((2, len(n)), np.uint64)
+        keys = np.empty((0, bands), np.uint64)
+        if len(found):
+            for i, own in enumerate(sums):
+                own[full] = np.add.reduceat(mixed(found + np.uint64(i + 1)), edges[:-1][full])
+            keys = mixed((signatures(found, edges, bands * rows).reshape(-1, bands, rows) * by).sum(axis=2, dtype=np.uint64) + at)
+        ends = np.concatenate(([0], np.cumsum(full * bands))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["doc_id", "n_shingles", "s1", "s2", "bands"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        sets = [x.view(np.int64) for x in shingle_sets(texts_of(batch, "text"), k)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "hashes"])
+        found, edges = shingle_sets(texts_of(batch, "text"), k)
+        sets = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(found.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), sets], ["rep", "hashes"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
