@@ -4,9 +4,9 @@ A document's set is its distinct shingles of five words; two documents are linke
 their sets is at least 0.75. Each set is hashed once; the smallest hash of each of BANDS * ROWS bins is its
 signature, and an empty bin copies the first full one in a random order of its own. Sets that share a band meet in a
 bucket. There each document is compared only with the bucket's centre (the member that meets most others anywhere),
-and every comparison is settled on the full sets. Members that are not yet connected to each other after that get
-further centres, up to the 8th, the 64th and so on of each bucket, until each bucket is connected or each of its pairs
-that may still matter has been compared. So no pair of a bucket is lost, and pairs that are connected cost nothing.
+and every comparison is settled on the full sets: a star, so a bucket has fewer pairs than members. What a star leaves
+apart may still be linked to other members. The members of buckets that then hold several components are compared
+exactly, by their rare shingles (see _rest), so no pair of a bucket is lost and no bucket's pairs are listed.
 
 With 32 bands of 4 rows, a pair of similarity 0.75 meets in no bucket with probability (1 - 0.75**4)**32 = 5e-6.
 """
@@ -18,13 +18,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweir.llm.shared import Pieces, components, constants, dropped, mixed, prepared, runs, slices, stored, table, texts_of
 
 SHINGLE, SIMILARITY = 5, 75
 BANDS, ROWS = 32, 4
+#: Set sizes up to this factor apart form a size class of _rest.
+SIZE_CLASS = 1.12
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -127,46 +129,68 @@ def _linked(given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
     """(node, component) of all class representatives that share a bucket."""
     rows = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    multi = stored(rows.join(shared, "key"), "buckets")
-    # The member that meets most others comes first in each of its buckets.
-    degree = multi.groupBy("rep").agg(F.sum("m").alias("degree"))
-    by_rank = Window.partitionBy("key").orderBy(F.desc("degree"), "rep")
-    members = stored(multi.join(degree, "rep").withColumn("at", F.row_number().over(by_rank)).select("key", "rep", "n_shingles", "at"), "members")
+    buckets = stored(rows.join(shared, "key"), "buckets")
+    degree = buckets.groupBy("rep").agg(F.sum("m").alias("degree"))
     sets = stored(given.join(degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lambda x: _hashed(x, k), "rep long, hashes array<long>").where("size(hashes) > 0"), "sets")
-    labels = stored(degree.select(F.col("rep").alias("node"), F.col("rep").alias("component")), "labels")
-    dropped(multi)
-    tried = None
-    left, low, high = members, 1, 1
-    while True:
-        # Of each bucket that still holds several components, the members from `low` to `high` by rank are centres;
-        # each meets the members that come after it.
-        now = left.join(labels.withColumnRenamed("node", "rep"), "rep")
-        split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("at").alias("last")).where(f"lo < hi and last > {low}").select("key")
-        now = stored(now.join(split, "key"), "round")
-        if now.isEmpty():
-            return labels
-        centres = now.where(F.col("at").between(low, high)).select("key", F.col("rep").alias("c"), F.col("n_shingles").alias("nc"), F.col("component").alias("cc"), F.col("at").alias("place"))
-        pairs = now.join(centres, "key").where((F.col("at") > F.col("place")) & (F.col("component") != F.col("cc")) & (F.least("n_shingles", "nc") * 100 >= F.greatest("n_shingles", "nc") * percent))
-        x, y = F.struct(F.col("rep").alias("a"), F.col("component").alias("ca")), F.struct(F.col("c").alias("a"), F.col("cc").alias("ca"))
-        pairs = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).select("x.a", "x.ca", F.col("y.a").alias("b"), F.col("y.ca").alias("cb")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tested = stored(_confirmed(pairs, sets, percent), "tested")
-        tried = tested.select("a", "b") if tried is None else tried.union(tested.select("a", "b"))
-        if not (fresh := tested.where("linked").select("ca", "cb")).isEmpty():
-            # What has just met are components; those that are tied take one label.
-            tied = components(fresh, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top"))
-            before, labels = labels, stored(labels.join(tied, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "labels")
-            dropped(before)
-        left, low, high = now.drop("component"), high + 1, 8 * high
+    # The member that meets most others is the centre of each of its buckets.
+    centres = buckets.join(degree, "rep").groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("c"), F.col("n_shingles").alias("nc")), F.struct("degree", -F.col("rep"))).alias("centre")).select("key", "centre.*")
+    star = buckets.join(centres, "key").where((F.col("rep") != F.col("c")) & _sizes_fit(F.col("n_shingles"), F.col("nc"), percent))
+    tested = stored(_confirmed(star.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), sets, percent), "tested")
+    tied = components(tested.where("linked"))
+    labels = stored(degree.select(F.col("rep").alias("node")).join(tied, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+    # Members of buckets that hold several components still.
+    apart = buckets.select("key", F.col("rep").alias("node")).join(labels, "node").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    open_ = buckets.join(apart.select("key"), "key", "left_semi").select("rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep")
+    found = _confirmed(_rest(sets, open_, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent).where("linked")
+    # The components that these links tie take one label.
+    ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    fresh = components(found.join(ends[0], "a").join(ends[1], "b").select("ca", "cb"), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    dropped(buckets)
+    return labels.join(fresh, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
+def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _rest(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members (rep, component) of different components that may be linked; no linked pair is missing.
+
+    Two linked sets of n and m shingles share at least (n + m) * percent / (100 + percent). So with the shingles of each in
+    one order that holds for all, they share one that at least as many of either set's shingles follow or are. First in the
+    order are shingles of one component only, which no pair asked for shares, then rare ones: what very many
+    documents share comes last and is hardly ever looked at. How many shingles must be looked at depends on both sizes,
+    so a set is laid out once for each class of sizes it may be linked to. Of the sets that meet in a shingle, those of
+    the commonest component there are not compared with each other.
+    """
+    # Sizes are taken before each explode: what is taken after it would carry the whole array along in every row.
+    shingles = sets.withColumn("n", F.size("hashes")).join(members, "rep").select("rep", "component", "n", F.explode("hashes").alias("h"))
+    between = shingles.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "df")
+    ordered = shingles.join(between, "h").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("last"))
+    size_class = lambda n: F.log(n) / F.log(F.lit(SIZE_CLASS))
+    share, ratio = percent / (100 + percent), percent / 100
+    laid = ordered.withColumn("own", F.floor(size_class(F.col("n")) + 1e-9)).withColumn("other", F.explode(F.sequence(F.floor(size_class(F.col("n") * ratio) - 1e-6), F.floor(size_class(F.col("n") / ratio) + 1e-6))))
+    # The smallest size of the other class that fits, and the shingles to share with it, both a little too low for rounding.
+    least = F.greatest(F.col("n") * ratio, F.pow(F.lit(SIZE_CLASS), F.col("other")) * (1 - 1e-6))
+    need = F.ceil((F.col("n") + least) * share - 0.01).cast("int")
+    looked = F.slice("last", 1, F.greatest(F.size("last") - need + 1, F.lit(0)))
+    laid = laid.select("rep", "component", "n", "own", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), F.size("last").alias("size"), looked.alias("looked"))
+    laid = laid.select(*(x for x in laid.columns if x != "looked"), F.posexplode("looked").alias("at", "s"))
+    key = ["h", "c1", "c2"]
+    laid = stored(laid.select(F.col("s.h").alias("h"), "c1", "c2", "rep", "component", "n", "own", (F.col("size") - F.col("at")).alias("ahead")), "laid")
+    counts = laid.groupBy(*key, "component").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("several")).where("several > 1").drop("several")
+    right = laid.join(counts, key)
+    left = right.where("component != main").select(*key, F.col("rep").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"), F.col("own").alias("oc"), F.col("ahead").alias("hc"))
+    met = left.join(right, key).where((F.col("component") != F.col("cc")) & ((F.col("c1") == F.col("c2")) | (F.col("own") != F.col("oc"))) & _sizes_fit(F.col("n"), F.col("nc"), percent) & (F.least("ahead", "hc") * (100 + percent) >= (F.col("n") + F.col("nc")) * percent))
+    return met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with linked, judged on the full sets."""
     a = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
     b = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "ca", "cb", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return both.select("a", "b", "ca", "cb", (F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).alias("linked"))
+    both = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.select("a", "b", (F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).alias("linked"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
