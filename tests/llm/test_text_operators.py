@@ -70,6 +70,27 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_rest_misses_no_linked_pair(spark):
+    """Sets of 1 to 60 shingles around two templates, many of them at or just beside the threshold."""
+    rng = random.Random(8)
+    sets = []
+    for _ in range(140):
+        base = rng.randrange(2) * 1000
+        size = rng.choice([1, 2, 3, 4, 7, 8, 12, 28, 36, 44, 60])
+        own = {base + j for j in range(size)}
+        for h in rng.sample(sorted(own), rng.randrange(size // 4 + 1)):
+            own.remove(h)
+            own.add(5000 + rng.randrange(400))
+        sets.append(sorted(own))
+    of = [rng.randrange(100) for _ in sets]
+    stored_sets = spark.createDataFrame(list(enumerate(sets)), "rep long, hashes array<long>")
+    members = spark.createDataFrame(list(enumerate(of)), "rep long, component long")
+    got = {(r.a, r.b) for r in minhash._rest(stored_sets, members, 75).collect()}
+    linked = {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if 100 * len({*x} & {*y}) >= 75 * len({*x} | {*y})}
+    assert {p for p in linked if of[p[0]] != of[p[1]]} <= got
+    assert len(linked) > 100 and all(a < b and of[a] != of[b] for a, b in got)
+
+
 def test_components_of_a_path(spark):
     got = shared.components(spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99), (5, 5), (None, 3)], "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {**{i: 0 for i in range(61)}, 99: 99, 100: 99}
