@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweir.llm.decontamination import decontaminate
-from textweir.llm.linededup import dedup_lines
+from textweir.llm.linededup import dedup_passages
 from textweir.llm.minhash import near_duplicates
 from textweir.llm.packing import default_tokenizer, pack
 from textweir.llm.shared import stored, table
@@ -19,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated chunks of lines; n_chars follows the text."""
-    out = dedup_lines(docs)
+    """All documents, without repeated runs of lines; n_chars follows the text."""
+    out = dedup_passages(docs)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 

@@ -4,6 +4,10 @@ A rolling hash over the hashes of neighbouring lines ends a chunk wherever its r
 or taken out move only the boundaries beside them. Chunks of at least LEAST lines that occur more than once in all
 documents are kept at their first occurrence (smallest doc_id, then first in the text) and removed elsewhere. Grouping
 is by the chunk's bytes as well as its hash, and a chunk is removed only if its bytes equal those of the kept one.
+
+A passage of few lines seldom holds a whole chunk of its own. dedup_passages, which the query and the pipeline run,
+therefore takes the densest level: a chunk of two lines begins at every line. Each repeated chunk of a coarser level, and
+each line by which it could be extended, is covered by such pairs, so no coarser level is needed beside it.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweir.llm.shared import Pieces, mixed, prepared, slices, stored, table, texts_of
+from textweir.llm.shared import SPACES, Pieces, mixed, prepared, runs, slices, stored, table, texts_of
 
 LEAST, EVERY, MOST = 2, 3, 16
 
@@ -99,7 +103,88 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.mapInArrow(lambda x: _without(x, ["row", "text", "n_lines", "n_removed"]), schema)
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SPACES)] = True
+
+
+def _blank_lines(found: Pieces) -> np.ndarray:
+    full = np.concatenate(([0], np.cumsum(~_BLANK[np.frombuffer(found.data, np.uint8)])))
+    return full[found.starts] == full[found.ends]
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each two neighbouring lines that are not both blank: doc_id, place of the first, hash."""
+    for batch in slices(batches, "text"):
+        found = Pieces(texts_of(batch, "text"), b"\n", empty=True)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(found.first))
+        blank = _blank_lines(found)
+        at = np.flatnonzero((row[1:] == row[:-1]) & ~(blank[1:] & blank[:-1]))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)[row[at]]
+        places = (at - found.first[row[at]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places), pa.array(runs(found.hashes, 2)[at].view(np.int64))], ["doc_id", "at", "hash"])
+
+
+def _pair_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs at the places `ats`, with their bytes."""
+    for batch in slices(batches, "text"):
+        found = Pieces(texts_of(batch, "text"), b"\n", empty=True)
+        hashes = runs(found.hashes, 2).view(np.int64)
+        rows = [(i, at, hashes[a + at], found.data[found.starts[a + at] : found.ends[a + at + 1]]) for i, ats, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), found.first, found.first[1:], strict=False) for at in ats if a + at + 1 < b]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "at", "hash", "pair"])
+
+
+def _without_pairs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        texts, lines, removed = [], [], []
+        given = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        drops = batch.column(batch.schema.get_field_index("drops")).to_pylist()
+        found = Pieces(texts_of(batch, "text"), b"\n", empty=True)
+        blank = _blank_lines(found)
+        for old, drop, a, b in zip(given, drops, found.first.tolist(), found.first[1:].tolist(), strict=False):
+            lines.append(b - a if old else 0)
+            gone = np.zeros(b - a, bool)
+            for d in drop or ():
+                at = a + d["at"]
+                if at + 1 < b and found.data[found.starts[at] : found.ends[at + 1]] == d["pair"]:
+                    gone[d["at"] : d["at"] + 2] = True
+            removed.append(0)
+            if not gone.any():
+                texts.append(old)
+                continue
+            # Blank lines in between go with the lines around them.
+            marked = np.flatnonzero(gone | ~blank[a:b])
+            for x, y in zip(marked, marked[1:], strict=False):
+                gone[x:y] |= gone[x] & gone[y]
+            texts.append(b"\n".join([found.data[found.starts[k] : found.ends[k]] for k in (a + np.flatnonzero(~gone)).tolist()]).decode("utf-8"))
+            removed[-1] = int(gone.sum())
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names)
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As dedup_lines, but without each run of two or more lines that stands line for line at an earlier place.
+
+    Two neighbouring lines, not both blank, are removed if the same two lines begin earlier (a smaller doc_id, or two or
+    more lines before in the same text). At least the first occurrence of each line is kept. Pairs that share a hash with
+    others are compared by bytes. Null and empty texts, repeated rows and null ids are treated as in dedup_lines.
+    """
+    prepared(docs.sparkSession)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    pairs = light.mapInArrow(_pairs, "doc_id long, at int, hash long")
+    place = F.struct("doc_id", "at")
+    met = stored(pairs.groupBy("hash").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other").select("hash"), "met")
+    hits = pairs.join(met, "hash").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
+    compared = light.join(hits, "doc_id").mapInArrow(_pair_bytes, "doc_id long, at int, hash long, pair binary")
+    repeated = compared.groupBy("hash", "pair").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other")
+    repeated = stored(repeated.select("hash", "pair", "one"), "repeated")
+    later = (F.col("doc_id") > F.col("one.doc_id")) | (F.col("doc_id") == F.col("one.doc_id")) & (F.col("at") >= F.col("one.at") + 2)
+    drops = pairs.join(repeated, "hash").where(later).groupBy("doc_id").agg(F.collect_list(F.struct("at", "pair")).alias("drops"))
+    joined = given.join(drops, "doc_id", "left").select(F.col("row")[text_col].cast("string").alias("text"), "row", "drops")
+    schema = f"row {given.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed long"
+    return joined.mapInArrow(lambda x: _without_pairs(x, ["row", "text", "n_lines", "n_removed"]), schema)
+
+
 def op9_content_defined_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed lines, kept_sha256 (hex digest of the text that is left)."""
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
