@@ -3,7 +3,8 @@
 Beside the base kinds (assign, access, hex) the scan looks at values that stand after a credential word and a sign and
 estimates how many guesses an attacker needs: a dynamic programme finds the cheapest cut of the value into dictionary
 words, dates, repeats, keyboard walks and brute force. A value that takes at least 10**LEAST_LOG10 guesses is a span of
-kind `guess`.
+kind `guess`. Values have at least 6 characters and no upper bound: they end at their quote on the same line, or without
+quotes at a space, a quote or an angle bracket.
 """
 
 from __future__ import annotations
@@ -71,7 +72,9 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
 
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
-_CONTEXT = re.compile(r"""(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|credentials?|auth(?:orization)?)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:"([^"\r\n]{6,256})"|'([^'\r\n]{6,256})'|([^\s"'<>]{6,256}))""", re.ASCII)
+#: In these contexts a scheme word before the value (Authorization: Bearer ...) is no part of it, inside quotes or outside.
+_SCHEME = r"(?:(?i:bearer|basic|token|negotiate|ntlm|dpop|api-?key)[\x20\t]+)?+"
+_CONTEXT = re.compile(rf"""(?:(?i:password|passwd|passphrase|pwd|secret)|(?P<auth>(?i:token|api[_-]?key|credentials?|auth(?:orization)?)))["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?(auth){_SCHEME})(?:"(?(auth){_SCHEME})(?P<double>[^"\r\n]{{6,}})"|'(?(auth){_SCHEME})(?P<single>[^'\r\n]{{6,}})'|(?P<plain>[^\s"'<>]{{6,}}))""", re.ASCII)
 _HINT = re.compile(rb"(?i)pass|secret|token|api|pwd|cred|auth")
 
 
@@ -87,7 +90,7 @@ def scan(text: bytes) -> list[tuple[int, int, int]]:
     out += [(m.start(), m.end(), 2) for m in _HEX.finditer(whole)]
     if hint:
         for m in _CONTEXT.finditer(whole):
-            value = next(i for i in (1, 2, 3) if m[i] is not None)
+            value = next(k for k in ("double", "single", "plain") if m[k] is not None)
             if guess_cost(m[value])[0] >= LEAST_LOG10:
                 out.append((m.start(value), m.end(value), 3))
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
