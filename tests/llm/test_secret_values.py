@@ -1,6 +1,8 @@
 """Values of the guess kind: how far they reach and what they cost."""
 
+import math
 import random
+import time
 
 import pytest
 
@@ -25,3 +27,50 @@ def test_scheme_is_no_value():
         assert guesses(text) == [token]
     assert guesses("Authorization: Bearer abc") == guesses('auth: "Bearer abc"') == []
     assert guesses("password: negotiate Xq9$vB7!kLz2") == ["negotiate"]
+
+
+def exhaustive(value):
+    """The least cost over all cuts into pieces, each piece costed on its own."""
+    low, plain = value.lower(), value.lower().translate(secrets._LEET)
+    kinds = ("abcdefghijklmnopqrstuvwxyz", 26), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26), ("0123456789", 10)
+    one = math.log10(max(10, sum(n for chars, n in kinds if set(value) & set(chars)) + 32 * any(not (c.isascii() and c.isalnum()) for c in value)))
+
+    def piece(j, i):
+        yield one if i - j == 1 else math.inf
+        pairs = [low[k : k + 2] for k in range(j, i - 1)]
+        if i - j >= 3 and all(p in secrets._WALKS for p in pairs):
+            yield one + math.log10(i - j) + 0.3
+        if i - j >= 3 and len(set(low[j:i])) == 1:
+            yield one + math.log10(i - j)
+        if plain[j:i] in secrets._RANK:
+            yield secrets._RANK[plain[j:i]] + 0.3 * (value[j:i] != low[j:i]) + 0.6 * (low[j:i] != plain[j:i]) + 0.3
+        if 4 <= i - j <= 10 and low[i - 1].isdigit() and secrets._DATE.fullmatch(low, j, i):
+            yield math.log10(365 * 120) if i - j >= 6 else 2.1
+
+    best = [0.0]
+    for i in range(1, len(value) + 1):
+        best.append(min(best[j] + c for j in range(i) for c in piece(j, i)))
+    return best[-1]
+
+
+def test_cost_is_the_least_over_all_segmentations():
+    rng = random.Random(4)
+    parts = [*secrets.WORDS, "P4ssw0rd", "dddddddd", "11111", "aaabbb", "fghjkl", "9876543", "asdsa", "qwert", "19991231", "2012", "01-02-1999", "x", "Q", "$", "7", "-"]
+    values = ["passwordddddddd", "passwordfghjkl", "a" * 68, "xxxx-" * 20, "qwertyuiop" * 9]
+    values += ["".join(rng.choice(parts)[rng.choice((0, 0, 1)) :] for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    values += ["".join(rng.choice("aab12we") for _ in range(rng.randrange(1, 90))) for _ in range(200)]
+    for v in values:
+        cost, pieces = secrets.guess_cost(v)
+        assert cost == pytest.approx(exhaustive(v))
+        assert [0, *(p[1] for p in pieces)] == [*(p[0] for p in pieces), len(v)]
+    assert sum(len(v) > 64 for v in values) > 50
+
+
+def test_long_fillers_are_no_secrets_and_cost_linear_time():
+    for filler in ("a" * 68, "x" * 300, "-" * 80, "qwertyuiop" * 7, "****" * 5000):
+        assert (guesses(f'password: "{filler}"') == []) == (exhaustive(filler[:300]) < secrets.LEAST_LOG10)
+    assert guesses("password: " + "x" * 300) == guesses("pwd=" + "-" * 80) == []
+    before = time.process_time()
+    for filler in ("a" * 200_000, "as" * 100_000, "abcdefghijklmnopqrstuvwxyz" * 8000):
+        secrets.guess_cost(filler)
+    assert time.process_time() - before < 30

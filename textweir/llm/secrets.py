@@ -22,37 +22,53 @@ from textweir.llm.shared import prepared, slices, table, texts_of
 
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_LOG10 = 8.0
-#: Longest value that is segmented; whatever is longer, or hashes of that length, costs more than the threshold by far.
-LONGEST_VALUE = 64
 
 # Common words of passwords, most frequent first, and keyboard rows.
 WORDS = "password secret admin login welcome letmein master dragon monkey qwerty sunshine princess football shadow superman michael jordan hunter ranger buster thomas robert soccer batman test pass hello freedom whatever trust guest root user token key love money summer winter spring autumn example changeme default demo none null true false your here value string placeholder".split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 
 _RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
+_ENDING = {c: [(w, r) for w, r in _RANK.items() if w[-1] == c] for c in "abcdefghijklmnopqrstuvwxyz"}
 _WALKS = {r[i : i + 2] for row in ROWS for r in (row, row[::-1]) for i in range(len(r) - 1)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 _LEET = str.maketrans("4301$57@", "aeoissta")
 
 
+def _starts(kept: list[int], best: list[float], i: int) -> list[int]:
+    """The starts (ascending) of a run's pieces that may be the cheapest at i or later, the cheapest at i last.
+
+    A piece costs best[start] + log10(i - start): a later start that is no cheaper than an earlier one now never will
+    be, since the difference of the logarithms only shrinks; so few starts are kept however long the run is.
+    """
+    out, least = [], math.inf
+    for j in kept:
+        if (cost := best[j] + math.log10(i - j)) < least:
+            out.append(j)
+            least = cost
+    return out
+
+
 def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """log10 of the guesses of the cheapest segmentation, and its pieces (start, end, kind). Values over LONGEST_VALUE are brute force."""
+    """log10 of the guesses of the cheapest segmentation, and its pieces (start, end, kind)."""
     n = len(value)
     one = math.log10(max(10, 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value)) + 10 * bool(re.search("[0-9]", value)) + 32 * bool(re.search("[^A-Za-z0-9]", value))))
-    if n > LONGEST_VALUE:
-        return one * n, [(0, n, "brute")]
     low = value.lower()
     plain = low.translate(_LEET)
     best, last = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
     walk = repeat = 0
+    walks: list[int] = []
+    repeats: list[int] = []
     for i in range(1, n + 1):
+        # Pairs of the run up to i, and the starts of its pieces of at least three characters.
         walk = walk + 1 if i > 1 and low[i - 2 : i] in _WALKS else 0
         repeat = repeat + 1 if i > 1 and low[i - 1] == low[i - 2] else 0
+        walks = _starts([*walks, i - 3], best, i) if walk >= 2 else []
+        repeats = _starts([*repeats, i - 3], best, i) if repeat >= 2 else []
         # A run of brute force costs its characters; each new piece of any other kind also costs a choice of kinds.
         options = [(best[i - 1] + one, i - 1, "brute")]
-        options += [(best[i - k - 1] + one + math.log10(k + 1) + 0.3, i - k - 1, "walk") for k in (walk,) if k >= 2]
-        options += [(best[i - k - 1] + one + math.log10(k + 1), i - k - 1, "repeat") for k in (repeat,) if k >= 2]
-        for w, rank in _RANK.items():
+        options += [(best[j] + one + math.log10(i - j) + 0.3, j, "walk") for j in walks[-1:]]
+        options += [(best[j] + one + math.log10(i - j), j, "repeat") for j in repeats[-1:]]
+        for w, rank in _ENDING.get(plain[i - 1], ()):
             if len(w) <= i and plain.endswith(w, 0, i):
                 own = value[i - len(w) : i]
                 twist = 0.3 * (own != own.lower()) + 0.6 * (own.lower() != w)
