@@ -14,49 +14,88 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textweir.llm.shared import prepared, shared_dir, table
+from textweir.llm.shared import prepared, shared_dir, stored, table
 
 LEAST_BYTES = 1000
 #: Records in one archive at most.
 ARCHIVE_RECORDS = 6000
+#: Payloads of up to SMALL_BYTES are written ARCHIVE_RECORDS records to an archive, those of up to STEP times that a STEP-th of it, and so on.
+SMALL_BYTES, STEP, CLASSES = 100_000, 8, 4
 
 NS = "urn:page:"
 
 
-def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+def _size_class(size: Column) -> Column:
+    """0 for payloads of up to SMALL_BYTES, one more for each further factor of STEP."""
+    return sum((F.when(size > SMALL_BYTES * STEP**k, 1).otherwise(0) for k in range(CLASSES)), F.lit(0))
+
+
+def _pages(pages: DataFrame, least: int, null_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """The pages with payload_bytes, digest, size class and `no` (null for a page_id that stands once), and the owners of repeated payloads."""
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    given = given.withColumn("payload_bytes", F.octet_length("html")).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("class", _size_class(F.col("payload_bytes")))
+    known = given.where("page_id is not null")
+    repeated = stored(known.groupBy("page_id").count().where("count > 1").select("page_id"), "repeated")
+    named = known.withColumn("no", F.lit(None).cast("string"))
+    if not repeated.isEmpty():
+        number = F.row_number().over(Window.partitionBy("page_id", "digest", "payload_bytes").orderBy("url"))
+        again = known.join(repeated, "page_id", "left_semi").withColumn("no", F.concat("digest", F.lit("."), number.cast("string")))
+        named = named.join(repeated, "page_id", "left_anti").unionByName(again)
+    if null_ids:
+        named = named.unionByName(given.where("page_id is null").withColumn("no", F.concat(F.col("class").cast("string"), F.lit("."), F.monotonically_increasing_id().cast("string"))))
+    owners = given.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null").drop("n")
+    owners = owners.join(repeated.select(F.col("page_id").alias("owner"), F.lit(True).alias("owner_repeated")), "owner", "left")
+    return named, owners.withColumn("owner_no", F.when(F.col("owner_repeated"), F.concat("digest", F.lit(".1")))).drop("owner_repeated")
+
+
+def records(pages: DataFrame, least: int = LEAST_BYTES, null_ids: bool = False) -> DataFrame:
     """(page_id, url, html) -> one `value` per record: the request, the response or revisit, and the metadata of each page.
 
     Of pages with equal payloads of at least `least` bytes, that with the largest page_id is written as a response and
     the others as revisits that refer to it; payloads are compared by SHA-1 and length. A null html is an empty payload, a null url an empty
-    target. Pages with a null page_id are passed over; page_id must be unique, repeated ids give repeated records.
+    target. Each row has records of its own: where a page_id stands more than once, their ids also have the digest and a
+    number. Pages with a null page_id are passed over, or with null_ids written under ids of their own; those whose
+    payload belongs to another page are revisits without WARC-Refers-To.
     """
-    given = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    given = given.withColumn("payload_bytes", F.octet_length("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    owners = given.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = given.join(owners, ["digest", "payload_bytes"], "left")
-    again = F.col("owner").isNotNull() & (F.col("owner") != F.col("page_id"))
+    return _records(*_pages(pages, least, null_ids))
+
+
+def _records(named: DataFrame, owners: DataFrame) -> DataFrame:
+    rows = named.join(owners, ["digest", "payload_bytes"], "left")
+    again = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id"))
+    refers = again & F.col("page_id").isNotNull()
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     target = F.regexp_replace("url", r"[\r\n]", "")
-    name = lambda kind, page: F.concat(F.lit(f"<{NS}{kind}:"), page.cast("string"), F.lit(">"))
+    name = lambda kind, page="page_id", no="no": F.concat(F.lit(f"<{NS}{kind}:"), F.coalesce(F.col(page).cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("."), no), F.lit("")), F.lit(">"))
 
     def record(kind: Column, own: str, block: Column, more: Column | None = None) -> Column:
-        head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), name(own, F.col("page_id")), F.lit("\r\nWARC-Target-URI: "), target, F.lit("\r\n"))
+        head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), name(own), F.lit("\r\nWARC-Target-URI: "), target, F.lit("\r\n"))
         return F.concat(head, more if more is not None else F.lit(""), F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
-    main = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n"), F.when(again, F.concat(F.lit("WARC-Refers-To: "), name("response", F.col("owner")), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(""))
-    linked = F.concat(F.lit("WARC-Concurrent-To: "), name("response", F.col("page_id")), F.lit("\r\n"))
+    main = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n"), F.when(refers, F.concat(F.lit("WARC-Refers-To: "), name("response", "owner", "owner_no"), F.lit("\r\n"))).otherwise(""), F.when(again, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(""))
+    linked = F.concat(F.lit("WARC-Concurrent-To: "), name("response"), F.lit("\r\n"))
     request = record(F.lit("request"), "request", F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\n\r\n")), linked)
     response = record(F.when(again, F.lit("revisit")).otherwise("response"), "response", F.when(again, http).otherwise(F.concat(http, "html")), main)
     metadata = record(F.lit("metadata"), "metadata", F.concat(F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit("\r\n")), linked)
     return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> str:
-    """Writes gzipped archives of at most ARCHIVE_RECORDS records under path."""
-    records(pages, least).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, null_ids: bool = False) -> str:
+    """Writes gzipped archives under path, of at most ARCHIVE_RECORDS records.
+
+    Pages of each size class are written apart, larger ones fewer at a time, so that an archive holds about
+    ARCHIVE_RECORDS / 3 * SMALL_BYTES bytes of payload, or one page.
+    """
+    named, owners = _pages(pages, least, null_ids)
+    owners = stored(owners, "owners")
+    found = sorted(r[0] for r in named.select("class").distinct().collect())
+    for k, c in enumerate(found or [0]):
+        most = 3 * max(1, ARCHIVE_RECORDS // 3 // STEP**c)
+        out = _records(named.where(F.col("class") == c), owners).write.mode("append" if k else "errorifexists")
+        out.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     return path
 
 
@@ -119,11 +158,11 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def page_of(record_id: Column) -> Column:
-    return F.regexp_extract(record_id, r":(-?\d+)>$", 1).cast("long")
+    return F.regexp_extract(record_id, r":(-?\d+)(?:\.[0-9a-f]+\.\d+)?>$", 1).try_cast("long")
 
 
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    path = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", null_ids=True)
     found = assemble(read_archives(spark, path, with_payload=False))
     return found.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), page_of(F.col("response.refers_to")).alias("refers_to"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"))
 
