@@ -109,8 +109,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Texts of fewer than k words have one shingle, their whole
     word sequence; null, empty or blank texts have none and are linked with nothing. Rows of the same id count as one
-    document, linked by the texts of each; each still gets its own row. A row with a null id is returned with a null
-    component and kept = false. Other columns are ignored, whatever their names. An empty table gives an empty result.
+    document, linked by the texts of each: each still gets its own row with its own n_shingles, and all of them the
+    same component and kept. A row with a null id is returned with a null component and kept = false. Ties cannot arise: a
+    component is its smallest id. A text needs about 30 times its bytes of memory in its task. Other columns are ignored,
+    whatever their names. An empty table gives an empty result.
     """
     prepared(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -120,9 +122,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(signed.where("doc_id is not null and n_shingles > 0").groupBy(own).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     comps = _linked(given, classes, k, percent)
     of = classes.select(*own, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*own, F.coalesce("component", "rep").alias("component"))
-    # Rows of one id with several texts belong together.
     out = signed.drop("bands").join(of, own, "left").withColumn("component", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+    # Rows of one id with different texts belong together, and so do the components that they tie.
+    mark = F.struct(*own)
+    twice = stored(signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("one"), F.max(mark).alias("other")).where("one <> other").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        out = stored(out, "rows")
+        tied = out.join(twice, "doc_id", "left_semi").where("n_shingles > 0").select("doc_id", "component")
+        least = tied.groupBy("doc_id").agg(F.min("component").alias("least"))
+        fresh = components(tied.join(least, "doc_id").select("component", "least"), "component", "least").withColumnRenamed("component", "top").withColumnRenamed("node", "component")
+        out = out.join(fresh, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
+        # Rows without words share the component of their id.
+        of_id = stored(out.where("n_shingles > 0").join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("of_id")), "of_id")
+        out = out.join(of_id, "doc_id", "left").withColumn("component", F.coalesce("of_id", "component"))
+    return out.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component"))).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def _linked(given: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
