@@ -6,9 +6,8 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from textweir.llm import chat, decontamination, embeddings, linededup, minhash, packing, secrets, shared, substrings, toxicity, warc
+from textweir.llm import chat, decontamination, embeddings, linededup, minhash, packing, secrets, shared, substrings, warc
 
 SCHEMA = "doc_id long, text string, row string, score double, n_words long, spans string, component long"
 
@@ -70,6 +69,15 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (6, b), (6, b), (7, c), (7, None), (7, d), (8, d), (9, ""), (9, None), (None, a), (None, None), (2, None), (2, c)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
+    of = {3: 3, 5: 3, 6: 3, 7: 2, 8: 2, 9: 9, 2: 2, None: None}
+    assert got == sorted(((i, 36 if t else 0, of[i], i is not None and of[i] == i) for i, t in rows), key=str)
+
+
 def test_rest_misses_no_linked_pair(spark):
     """Sets of 1 to 60 shingles around two templates, many of them at or just beside the threshold."""
     rng = random.Random(8)
@@ -211,26 +219,3 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(found) == [1, 2, 3, 4, 5, 6] and all(r.request and r.metadata for r in found.values())
     assert bytes(found[5].response.payload).decode() == body and found[1].response.type == "revisit" and found[1].response.refers_to == "<urn:page:response:5>"
     assert found[2].response.payload_digest == hashlib.sha1(body.encode()).hexdigest() and found[4].response.type == found[6].response.type == "response"
-
-
-def test_toxicity_marginals_and_accuracy(spark):
-    rng = np.random.default_rng(2)
-    emit, trans = rng.normal(size=9), rng.normal(size=(2, 2))
-    first = np.zeros(9, bool)
-    first[[0, 4]] = True
-    want = np.zeros(9)
-    total = 0.0
-    for code in range(512):
-        tags = [code >> i & 1 for i in range(9)]
-        weight = np.exp(sum(emit[i] * tags[i] + (0 if first[i] else trans[tags[i - 1], tags[i]]) for i in range(9)))
-        total += weight
-        want += weight * np.array(tags)
-    assert np.allclose(toxicity.marginals(first, emit, trans), want / total)
-    r = random.Random(1)
-    texts = [words(r, 80) + (" scum vile" if i % 4 == 0 else "") for i in range(400)]
-    docs = frame(spark, list(enumerate(texts)) + [(900, None), (901, ""), (None, "scum vile")])
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
-    assert len(out) == 403 and all((x.score >= 0.5) == (x.doc_id is None or (x.doc_id < 400 and x.doc_id % 4 == 0)) for x in out)
-    none = toxicity.score(docs, toxicity.fit(docs, labels.where("false"))).agg(F.max("score")).first()[0]
-    assert none < 0.5

@@ -1,84 +1,107 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; its marginals give document scores and offsets.
 
-Labels are for whole documents. Training tokens get their tags from a bounded sample of labelled documents: a word that
-is many times more frequent in documents labelled toxic is tagged in those, every other token is not. The CRF has two
-tags, a weight for each word of a bounded lexicon and for each pair of neighbouring tags; it is fitted by gradient
-ascent on the conditional likelihood. For every document, forward and backward passes give each token's probability of
-the toxic tag; a logistic curve, fitted on the same sample, turns the largest of them and their sum into the score.
+Each token has one of two tags. Labels are for whole documents, so they label tokens by half: all tokens of a document
+labelled clean have tag 0, at least one of a document labelled toxic has tag 1. The field is fitted on the likelihood of just
+that (with a share of wrong labels, see WRONG): the forward pass gives the probability that all tags are 0, the marginals the
+gradient. A token's features are its word, the words beside it, and its first and last letters, hashed to BUCKETS weights;
+there is no word list. The most toxic marginal and the expected number of toxic tokens, under a logistic curve fitted on
+documents that the weights have not seen, make the score; tokens with a marginal of at least 0.5, and the most toxic token of a document with
+a score of at least 0.5, are the offending spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweir.llm.shared import Pieces, crc32_text, prepared, slices, table, texts_of
+from textweir.llm.shared import Pieces, constants, crc32_text, mixed, prepared, slices, table, texts_of
 
-#: Bounds of the training sample (documents of each label, bytes of one), of the lexicon, and of the fit.
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_BYTES = 700, 1300, 200_000
-LEXICON, STEPS, BLOCK = 8000, 6, 512
-#: A word is tagged if it is in this share of toxic sample documents and this many times more frequent than elsewhere.
-SHARE, TIMES = 0.02, 20.0
+#: The training sample: documents of each label, and bytes of all together.
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_BYTES = 700, 2600, 8_000_000
+#: Weights, tokens of a step, passes over the sample at most, and passes without a gain after which they end.
+BUCKETS, BATCH_TOKENS, PASSES, PATIENCE = 1 << 19, 40_000, 30, 3
+#: The share of wrong labels that the fit allows for, the penalty of weights, the rate of steps, the first weight of every token.
+WRONG, PENALTY, RATE, START = 0.05, 1e-4, 0.1, -7.0
+#: Every HELD-th document of the sample only tells when to end and fits the curve, whose weights have a penalty of their own.
+HELD, CURVE_PENALTY = 4, 0.1
+#: Tokens of a block of the forward and backward passes, and blocks that are in memory at once.
+BLOCK, SEGMENT = 512, 400
 
 _SEPARATORS = bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+#: Values of a token's features (word, word before, word after, first letters, last letters): what stands beside counts less.
+VALUES = np.array([1, 0.3, 0.3, 1, 1], np.float32)
 
 
 @dataclass
 class Crf:
-    """words: sorted hashes; weights: of each word (the last for all others); trans: 2 x 2; curve: of the score."""
+    """weights of the features and `bias` for tag 1; trans: 2 x 2; curve: of the score."""
+
+    bias: float = START
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
+    trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
+    curve: np.ndarray = field(default_factory=lambda: np.array([-8.0, 0.0, 0.0]))
+
+    def emissions(self, f: np.ndarray) -> np.ndarray:
+        return self.bias + self.weights[f] @ VALUES.astype(np.float64)
+
+    def tag(self, words: Pieces) -> np.ndarray:
+        """Of each word the probability of tag 1."""
+        if not len(words.hashes):
+            return np.empty(0)
+        most = SEGMENT * BLOCK
+        emit = np.concatenate([self.emissions(features(words, a, a + most)) for a in range(0, len(words.hashes), most)])
+        return marginals(starts_of(words), emit, self.trans)
+
+
+def features(words: Pieces, a: int = 0, b: int | None = None) -> np.ndarray:
+    """Of the words from a to b the places of their features' weights, in the order of VALUES; four letters at each end."""
+    h, first = words.hashes, starts_of(words)
+    b = min(len(h), len(h) if b is None else b)
+    i = np.arange(a, b)
+    lanes = np.lib.stride_tricks.sliding_window_view(words.raw, 4)
+    size = np.minimum(words.ends[a:b] - words.starts[a:b], 4)
+    short = np.array([(1 << 8 * k) - 1 for k in range(5)], np.uint32)[size]
+    head = lanes[words.starts[a:b]].view("<u4").reshape(-1) & short
+    tail = lanes[words.ends[a:b] - size].view("<u4").reshape(-1) & short
+    before = np.where(first[a:b], np.uint64(1), h[i - 1])
+    after = np.where(np.append(first[1:], True)[a:b], np.uint64(2), h[(i + 1) % len(h)])
+    out = np.empty((b - a, len(VALUES)), np.int32)
+    for j, (x, c) in enumerate(zip((h[a:b], before, after, head.astype(np.uint64), tail.astype(np.uint64)), constants(len(VALUES), 61), strict=True)):
+        out[:, j] = mixed(x + c) >> np.uint64(65 - BUCKETS.bit_length())
+    return out
 
-    words: np.ndarray
-    weights: np.ndarray
-    trans: np.ndarray
-    curve: np.ndarray
 
-    def features(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, len(self.words))
+def starts_of(words: Pieces) -> np.ndarray:
+    """Whether a token is the first of its text."""
+    first = np.zeros(len(words.hashes), bool)
+    first[words.first[:-1][np.diff(words.first) > 0]] = True
+    return first
 
 
 def _products(first: np.ndarray, emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The 2 x 2 matrices of each token: from the tag before to its own; at a text's first token the tag before has no say."""
     m = np.exp(np.broadcast_to(trans, (len(emit), 2, 2)).copy())
     m[first] = 1.0
-    m[:, :, 1] *= np.exp(emit)[:, None]
+    m[:, :, 1] *= np.exp(np.clip(emit, -50, 50))[:, None]
     return m
 
 
-def marginals(first: np.ndarray, emit: np.ndarray, trans: np.ndarray, pairs: bool = False):
-    """Each token's probability of tag 1 (and the expected 2 x 2 counts of neighbouring tags, if asked).
-
-    first: whether a token begins a text; emit: its score for tag 1. Blocks of tokens are multiplied side by side, then
-    the blocks one after another, so the passes are exact at any length.
-    """
-    n = len(emit)
-    blocks = -(-n // BLOCK)
+def _blocked(first: np.ndarray, emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """_products() as step x block, filled up with unit matrices."""
+    blocks = -(-len(emit) // BLOCK)
     m = np.tile(np.eye(2), (blocks * BLOCK, 1, 1))
-    m[:n] = _products(first, emit, trans)
-    m = m.reshape(blocks, BLOCK, 2, 2).transpose(1, 0, 2, 3)  # step, block
-    total = np.tile(np.eye(2), (blocks, 1, 1))
-    for step in m:
-        total = total @ step
-        total /= total.sum(axis=(1, 2), keepdims=True)
-    ahead, back = np.empty((blocks, 2)), np.empty((blocks, 2))
-    v = np.array([0.5, 0.5])
-    for b in range(blocks):
-        ahead[b] = v
-        v = v @ total[b]
-        v /= v.sum()
-    v = np.array([0.5, 0.5])
-    for b in range(blocks - 1, -1, -1):
-        back[b] = v
-        v = total[b] @ v
-        v /= v.sum()
-    alpha, beta = np.empty((BLOCK, blocks, 2)), np.empty((BLOCK, blocks, 2))
+    m[: len(emit)] = _products(first, emit, trans)
+    return m.reshape(blocks, BLOCK, 2, 2).transpose(1, 0, 2, 3)
+
+
+def _passes(m: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of each token of blocks, from what reaches each block from both sides."""
+    alpha, beta = np.empty((BLOCK, len(ahead), 2)), np.empty((BLOCK, len(ahead), 2))
     v = ahead
     for i in range(BLOCK):
         v = (v[:, :, None] * m[i]).sum(axis=1)
@@ -89,22 +112,55 @@ def marginals(first: np.ndarray, emit: np.ndarray, trans: np.ndarray, pairs: boo
         beta[i] = v
         v = (m[i] * v[:, None, :]).sum(axis=2)
         v /= v.sum(axis=1, keepdims=True)
-    flat = lambda x: x.transpose(1, 0, 2).reshape(-1, 2)[:n]
-    alpha, beta = flat(alpha), flat(beta)
-    both = alpha * beta
-    p = both[:, 1] / both.sum(axis=1)
-    if not pairs:
-        return p
-    inner = np.flatnonzero(~first)
-    joint = alpha[inner - 1][:, :, None] * np.exp(trans)[None] * np.stack([np.ones(len(inner)), np.exp(emit[inner])], 1)[:, None, :] * beta[inner][:, None, :]
-    joint /= joint.sum(axis=(1, 2), keepdims=True)
-    return p, joint.sum(axis=0)
+    return alpha.transpose(1, 0, 2).reshape(-1, 2), beta.transpose(1, 0, 2).reshape(-1, 2)
 
 
-def _starts(words: Pieces) -> np.ndarray:
-    first = np.zeros(len(words.hashes), bool)
-    first[words.first[:-1][np.diff(words.first) > 0]] = True
-    return first
+def marginals(first: np.ndarray, emit: np.ndarray, trans: np.ndarray, fit: bool = False):
+    """Each token's probability of tag 1.
+
+    first: whether a token begins a text; emit: its score for tag 1. Blocks of tokens are multiplied side by side, SEGMENT
+    blocks at once, then the blocks one after another, so the passes are exact at any length. With fit also: the log
+    probability of tag 0 given tag 0 before (whose sum over a text is that of no tag 1), and of each token the 2 x 2
+    probabilities of the tags before and of itself (zero at a text's first).
+    """
+    n = len(emit)
+    parts = [slice(a, min(n, a + SEGMENT * BLOCK)) for a in range(0, n, SEGMENT * BLOCK)]
+    totals = []
+    for s in parts:
+        m = _blocked(first[s], emit[s], trans)
+        total = np.tile(np.eye(2), (m.shape[1], 1, 1))
+        for step in m:
+            total = total @ step
+            total /= total.sum(axis=(1, 2), keepdims=True)
+        totals.append(total)
+    total = np.concatenate(totals)
+    ahead, back = np.empty((len(total), 2)), np.empty((len(total), 2))
+    v = np.array([0.5, 0.5])
+    for b in range(len(total)):
+        ahead[b] = v
+        v = v @ total[b]
+        v /= v.sum()
+    v = np.array([0.5, 0.5])
+    for b in range(len(total) - 1, -1, -1):
+        back[b] = v
+        v = total[b] @ v
+        v /= v.sum()
+    p, none, joint = np.empty(n), np.empty(n if fit else 0), np.empty((n if fit else 0, 2, 2))
+    for k, s in enumerate(parts):
+        m = _blocked(first[s], emit[s], trans)
+        at, size = slice(k * SEGMENT, k * SEGMENT + m.shape[1]), s.stop - s.start
+        alpha, beta = (x[:size] for x in _passes(m, ahead[at], back[at]))
+        both = alpha * beta
+        p[s] = both[:, 1] / both.sum(axis=1)
+        if fit:
+            onward = _products(first[s], emit[s], trans) * beta[:, None, :]
+            none[s] = np.log(onward[:, 0, 0] / onward[:, 0].sum(axis=1))
+            before = np.concatenate([ahead[at][:1], alpha[:-1]])
+            joint[s] = np.where(first[s][:, None], 0.0, before)[:, :, None] * onward
+    if not fit:
+        return p
+    joint /= np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)
+    return p, none, joint
 
 
 def _signals(p: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -119,44 +175,104 @@ def _signals(p: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class _Batch:
+    """The tokens of some labelled texts: features, whether a token begins a text, where texts begin, labels."""
+
+    f: np.ndarray
+    first: np.ndarray
+    places: np.ndarray
+    toxic: np.ndarray
+
+
+def _batches(texts: list[bytes], toxic: np.ndarray) -> list[_Batch]:
+    """The texts that have words, about BATCH_TOKENS tokens (or one text) at once."""
+    out, held, size = [], [], 0
+
+    def close() -> None:
+        words = Pieces([texts[i] for i in held], _SEPARATORS, lower=True)
+        full = np.diff(words.first) > 0
+        if full.any():
+            out.append(_Batch(features(words), starts_of(words), words.first[:-1][full], toxic[held][full]))
+
+    for i, t in enumerate(texts):
+        held.append(i)
+        size += len(t)
+        if size > 6 * BATCH_TOKENS:
+            close()
+            held, size = [], 0
+    if held:
+        close()
+    return out
+
+
+def _step(model: Crf, b: _Batch) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log likelihood of a batch's labels, its gradient by each token's emission and by trans."""
+    p, none, joint = marginals(b.first, model.emissions(b.f), model.trans, fit=True)
+    clean = np.exp(np.minimum(np.add.reduceat(none, b.places), -1e-12))
+    some = 1 - clean
+    right, wrong = np.where(b.toxic == 1, 1 - WRONG, WRONG), np.where(b.toxic == 1, WRONG, 1 - WRONG)
+    seen = some * right + clean * wrong
+    # Given the label, the expected counts of tag 1 are right / seen times those without it (a text without tag 1 has none).
+    by = right / seen - 1
+    by = np.repeat(by, np.diff(np.append(b.places, len(p))))
+    g = np.einsum("n,nij->ij", by, joint)
+    g[0, 0] = 0  # the weight of (0, 0) stays 0, as of every text without tag 1
+    return float(np.log(seen).sum()), by * p, g
+
+
 def train(texts: list[bytes], toxic: np.ndarray) -> Crf:
-    """Fits the field and the score's curve on labelled texts. Without a toxic text every score is near 0."""
-    words = Pieces(texts, _SEPARATORS, lower=True)
-    doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    known, of = np.unique(words.hashes, return_inverse=True)
-    pairs = np.unique(np.stack([of, doc], 1), axis=0) if len(of) else np.empty((0, 2), np.int64)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    df1 = np.bincount(pairs[:, 0], weights=toxic[pairs[:, 1]], minlength=len(known))
-    df0 = np.bincount(pairs[:, 0], minlength=len(known)) - df1
-    bad = (df1 >= max(3, SHARE * n1)) & (df1 / n1 >= TIMES * (df0 + 0.5) / n0)
-    often = np.argsort(-(df1 + df0 + 1e6 * bad), kind="stable")[:LEXICON]
-    model = Crf(np.sort(known[often]), np.zeros(len(often) + 1), np.zeros((2, 2)), np.array([-8.0, 0.0, 0.0]))
-    if not len(of) or not bad.any():
+    """Fits the field and the score's curve on labelled texts. Without a toxic text, or a clean one, every score is near 0."""
+    model = Crf()
+    order = np.random.default_rng(7).permutation(len(texts))
+    fresh, held = order[order % HELD > 0], order[order % HELD == 0]
+    if not toxic[fresh].any() or toxic[fresh].all():
         return model
-    f, first = model.features(words.hashes), _starts(words)
-    tags = (bad[of] & (toxic[doc] == 1)).astype(np.float64)
-    inner = ~first[1:]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (tags[:-1][inner].astype(int), tags[1:][inner].astype(int)), 1)
-    hits, counts = np.bincount(f, tags, len(model.weights)), np.bincount(f, minlength=len(model.weights))
-    model.weights = np.log((hits + 0.1) / (counts - hits + 1.0))  # a start near the optimum
-    m1, m2, t1, t2 = np.zeros_like(model.weights), np.zeros_like(model.weights), np.zeros((2, 2)), np.zeros((2, 2))
-    for step in range(1, STEPS + 1):  # Adam on the log likelihood with a quadratic penalty
-        p, expected = marginals(first, model.weights[f], model.trans, pairs=True)
-        g = (hits - np.bincount(f, p, len(model.weights))) / (1 + counts) - 1e-4 * model.weights
-        t = (seen - expected) / len(f) - 1e-4 * model.trans
-        m1, m2, t1, t2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g, 0.9 * t1 + 0.1 * t, 0.99 * t2 + 0.01 * t * t
-        a, b = 1 - 0.9**step, 1 - 0.99**step
-        model.weights += 0.1 * (m1 / a) / (np.sqrt(m2 / b) + 1e-8)
-        model.trans += 0.1 * (t1 / a) / (np.sqrt(t2 / b) + 1e-8)
-    x = _signals(marginals(first, model.weights[f], model.trans), words.first)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    batches = _batches([texts[i] for i in fresh], toxic[fresh])
+    theta = np.zeros(BUCKETS + 5, np.float32)  # weights, bias, trans
+    theta[BUCKETS] = START
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    checks = _batches([texts[i] for i in held], toxic[held])
+    best, kept, steps, worse = -np.inf, theta.copy(), 0, 0
+
+    def taken(now: np.ndarray) -> None:
+        model.weights, model.bias, model.trans = now[:BUCKETS], float(now[BUCKETS]), now[BUCKETS + 1 :].reshape(2, 2).astype(np.float64)
+
+    for _ in range(PASSES):  # Adam on the log likelihood with a quadratic penalty
+        for b in batches:
+            taken(theta)
+            _, token, pairs = _step(model, b)
+            g = np.empty_like(theta)
+            g[:BUCKETS] = np.bincount(b.f.reshape(-1), np.outer(token, VALUES).reshape(-1), BUCKETS)
+            g[BUCKETS] = token.sum()
+            g[BUCKETS + 1 :] = pairs.reshape(-1)
+            g /= len(b.places)
+            g -= PENALTY * theta
+            steps += 1
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            theta += RATE * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)
+        taken(theta)
+        value = sum(_step(model, b)[0] for b in checks)
+        if value > best:
+            best, worse = value, 0
+            kept[:] = theta
+        elif (worse := worse + 1) == PATIENCE:
+            break
+    taken(kept)
+    del batches, theta, m, v
+    x, y = [], []
+    for b in checks:
+        x.append(_signals(marginals(b.first, model.emissions(b.f), model.trans), np.append(b.places, len(b.first))))
+        y.append(b.toxic)
+    x, y = np.concatenate(x) if x else np.empty((0, 2)), np.concatenate(y) if y else np.empty(0)
+    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(2), np.ones(2))
     x = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     curve = np.zeros(3)
     for _ in range(20):  # Newton's steps with a quadratic penalty, on standardized signals
         q = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + np.eye(3)
-        curve += np.linalg.solve(h, x.T @ (toxic - q) - curve)
+        h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + CURVE_PENALTY * np.eye(3)
+        curve += np.linalg.solve(h, x.T @ (y - q) - CURVE_PENALTY * curve)
     model.curve = np.concatenate(([curve[0] - (curve[1:] * mean / scale).sum()], curve[1:] / scale))
     return model
 
@@ -165,12 +281,15 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Crf, names: list[str]) ->
     for batch in slices(batches, "text"):
         texts = texts_of(batch, "text")
         words = Pieces(texts, _SEPARATORS, lower=True)
-        p = marginals(_starts(words), model.weights[model.features(words.hashes)], model.trans) if len(words.hashes) else np.empty(0)
+        p = model.tag(words)
         x = _signals(p, words.first)
         score = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ model.curve, -30, 30)))
         offset = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        hot = np.flatnonzero(p >= 0.5)
+        hot = p >= 0.5
+        for d in np.flatnonzero((score >= 0.5) & (np.diff(words.first) > 0)).tolist():
+            hot[words.first[d] + p[words.first[d] : words.first[d + 1]].argmax()] = True
+        hot = np.flatnonzero(hot)
         for i, d in zip(hot.tolist(), (np.searchsorted(words.first, hot, side="right") - 1).tolist(), strict=True):
             text, a, b = texts[d], int(words.starts[i] - offset[d]), int(words.ends[i] - offset[d])
             start = len(text[:a].decode("utf-8", "ignore"))
@@ -179,24 +298,40 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Crf, names: list[str]) ->
         yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*names, "score", "spans"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """A model of a sample of at most SAMPLE_TOXIC and SAMPLE_OTHER labelled documents, chosen by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, toxic) of the documents to learn from, one row for each.
 
-    Only rows with crc32(id as text) mod 5 other than 0 are learned from. Null ids and labels are passed over; an id with
-    several labels counts by the largest. Texts of over SAMPLE_BYTES bytes are scored but not trained on.
+    Of each label at most SAMPLE_TOXIC and SAMPLE_OTHER documents in the order of a hash of the id, and of those, in the
+    same order, all that fit into SAMPLE_BYTES together (one that does not fit is left out, the next may fit). Only rows with
+    crc32(id as text) mod 5 other than 0 count. Null ids, texts and labels are passed over; an id with several labels
+    counts by the largest, one with several texts by the shortest.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(crc32_text("doc_id") % 5 != 0).withColumn("h", F.xxhash64("doc_id"))
-    chosen = known.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_OTHER)).drop("h")
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = given.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").collect()  # as many rows as chosen at most
-    return train([r.text.encode() for r in rows], np.array([r.toxic for r in rows], np.float64))
+    chosen = known.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_OTHER))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    sizes = given.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("size").alias("size"), F.first("toxic").alias("toxic"), F.first("h").alias("h"))
+    left, taken = SAMPLE_BYTES, []
+    for r in sizes.orderBy("h", "doc_id").collect():  # as many rows as chosen at most
+        if r.size <= left:
+            left -= r.size
+            taken.append((r.doc_id, r.size, r.toxic))
+    ids = docs.sparkSession.createDataFrame(taken, "doc_id long, size int, toxic int")
+    return given.withColumn("size", F.octet_length("text")).join(F.broadcast(ids), ["doc_id", "size"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Crf:
+    """A model of sample(); empty tables give one that scores every document near 0."""
+    rows = sample(docs, labels, id_col, text_col).orderBy("doc_id").toArrow()  # SAMPLE_BYTES of text at most
+    return train(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("toxic").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, score, spans (code points of tokens whose toxic probability is at least 0.5) and all columns in `row`.
+    """Per row: doc_id, score, spans (code points of the offending tokens) and all columns in `row`.
 
-    Only the text bears on the score; null counts as empty, and a text without words gets the lowest score.
+    Only the text bears on the score: null counts as empty, texts without words get the lowest score, repeated rows get
+    equal scores, rows with a null id are scored too. Whole texts are read; one text needs about 30 times its bytes of
+    memory, and texts that are read together hold SLICE_BYTES. Columns may have any names, since they stay in `row`.
     """
     prepared(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
@@ -207,4 +342,4 @@ def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "
 def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (crc32_text("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))).alias("spans"))
+    return out.select("doc_id", F.coalesce(crc32_text("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))).alias("spans"))
