@@ -116,7 +116,7 @@ def test_joins_are_brute_force(spark, a, b, k):
     v, q = (spark.createDataFrame([(x,) for x in s], "word string") for s in (a, b))
     want = {(x, y, lev(x, y)) for x in a for y in b if lev(x, y) <= k}
     assert {tuple(r) for r in wordjoin.edit_word_join(v, q, k).collect()} == want
-    assert {tuple(r) for r in wordjoin.edit_word_join(v, q, k, broadcast_words=0).collect()} == want
+    assert {tuple(r) for r in wordjoin.edit_word_join(v, q, k, band_words=0).collect()} == want
     ham = {(x, y, sum(c != d for c, d in zip(x, y, strict=True))) for x in a for y in b if len(x) == len(y)}
     assert {tuple(r) for r in wordjoin.hamming_word_join(v, q, k).collect()} == {h for h in ham if h[2] <= k}
 

@@ -35,6 +35,8 @@ def word_matches(a: Column, b: Column, match_type: Column, match_dist: Column) -
 
 
 def letter_mask(word: Column) -> Column:
-    """A bit for each letter a to z that occurs; one edit changes two bits at most."""
-    bits = (F.when(F.instr(word, chr(97 + i)) > 0, 1 << i).otherwise(0) for i in range(26))
+    """Two bits for each letter a to z: it occurs, it occurs twice. One edit changes two bits at most."""
+    once = lambda i: F.instr(word, chr(97 + i))
+    bits = [F.when(once(i) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(26)]
+    bits += [F.when(F.length(word) - F.length(F.translate(word, chr(97 + i), "")) > 1, F.lit(1 << 26 + i)).otherwise(F.lit(0)).cast("long") for i in range(26)]
     return reduce(lambda x, y: x.bitwiseOR(y), bits)

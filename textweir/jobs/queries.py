@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweir.functions import distance as dist
 from textweir.functions.text import normalize_text
+from textweir.jobs import replay
 from textweir.jobs.derived import documents, keyword_queries, log_lines
 from textweir.operators import lifecycle, matching, verify, wordjoin
 from textweir.sources import commands as cmd
+from textweir.sources.tables import shared_path
 from textweir.streaming import streams
 
 
@@ -34,18 +33,9 @@ def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return wordjoin.vocabulary(dw), wordjoin.dictionary(qw)
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='textweir-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def read_command_log(spark, d):
     """S1: the derived log, written as text and read back in its global order."""
-    path = _shared(spark, "log")
+    path = shared_path(spark, "log")
     log_lines(spark, d).orderBy("seq", "value").select("value").write.text(path)
     return cmd.read_command_log(spark, path)
 
@@ -82,7 +72,13 @@ def validate_commands(spark, d):
 
 
 def write_results(spark, d):
-    return _expected_lines(spark, d)
+    """S7: results of the exact queries, written as `r` lines and as Parquet, and read back from both."""
+    docs, text, rows = documents(spark, d), shared_path(spark, "lines"), shared_path(spark, "rows")
+    results = matching.document_results(docs, matching.match_exact(docs, keyword_queries(spark, d)))
+    cmd.write_results(results, text, "text")
+    cmd.write_results(results, rows)
+    lines = spark.read.text(text).withColumn("doc_id", F.split("value", " ")[1].cast("long"))
+    return _ids(lines.join(spark.read.parquet(rows), "doc_id", "full_outer")).select("doc_id", "value", "num_res", "query_ids")
 
 
 def query_words(spark, d):
@@ -147,9 +143,9 @@ def edit_word_join(spark, d):
     return wordjoin.edit_word_join(*_tables(spark, d), 2)
 
 
-def edit_word_join_by_segments(spark, d):
-    """J6 as for a dictionary too large to broadcast."""
-    return wordjoin.edit_word_join(*_tables(spark, d), 1, broadcast_words=0)
+def edit_word_join_by_keys(spark, d):
+    """J6 as for a dictionary of any size: by deletions and by segments."""
+    return wordjoin.edit_word_join(*_tables(spark, d), 2, band_words=0)
 
 
 def word_match_table(spark, d):
@@ -250,27 +246,34 @@ def verify_results(spark, d):
     return _ids(verify.verify_results(results, expected), "missing_ids", "extra_ids")
 
 
-def _stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    path = _shared(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+def match_stream(spark, d):
+    """T1: the documents as a stream of several micro-batches against the query table."""
+    path, out = shared_path(spark, "docs"), shared_path(spark, "matched")
+    docs = documents(spark, d)
+    docs.repartition(6).write.parquet(path)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    streams.match_stream(stream, keyword_queries(spark, d), out, shared_path(spark, "state")).awaitTermination()
+    return _ids(streams.delivered(spark, out)).select("doc_id", "num_res", "query_ids")
 
 
-def match_stream(spark, d):
-    """T1: the documents as a stream against the query table."""
-    out = _shared(spark, "matched")
-    streams.match_stream(_stream(spark, documents(spark, d), "docs"), keyword_queries(spark, d), out, _shared(spark, "state")).awaitTermination()
+def deliver_once(spark, d):
+    """T4: every document is sent three times, twice in one micro-batch and once more in another; each has one result."""
+    path, out, state = shared_path(spark, "docs"), shared_path(spark, "once"), shared_path(spark, "state")
+    docs, q = documents(spark, d), keyword_queries(spark, d).where("match_type = 0")
+    for sent in (docs.union(docs), docs.withColumn("text", F.lit("sent again"))):
+        sent.write.mode("append").parquet(path)
+        streams.match_stream(spark.readStream.schema(docs.schema).parquet(path), q, out, state).awaitTermination()
     return _ids(streams.delivered(spark, out)).select("doc_id", "num_res", "query_ids")
 
 
-def _replayed(spark: SparkSession, commands: DataFrame, segments: int = 4) -> str:
-    """Where the results of the commands as a stream are: a micro-batch for each of several ranges of seq, in their order.
+def _replayed(spark: SparkSession, commands: DataFrame, segments: int = 4) -> tuple[str, str]:
+    """Where the results and the registry of the commands as a stream are: a micro-batch for each of several ranges of seq.
 
     A range's files arrive only when the ranges before are through, so the order of the batches depends neither on the
     number of files nor on their times.
     """
-    staged, source, out = _shared(spark, "staged"), _shared(spark, "commands"), _shared(spark, "replayed")
-    registry, state = _shared(spark, "registry"), _shared(spark, "state")
+    staged, source, out = shared_path(spark, "staged"), shared_path(spark, "commands"), shared_path(spark, "replayed")
+    registry, state = shared_path(spark, "registry"), shared_path(spark, "state")
     bounds = sorted(set(commands.approxQuantile("seq", [k / segments for k in range(1, segments)], 0.25 / segments)))
     segment = sum((F.coalesce(F.col("seq").cast("double") > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
     cut = commands.withColumn("segment", segment)
@@ -279,21 +282,38 @@ def _replayed(spark: SparkSession, commands: DataFrame, segments: int = 4) -> st
         part = spark.read.schema(cut.schema).parquet(staged).where(F.col("segment") == k).drop("segment")
         part.write.mode("append").parquet(source)
         streams.replay_stream(spark.readStream.schema(commands.schema).parquet(source), registry, out, state).awaitTermination()
-    return out
+    return out, registry
 
 
 def replay_stream(spark, d):
-    """T2 to T4: the command log as a stream; the registry holds the queries, results are delivered once."""
-    return _ids(streams.delivered(spark, _replayed(spark, _parsed(spark, d)))).select("doc_id", "num_res", "query_ids")
+    """T2: the command log as a stream; the registry holds the queries, results are delivered once."""
+    return _ids(streams.delivered(spark, _replayed(spark, _parsed(spark, d))[0])).select("doc_id", "num_res", "query_ids")
+
+
+def update_registry(spark, d):
+    """T3: the registry after the log's query changes came in several micro-batches."""
+    changes, state = _parsed(spark, d).where("cmd <> 'm'"), shared_path(spark, "registry")
+    bounds = [-1.0, *sorted(set(changes.approxQuantile("seq", [0.25, 0.5, 0.75], 0.06))), float("inf")]
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        streams.update_registry(changes.where((F.col("seq") > a) & (F.col("seq") <= b)), k, state)
+    return streams.registry(spark, state).select("query_id", "start_seq", "end_seq")
+
+
+def replay_log(spark, d):
+    """A log file with the results of the exact queries as its `r` lines, from text to verified results."""
+    path, docs = shared_path(spark, "log"), documents(spark, d)
+    lines = _expected_lines(spark, d).join(docs.select("doc_id", "seq"), "doc_id").select((F.col("seq") * 10 + 3).alias("seq"), "value")
+    log_lines(spark, d).unionByName(lines).orderBy("seq", "value").select("value").write.text(path)
+    return _ids(replay.replay_log(spark, path), "query_ids", "missing_ids", "extra_ids")
 
 
 QUERIES = {f.__name__: f for f in (
     read_command_log, parse_starts, parse_ends, parse_documents, parse_expected, validate_commands, write_results,
     query_words, doc_words, normalized_text, exact_match, hamming_distance, edit_distance, word_matches,
-    query_lifetimes, active_queries, active_at_document, exact_word_join, hamming_word_join, edit_word_join, edit_word_join_by_segments, word_match_table, first_word_candidates,
+    query_lifetimes, active_queries, active_at_document, exact_word_join, hamming_word_join, edit_word_join, edit_word_join_by_keys, word_match_table, first_word_candidates,
     match_exact, match_hamming, match_edit, match_documents, document_results, unmatched_documents,
     vocabulary, dictionary, index_thresholds, best_distances, covered_words,
-    assign_epochs, first_by_seq, sorted_ids, in_arrival_order, union_matches, undelivered, match_stream, replay_stream, verify_results)}
+    assign_epochs, first_by_seq, sorted_ids, in_arrival_order, union_matches, undelivered, match_stream, replay_stream, update_registry, deliver_once, verify_results, replay_log)}
 
 _NORM = "lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
 _BASE = rf"""
@@ -329,13 +349,20 @@ r AS (SELECT seq, cmd, id, CASE WHEN cmd = 's' AND (dist > 3 OR (typ = 0 AND dis
   WHEN len(list_filter(string_split(body, ' '), lambda x: x <> '' AND NOT length(x) BETWEEN 4 AND 31)) > 0 THEN 'word length' END AS reason FROM c)
 SELECT seq, cmd, id, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY cmd, id, reason IS NULL ORDER BY seq) > 1 THEN 'id used before' END, 'good') AS reason FROM r"""
 
+_EDIT_TWO = "SELECT v.word AS doc_word, k.word AS query_word, levenshtein(v.word, k.word)::INTEGER AS edit FROM v JOIN k ON length(v.word) BETWEEN length(k.word) - 2 AND length(k.word) + 2 WHERE levenshtein(v.word, k.word) <= 2"
+_X = ", x AS (SELECT d.doc_id, count(m.query_id) FILTER (m.match_type <> 0) AS n, coalesce(string_agg(m.query_id::VARCHAR, ',' ORDER BY m.query_id) FILTER (m.match_type <> 0), '') AS extra_ids FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY 1)\n"
+
 SQL = {
     "parse_starts": _BASE + "SELECT start_seq * 10 AS seq, query_id, array_to_string(words, ' ') AS query_str, match_type, match_dist FROM q",
     "parse_ends": _BASE + "SELECT end_seq * 10 + 1 AS seq, query_id FROM q WHERE end_seq IS NOT NULL",
     "parse_documents": _BASE + "SELECT seq * 10 + 2 AS seq, doc_id, CASE WHEN len(ws) > 0 THEN array_to_string(ws, ' ') END AS text FROM dl",
     "parse_expected": _EXACT + "SELECT doc_id * 100 + 53 AS seq, doc_id, num_res, query_ids FROM res",
     "validate_commands": _RAW,
-    "write_results": _EXACT + "SELECT doc_id, 'r ' || doc_id || ' ' || num_res || CASE WHEN num_res > 0 THEN ' ' || replace(query_ids, ',', ' ') ELSE '' END AS value FROM res",
+    "write_results": _EXACT + "SELECT doc_id, 'r ' || doc_id || ' ' || num_res || CASE WHEN num_res > 0 THEN ' ' || replace(query_ids, ',', ' ') ELSE '' END AS value, num_res, query_ids FROM res",
+    "read_command_log": _BASE + """, lines AS (SELECT start_seq * 10 AS at, 's ' || query_id || ' ' || match_type || ' ' || match_dist || ' ' || len(words) || ' ' || array_to_string(words, ' ') AS value FROM q
+  UNION ALL SELECT end_seq * 10 + 1, 'e ' || query_id FROM q WHERE end_seq IS NOT NULL
+  UNION ALL SELECT seq * 10 + 2, 'm ' || doc_id || ' ' || len(ws) || ' ' || array_to_string(ws, ' ') FROM dl)
+SELECT row_number() OVER (ORDER BY at, value)::BIGINT AS seq, value FROM lines""",
     "query_words": _BASE + "SELECT * FROM qw",
     "doc_words": _BASE + "SELECT * FROM dw",
     "normalized_text": _BASE + "SELECT doc_id, text FROM d",
@@ -348,8 +375,8 @@ SQL = {
     "active_at_document": _BASE + "SELECT doc_id, query_id FROM d JOIN q ON start_seq < seq AND (end_seq IS NULL OR seq < end_seq)",
     "exact_word_join": _BASE + "SELECT word AS doc_word, word AS query_word FROM v JOIN k USING (word)",
     "hamming_word_join": _BASE + "SELECT v.word AS doc_word, k.word AS query_word, hamming(v.word, k.word)::INTEGER AS hamming FROM v JOIN k ON length(v.word) = length(k.word) WHERE CASE WHEN length(v.word) = length(k.word) THEN hamming(v.word, k.word) END <= 2",
-    "edit_word_join": _BASE + "SELECT v.word AS doc_word, k.word AS query_word, levenshtein(v.word, k.word)::INTEGER AS edit FROM v JOIN k ON length(v.word) BETWEEN length(k.word) - 2 AND length(k.word) + 2 WHERE levenshtein(v.word, k.word) <= 2",
-    "edit_word_join_by_segments": _BASE + "SELECT v.word AS doc_word, k.word AS query_word, levenshtein(v.word, k.word)::INTEGER AS edit FROM v JOIN k ON length(v.word) BETWEEN length(k.word) - 1 AND length(k.word) + 1 WHERE levenshtein(v.word, k.word) <= 1",
+    "edit_word_join": _BASE + _EDIT_TWO,
+    "edit_word_join_by_keys": _BASE + _EDIT_TWO,
     "word_match_table": _BASE + _WM + "SELECT * FROM wm",
     "first_word_candidates": _BASE + _HITS + "SELECT DISTINCT doc_id, query_id FROM hw WHERE pos = 0",
     "match_exact": _BASE + _HITS + "SELECT doc_id, query_id FROM m WHERE match_type = 0",
@@ -371,5 +398,10 @@ SQL = {
     "undelivered": _ALL + "SELECT doc_id, num_res FROM res WHERE doc_id % 3 <> 0",
     "match_stream": _ALL + "SELECT doc_id, num_res, query_ids FROM res",
     "replay_stream": _ALL + "SELECT doc_id, num_res, query_ids FROM res",
-    "verify_results": _ALL + ", x AS (SELECT d.doc_id, count(m.query_id) FILTER (m.match_type <> 0) AS n, coalesce(string_agg(m.query_id::VARCHAR, ',' ORDER BY m.query_id) FILTER (m.match_type <> 0), '') AS extra_ids FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY 1)\nSELECT doc_id, CASE WHEN n = 0 THEN 'ok' ELSE 'wrong' END AS status, '' AS missing_ids, extra_ids FROM x",
+    "update_registry": _BASE + "SELECT query_id, start_seq * 10 AS start_seq, end_seq * 10 + 1 AS end_seq FROM q",
+    "deliver_once": _EXACT + "SELECT doc_id, num_res, query_ids FROM res",
+    "verify_results": _ALL + _X + "SELECT doc_id, CASE WHEN n = 0 THEN 'ok' ELSE 'wrong' END AS status, '' AS missing_ids, extra_ids FROM x",
+    # A document without a legal word is no sound command; its `r` line has no result.
+    "replay_log": _ALL + _X + """SELECT doc_id, CASE WHEN len(ws) > 0 THEN num_res END AS num_res, CASE WHEN len(ws) > 0 THEN query_ids ELSE '' END AS query_ids,
+  CASE WHEN len(ws) = 0 THEN 'missing' WHEN n = 0 THEN 'ok' ELSE 'wrong' END AS status, '' AS missing_ids, extra_ids FROM x JOIN res USING (doc_id) JOIN dl USING (doc_id)""",
 }

@@ -22,17 +22,18 @@ def active_queries(lifetimes: DataFrame, seq: int) -> DataFrame:
     return lifetimes.where(active(F.lit(seq)))
 
 
-def active_at_document(documents: DataFrame, lifetimes: DataFrame, span: int = 1000) -> DataFrame:
+def active_at_document(documents: DataFrame, lifetimes: DataFrame, spans: int = 1000) -> DataFrame:
     """(doc_id, query_id) of all documents and the queries active at their arrival.
 
-    A range join as an equi-join: the clock is cut into spans, a query is active in each span from its start to its end
-    (an open one to the last document), and a document lies in one. The result is as large as the sum of active sets;
-    the matching operators carry the condition in their word join instead.
+    A range join as an equi-join: the documents' clock is cut into at most `spans` equal spans, a query is active in each
+    from its start to its end (an open one to the last document), and a document lies in one. The result is as large as the
+    sum of active sets; the matching operators carry the condition in their word join instead.
     """
-    last = documents.agg(F.max("seq").alias("last"))
-    spans = F.sequence(F.floor(F.col("start_seq") / span), F.greatest(F.floor(F.col("start_seq") / span), F.floor(F.least(F.coalesce("end_seq", "last"), F.col("last")) / span)))
-    q = lifetimes.join(F.broadcast(last), F.lit(True)).where("start_seq <= last").select("query_id", "start_seq", "end_seq", F.explode(spans).alias("span"))  # one row is broadcast
-    d = documents.select("doc_id", "seq", F.floor(F.col("seq") / span).alias("span"))
+    clock = documents.agg(F.min("seq").alias("least"), F.max("seq").alias("most")).withColumn("width", F.floor((F.col("most") - F.col("least")) / spans) + 1)
+    span = lambda seq: F.floor((F.least(F.greatest(seq, F.col("least")), F.col("most")) - F.col("least")) / F.col("width"))
+    q = lifetimes.join(F.broadcast(clock), F.lit(True)).where("start_seq <= most and (end_seq is null or end_seq >= least)")  # one row is broadcast
+    q = q.select("query_id", "start_seq", "end_seq", F.explode(F.sequence(span(F.col("start_seq")), F.greatest(span(F.col("start_seq")), span(F.coalesce("end_seq", "most"))))).alias("span"))
+    d = documents.join(F.broadcast(clock), F.lit(True)).select("doc_id", "seq", span(F.col("seq")).alias("span"))
     return d.join(q, "span").where(active(F.col("seq"))).select("doc_id", "query_id")
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweir.functions.distance import hamming_distance, letter_mask
 from textweir.functions.text import MOST_DISTANCE
+from textweir.sources.tables import stored
 
-#: A dictionary of at most so many words (about 100 bytes each) is broadcast; a larger one is joined by segments.
-BROADCAST_WORDS = 200_000
+#: Each vocabulary word is compared with all dictionary words of about its length while these are at most so many; beyond
+#: that words meet in the letters they have in common. Such a dictionary holds at most 15 times as many words, about 1 MB.
+BAND_WORDS = 1500
 
 
 def vocabulary(doc_words: DataFrame) -> DataFrame:
@@ -33,53 +38,95 @@ def exact_word_join(vocab: DataFrame, words: DataFrame) -> DataFrame:
     return vocab.join(words.select("word").distinct(), "word").select(F.col("word").alias("doc_word"), F.col("word").alias("query_word"))
 
 
-def _segments(word: str, k: int):
-    """(number, segment) of k + 1 near-equal cuts."""
+def _cut(word: str, parts: int) -> list[Column]:
+    """The word in `parts` near-equal pieces."""
     n = F.length(word)
-    start = lambda i: F.floor(n * i / (k + 1)).cast("int")
-    return F.array(*(F.struct(F.lit(i).alias("no"), F.substring(F.col(word), start(i) + 1, start(i + 1) - start(i)).alias("piece")) for i in range(k + 1)))
+    start = lambda i: F.floor(n * i / parts).cast("int")
+    return [F.substring(F.col(word), start(i) + 1, start(i + 1) - start(i)) for i in range(parts)]
 
 
 def hamming_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE) -> DataFrame:
     """(doc_word, query_word, hamming) of equal length and at most k mismatches.
 
-    k mismatches leave one of k + 1 segments untouched, so words meet on (length, number, segment); pairs are verified
-    before they are made distinct.
+    k mismatches leave two of k + 2 pieces untouched, so words meet on (length, which two, their letters): a key has half
+    or a third of a word's letters, far rarer than a single piece. Pairs are verified before they are made distinct.
     """
-    cut = lambda df, name: df.select(F.col("word").alias(name)).distinct().select(name, F.length(name).alias("len"), F.explode(_segments(name, k)).alias("s")).select(name, "len", "s.no", "s.piece")
-    pairs = cut(vocab, "doc_word").join(cut(words, "query_word"), ["len", "no", "piece"])
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        pieces = _cut(name, k + 2)
+        two = [F.concat(F.lit(f"{i}{j}"), pieces[i], F.lit(" "), pieces[j]) for i, j in combinations(range(k + 2), 2)]
+        return df.select(F.col("word").alias(name)).distinct().select(name, F.length(name).alias("len"), F.explode(F.array(*two)).alias("key"))
+
+    pairs = keyed(vocab, "doc_word").join(keyed(words, "query_word"), ["len", "key"])
     return pairs.select("doc_word", "query_word", hamming_distance(F.col("doc_word"), F.col("query_word")).alias("hamming")).where(F.col("hamming") <= k).distinct()
 
 
-def edit_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def _shorter(word: str, k: int) -> Column:
+    """The distinct strings that are left of a word after up to k deletions."""
+    without = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda p: F.concat(F.substring(s, F.lit(1), p - 1), F.substring(s, p + 1, F.length(s))))
+    levels = [F.array(F.col(word))]
+    for _ in range(k):
+        some = F.filter(levels[-1], lambda s: s != "")
+        levels.append(F.array_distinct(F.flatten(F.transform(some, without))))
+    return F.array_distinct(F.concat(*levels))
+
+
+def _band(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    near = F.explode(F.sequence(F.length("doc_word") - k, F.length("doc_word") + k)).alias("len")
+    left = v.select("doc_word", letter_mask(F.col("doc_word")).alias("vm")).select("doc_word", "vm", near)
+    return left.join(F.broadcast(q.withColumn("qm", letter_mask(F.col("query_word")))), "len").where(F.bit_count(F.col("vm").bitwiseXOR(F.col("qm"))) <= 2 * k)
+
+
+def _by_deletions(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """k edits are at most k deletions on either side: words meet in what both can be shortened to."""
+    cut = lambda df, name: df.select(name, F.explode(_shorter(name, k)).alias("rest"))
+    return cut(v, "doc_word").join(cut(q, "query_word"), "rest").select("doc_word", "query_word").distinct()
+
+
+def _by_segments(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """k edits leave one of the k + 1 pieces of the dictionary word whole, shifted by at most k."""
+    pieces = F.array(*(F.struct(F.lit(i).alias("no"), p.alias("piece")) for i, p in enumerate(_cut("query_word", k + 1))))
+    cut = q.select("query_word", "len", F.explode(pieces).alias("s")).select("query_word", "len", "s.no", "s.piece")
+    start = lambda i: F.floor(F.col("len") * i / (k + 1)).cast("int")
+    left = v.select("doc_word", F.explode(F.sequence(F.length("doc_word") - k, F.length("doc_word") + k)).alias("len")).where(F.col("len") >= 3 * (k + 1))
+    shifted = lambda i: F.transform(F.sequence(start(i) + 1 - k, start(i) + 1 + k), lambda p: F.struct(F.lit(i).alias("no"), p.alias("p"), (start(i + 1) - start(i)).alias("n")))
+    left = left.select("doc_word", "len", F.explode(F.flatten(F.array(*(shifted(i) for i in range(k + 1))))).alias("a")).where("a.p >= 1 and a.p + a.n - 1 <= length(doc_word)")
+    left = left.select("doc_word", "len", "a.no", F.substring(F.col("doc_word"), F.col("a.p"), F.col("a.n")).alias("piece")).distinct()
+    return left.join(cut, ["len", "no", "piece"]).select("doc_word", "query_word").distinct()
+
+
+def edit_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE, band_words: int = BAND_WORDS) -> DataFrame:
     """(doc_word, query_word, edit) within edit distance k.
 
-    A dictionary of bounded size is broadcast and met by length: a vocabulary word asks for the lengths within k of its
-    own, then the letter masks and the thresholded distance decide. A larger one is met by segments: k edits
-    leave one of the k + 1 segments of the dictionary word whole, shifted by at most k.
+    How many pairs a comparison by length makes is known from the dictionary's lengths, a row for each. If it is at most
+    band_words for each vocabulary word, the dictionary is broadcast and met by length; letter masks and the thresholded
+    distance decide. Otherwise words meet by equi-joins: dictionary words whose k + 1 pieces have three letters or more by
+    shifted pieces, shorter ones by deletions.
     """
     v = vocab.select(F.col("word").alias("doc_word")).distinct()
     q = words.select(F.col("word").alias("query_word")).distinct().withColumn("len", F.length("query_word"))
-    near = F.explode(F.sequence(F.length("doc_word") - k, F.length("doc_word") + k)).alias("len")
-    if q.limit(broadcast_words + 1).count() <= broadcast_words:
-        left = v.select("doc_word", letter_mask(F.col("doc_word")).alias("vm")).select("doc_word", "vm", near)
-        pairs = left.join(F.broadcast(q.withColumn("qm", letter_mask(F.col("query_word")))), "len").where(F.bit_count(F.col("vm").bitwiseXOR(F.col("qm"))) <= 2 * k)
+    lengths = {r["len"]: r["count"] for r in q.groupBy("len").count().collect()}  # a row for each length
+    if not lengths:
+        pairs = v.join(q, v.doc_word == q.query_word)
+    elif max(sum(lengths.get(n + d, 0) for d in range(-k, k + 1)) for n in lengths) <= band_words:
+        pairs = _band(v, q, k)
     else:
-        start = lambda i: F.floor(F.col("len") * i / (k + 1)).cast("int")
-        cut = q.select("query_word", "len", F.explode(_segments("query_word", k)).alias("s")).select("query_word", "len", "s.no", "s.piece")
-        left = v.select("doc_word", near).where("len > 0")
-        shifted = lambda i: F.transform(F.sequence(start(i) + 1 - k, start(i) + 1 + k), lambda p: F.struct(F.lit(i).alias("no"), p.alias("p"), (start(i + 1) - start(i)).alias("n")))
-        asks = F.flatten(F.array(*(shifted(i) for i in range(k + 1))))
-        left = left.select("doc_word", "len", F.explode(asks).alias("a")).where("a.p >= 1 and a.p + a.n - 1 <= length(doc_word)")
-        left = left.select("doc_word", "len", "a.no", F.substring(F.col("doc_word"), F.col("a.p"), F.col("a.n")).alias("piece")).distinct()
-        pairs = left.join(cut, ["len", "no", "piece"]).select("doc_word", "query_word").distinct()
+        short = 3 * (k + 1)
+        pairs = _by_deletions(v.where(F.length("doc_word") < short + k), q.where(F.col("len") < short), k).unionByName(_by_segments(v.where(F.length("doc_word") >= short - k), q.where(F.col("len") >= short), k))
     return pairs.select("doc_word", "query_word", F.levenshtein("doc_word", "query_word", k).alias("edit")).where("edit >= 0")
 
 
 def word_match_table(vocab: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(doc_word, query_word, hamming, edit), each distance null beyond what the query word needs."""
-    t = thresholds.select(F.col("word").alias("query_word"), "max_hamming", "max_edit")
-    ham = hamming_word_join(vocab, thresholds.where("max_hamming > 0")).unionByName(exact_word_join(vocab, thresholds.where("max_hamming = 0")).withColumn("hamming", F.lit(0)))
-    edit = edit_word_join(vocab, thresholds.where("max_edit is not null"))
-    both = ham.join(edit, ["doc_word", "query_word"], "full_outer").join(F.broadcast(t) if t.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else t, "query_word")
-    return both.select("doc_word", "query_word", F.when(F.col("hamming") <= F.col("max_hamming"), F.col("hamming")).alias("hamming"), F.when(F.col("edit") <= F.col("max_edit"), F.col("edit")).alias("edit")).where("hamming is not null or edit is not null")
+    """(doc_word, query_word, hamming, edit), each distance null beyond what the query word needs.
+
+    Each word is searched at the distance it needs and no wider: one join for each distance in use.
+    """
+    vocab, thresholds = stored(vocab, "vocabulary"), stored(thresholds, "thresholds")
+    found = []
+    for column, join in (("hamming", hamming_word_join), ("edit", edit_word_join)):
+        other = "edit" if column == "hamming" else "hamming"
+        for k in range(MOST_DISTANCE + 1):
+            need = thresholds.where(F.col(f"max_{column}") == k)
+            pairs = join(vocab, need, k) if k else exact_word_join(vocab, need).withColumn(column, F.lit(0))
+            found.append(pairs.withColumn(other, F.lit(None).cast("int")).select("doc_word", "query_word", "hamming", "edit"))
+    return reduce(DataFrame.unionByName, found).groupBy("doc_word", "query_word").agg(F.min("hamming").alias("hamming"), F.min("edit").alias("edit"))

@@ -64,15 +64,18 @@ def with_reasons(commands: DataFrame) -> DataFrame:
         .when(c("id").isNull() | (c("id") < 0) | ((c("cmd") == "s") & (c("match_type").isNull() | c("match_dist").isNull() | c("body").isNull())) | (c("cmd").isin("m", "r") & c("n_declared").isNull()) | ((c("cmd") == "m") & c("body").isNull()), "too few fields")
         .when((c("cmd") == "s") & ~c("match_type").between(0, 2), "match type")
         .when((c("cmd") == "s") & (~c("match_dist").between(0, MOST_DISTANCE) | ((c("match_type") == 0) & (c("match_dist") != 0))), "distance")
-        .when(text & ~c("body").rlike("^[a-z ]*[a-z][a-z ]*$"), "characters")
+        .when(text & (~c("body").rlike("[a-z]") | c("body").rlike("[^a-z ]")), "characters")
         .when((c("cmd") == "s") & (F.size(own) > MOST_WORDS), "too many words")
         .when((c("cmd") == "m") & (F.length("body") > MOST_CHARS), "too long")
         .when(text & F.exists(own, lambda w: ~F.length(w).between(SHORTEST, LONGEST)), "word length")
         .when((c("cmd") == "r") & ((F.size("result_ids") != c("n_declared")) | F.exists("result_ids", lambda x: x.isNull())), "result count"))
     judged = commands.withColumn("reason", reason)
-    # Only sound commands compete for an id.
-    nth = F.row_number().over(Window.partitionBy("cmd", "id", F.col("reason").isNull()).orderBy("seq"))
-    return judged.withColumn("nth", nth).withColumn("reason", F.when(c("reason").isNull() & (c("nth") > 1) & c("cmd").isin("s", "m", "r"), "id used before").otherwise(c("reason"))).drop("nth")
+    # Only sound commands compete for an id; few ids have several, so a command is looked up among those.
+    twice = judged.where(c("reason").isNull() & c("cmd").isin("s", "m", "r")).groupBy("cmd", "id").agg(F.min("seq").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Bad commands, many of them perhaps without an id, are spread over ids that no sound one has.
+    judged = judged.withColumn("sound_id", F.when(c("reason").isNull(), c("id")).otherwise(-1 - F.pmod("seq", F.lit(1000))))
+    later = judged.join(twice.withColumnRenamed("id", "sound_id"), ["cmd", "sound_id"], "left").withColumn("reason", F.coalesce("reason", F.when(c("seq") > c("first"), F.lit("id used before"))))
+    return later.select(*commands.columns, "reason")
 
 
 def validate_commands(commands: DataFrame) -> tuple[DataFrame, DataFrame]:
