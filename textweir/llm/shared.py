@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -15,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textweir.sources.tables import dropped, shared_dir, stored
+
+__all__ = ["Pieces", "components", "constants", "crc32_text", "dropped", "mixed", "prepared", "runs", "shared_dir", "slices", "stored", "table", "texts_of"]
+
 #: Rows that Spark hands to Python at once, and bytes of text that a Python task works on at once.
 ARROW_ROWS = 512
 SLICE_BYTES = 2_000_000
@@ -34,30 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where the session names none."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = f"file://{tempfile.mkdtemp(prefix='textweir-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: later stages depend on files, not on executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table of stored() that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about `most` bytes of the column's text, or one row."""
     for batch in batches:
