@@ -1,13 +1,15 @@
 """Chat formatting: typed content parts are flattened into one template, turn by turn, and can be read back exactly.
 
-A turn is `<|turn|>role<|says|>body<|end|>` and a newline. In roles and texts the characters `\\`, `<` and `|` of the control
-strings are escaped by a backslash before `<|`, `|>` and `\\`, so no text can forge a turn. Other parts become numbered
-placeholders `<|image:0:256|>`: kind, place among the conversation's attachments of that turn, and expanded tokens.
+A turn is `<|turn|>role<|says|>body<|end|>` and a newline. Each backslash, `<` and `|` of a role or text is written with a
+backslash before it, so no `<|` can come from texts, not even from several that stand side by side, and none can forge a
+turn or an attachment. Other parts become numbered placeholders `<|image:0:256|>`: kind, place among the attachments of
+that turn, and expanded tokens; when a body is read back they are told from texts that merely look like them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,14 +27,15 @@ PARTS = "array<struct<kind:string,text:string,ref:string,size:int>>"
 
 
 def escaped(text: Column) -> Column:
-    """The text with a backslash before each backslash, `<|` and `|>`; no control string is left in it."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(\\|<(?=\|)|\|(?=>))", r"\\$1")
+    """The text with a backslash before each backslash, `<` and `|`; no control string is left in it."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\<|])", r"\\$1")
 
 
 def expanded(part: Column) -> Column:
     """Tokens that an attachment stands for; an unknown kind counts as 1, a null or negative size as 0."""
-    size = F.greatest(F.coalesce(part["size"], F.lit(0)), F.lit(0))
-    return F.when(part["kind"] == "image", F.lit(IMAGE_TOKENS)).when(part["kind"] == "audio", size * AUDIO_TOKENS).when(part["kind"] == "document", size * PAGE_TOKENS).otherwise(F.lit(1))
+    size = F.greatest(F.coalesce(part["size"].cast("long"), F.lit(0)), F.lit(0))
+    tokens = F.when(part["kind"] == "image", F.lit(IMAGE_TOKENS)).when(part["kind"] == "audio", size * AUDIO_TOKENS).when(part["kind"] == "document", size * PAGE_TOKENS)
+    return F.coalesce(tokens, F.lit(1)).cast("long")
 
 
 def _is_text(part: Column) -> Column:
@@ -45,8 +48,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
     A conversation's formatted text is its turns' texts in order of (turn, role, formatted), so no conversation is ever
     held whole. loss_start and loss_end are code points in `formatted`: an assistant's body is under the loss mask, an
     empty range elsewhere. attachments lists kind, ref and tokens in order; extra_tokens sums them. A null role is
-    written as an empty one; null parts are none; a part of null kind is text; a null text is empty. Repeated rows are
-    turns of their own. Other columns are dropped.
+    written as an empty one; null parts are none; a part of null kind is text; a null text is empty. Null ids and turns
+    stay null. Repeated rows are turns of their own. Other columns are dropped, whatever their names; an empty table
+    gives an empty result. A turn needs a few times its bytes of memory.
     """
     parts = F.coalesce("parts", F.array().cast(PARTS))
     others = F.filter(parts, lambda p: ~_is_text(p))
@@ -75,6 +79,18 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return unescaped(role), body
 
 
+_PART = re.compile(r"<\|(image|audio|document|other):(\d+):(\d+)\|>")
+
+
+def read_parts(body: str) -> list[tuple]:
+    """The parts of an escaped body: ("text", text), or (kind, place, tokens) of an attachment. Neighbouring texts are one."""
+    out, at = [], 0
+    for m in _PART.finditer(body):  # an escaped text holds no `<|`
+        out += [("text", unescaped(body[at : m.start()]))] * (m.start() > at) + [(m[1], int(m[2]), int(m[3]))]
+        at = m.end()
+    return out + [("text", unescaped(body[at:]))] * (at < len(body))
+
+
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -109,7 +125,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """One row per conversation, from what format_turns() wrote: turns, the text under the loss mask, and their digests.
 
     Turns are sorted within partitions (which spills) and read as a stream, so a conversation of any length needs the
-    memory of one turn.
+    memory of one turn; its digests run over its turns in order, so one task reads all of them. Rows with a null conv_id are
+    one conversation, rows with a null turn come first; an empty table gives an empty result.
     """
     prepared(formatted.sparkSession)
     rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").select("conv_id", "formatted", "loss_start", "loss_end")
@@ -132,7 +149,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-f AS (SELECT *, replace(replace(replace(text, '\', '\\'), '<|', '\<|'), '|>', '\|>') AS et, replace(replace(replace(role, '\', '\\'), '<|', '\<|'), '|>', '\|>') AS er FROM c)
+f AS (SELECT *, replace(replace(replace(text, '\', '\\'), '<', '\<'), '|', '\|') AS et, replace(replace(replace(role, '\', '\\'), '<', '\<'), '|', '\|') AS er FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, et)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
