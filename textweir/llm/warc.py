@@ -1,23 +1,26 @@
 """WARC: archives of request, response (or revisit) and metadata records, written, read back and assembled by Spark.
 
 A record is text: its header, a blank line and its block, so Spark's text writer with the line separator CR LF CR LF, which
-ends every WARC record, writes valid archives. Reading takes whole archives (a bounded number of records each) and
-parses them by Content-Length. The records of a capture are joined through WARC-Concurrent-To.
+ends every WARC record, writes archives, each a single gzip member. Reading takes whole archives (of a bounded number of
+bytes each), with one member or one for each record, and parses them by Content-Length. The records of a capture are joined
+through WARC-Concurrent-To, in whichever direction the links run and however many a record has.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import io
-import gzip
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textweir.llm.shared import prepared, shared_dir, stored, table
+from textweir.llm.shared import components, prepared, shared_dir, stored, table
 
 LEAST_BYTES = 1000
 #: Records in one archive at most.
@@ -51,39 +54,45 @@ def _pages(pages: DataFrame, least: int, null_ids: bool) -> tuple[DataFrame, Dat
     return named, owners.withColumn("owner_no", F.when(F.col("owner_repeated"), F.concat("digest", F.lit(".1")))).drop("owner_repeated")
 
 
-def records(pages: DataFrame, least: int = LEAST_BYTES, null_ids: bool = False) -> DataFrame:
+def records(pages: DataFrame, least: int = LEAST_BYTES, null_ids: bool = False, date: str | None = None) -> DataFrame:
     """(page_id, url, html) -> one `value` per record: the request, the response or revisit, and the metadata of each page.
 
     Of pages with equal payloads of at least `least` bytes, that with the largest page_id is written as a response and
     the others as revisits that refer to it; payloads are compared by SHA-1 and length. A null html is an empty payload, a null url an empty
     target. Each row has records of its own: where a page_id stands more than once, their ids also have the digest and a
     number. Pages with a null page_id are passed over, or with null_ids written under ids of their own; those whose
-    payload belongs to another page are revisits without WARC-Refers-To.
+    payload belongs to another page are revisits without WARC-Refers-To. date: WARC-Date, the present time if not given.
+    Other columns are ignored, whatever their names; an empty table gives no record. A page needs a few times its bytes.
     """
-    return _records(*_pages(pages, least, null_ids))
+    return _records(*_pages(pages, least, null_ids), least, date)
 
 
-def _records(named: DataFrame, owners: DataFrame) -> DataFrame:
-    rows = named.join(owners, ["digest", "payload_bytes"], "left")
+def _records(named: DataFrame, owners: DataFrame, least: int, date: str | None) -> DataFrame:
+    # Which pages revisit another is settled on ids; payloads, most of which are alike perhaps, are dealt by page.
+    payload = ["digest", "payload_bytes"]
+    known = named.where("page_id is not null")
+    revisits = known.where(F.col("payload_bytes") >= least).select("page_id", *payload).join(owners, payload).where("owner <> page_id").distinct()
+    rows = known.join(revisits, ["page_id", *payload], "left").unionByName(named.where("page_id is null").join(owners, payload, "left"))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     again = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id"))
     refers = again & F.col("page_id").isNotNull()
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     target = F.regexp_replace("url", r"[\r\n]", "")
     name = lambda kind, page="page_id", no="no": F.concat(F.lit(f"<{NS}{kind}:"), F.coalesce(F.col(page).cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("."), no), F.lit("")), F.lit(">"))
 
-    def record(kind: Column, own: str, block: Column, more: Column | None = None) -> Column:
-        head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), name(own), F.lit("\r\nWARC-Target-URI: "), target, F.lit("\r\n"))
+    def record(kind: Column, own: str, content: str, block: Column, more: Column | None = None) -> Column:
+        head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), name(own), F.lit(f"\r\nWARC-Date: {date}\r\nContent-Type: {content}\r\nWARC-Target-URI: "), target, F.lit("\r\n"))
         return F.concat(head, more if more is not None else F.lit(""), F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
     main = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n"), F.when(refers, F.concat(F.lit("WARC-Refers-To: "), name("response", "owner", "owner_no"), F.lit("\r\n"))).otherwise(""), F.when(again, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(""))
     linked = F.concat(F.lit("WARC-Concurrent-To: "), name("response"), F.lit("\r\n"))
-    request = record(F.lit("request"), "request", F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\n\r\n")), linked)
-    response = record(F.when(again, F.lit("revisit")).otherwise("response"), "response", F.when(again, http).otherwise(F.concat(http, "html")), main)
-    metadata = record(F.lit("metadata"), "metadata", F.concat(F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit("\r\n")), linked)
+    request = record(F.lit("request"), "request", "application/http; msgtype=request", F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\n\r\n")), linked)
+    response = record(F.when(again, F.lit("revisit")).otherwise("response"), "response", "application/http; msgtype=response", F.when(again, http).otherwise(F.concat(http, "html")), main)
+    metadata = record(F.lit("metadata"), "metadata", "application/warc-fields", F.concat(F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit("\r\n")), linked)
     return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, null_ids: bool = False) -> str:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, null_ids: bool = False, date: str | None = None) -> str:
     """Writes gzipped archives under path, of at most ARCHIVE_RECORDS records.
 
     Pages of each size class are written apart, larger ones fewer at a time, so that an archive holds about
@@ -94,18 +103,30 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, null_i
     found = sorted(r[0] for r in named.select("class").distinct().collect())
     for k, c in enumerate(found or [0]):
         most = 3 * max(1, ARCHIVE_RECORDS // 3 // STEP**c)
-        out = _records(named.where(F.col("class") == c), owners).write.mode("append" if k else "errorifexists")
+        out = _records(named.where(F.col("class") == c), owners, least, date).write.mode("append" if k else "errorifexists")
         out.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     return path
 
 
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, target string, payload_bytes long, payload_digest string, payload binary"
-_NAMES = RECORD.replace(" string", "").replace(" long", "").replace(" binary", "").split(", ")
-_TYPES = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, target string, payload_bytes long, payload_digest string, payload binary"
+_NAMES = [column.split(" ")[0] for column in RECORD.split(", ")]
+_TYPES = (pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+
+
+def _hex(digest: str | None) -> str | None:
+    """A digest header's value as lower-case hex; SHA-1 may be in base 32."""
+    if digest is None:
+        return None
+    kind, _, value = digest.rpartition(":")
+    return base64.b32decode(value.upper()).hex() if kind.lower() in ("sha1", "") and len(value) == 32 else value.lower()
 
 
 def parse(archive: bytes, with_payload: bool = True) -> Iterator[tuple]:
-    """The records of one archive. A response's payload length and digest are taken from its payload, a revisit's from its header."""
+    """The records of one archive, with as many gzip members as it has.
+
+    A response's payload length and digest are taken from its payload, a revisit's from its header (null if absent). The
+    record's WARC-Concurrent-To may stand several times; of other repeated fields the last one counts.
+    """
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(archive)))
     while line := stream.readline():
         if line == b"\r\n":
@@ -113,17 +134,20 @@ def parse(archive: bytes, with_payload: bool = True) -> Iterator[tuple]:
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no record begins with {line[:40]!r}")
         head: dict[str, str] = {}
+        beside: list[str] = []
         while (line := stream.readline()).strip():
-            k, _, v = line.decode().partition(": ")
-            head[k.lower()] = v.rstrip("\r\n")
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            head[k.strip().lower()] = v.strip()
+            if k.strip().lower() == "warc-concurrent-to":
+                beside.append(v.strip())
         block = stream.read(int(head["content-length"]))
         kind, payload, size, digest = head["warc-type"], None, None, None
         if kind == "response":
             payload = block.partition(b"\r\n\r\n")[2]
             size, digest = len(payload), hashlib.sha1(payload).hexdigest()
         elif kind == "revisit":
-            size, digest = int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:")
-        yield head["warc-record-id"], kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), size, digest, payload if with_payload else None
+            size, digest = int(head["x-payload-length"]) if "x-payload-length" in head else None, _hex(head.get("warc-payload-digest"))
+        yield head["warc-record-id"], kind, beside, head.get("warc-refers-to"), head.get("warc-target-uri"), size, digest, payload if with_payload else None
 
 
 def _parsed(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
@@ -148,13 +172,16 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 def assemble(rows: DataFrame) -> DataFrame:
     """One nested row per capture: page_id, response, request, metadata (null where the archive has none).
 
-    The records that name the same record in WARC-Concurrent-To, and that record, make a capture.
+    Records that WARC-Concurrent-To ties, over any number of steps and in any direction, make a capture; a record that
+    nothing is tied to is one of its own. Of several records of one kind the one with the largest id is kept. page_id is
+    null for ids that write_archives() did not give. The rows are read twice.
     """
-    of = F.coalesce("concurrent_to", "record_id")
+    tied = components(rows.select("record_id", F.explode("concurrent_to").alias("beside")), "record_id", "beside")
     record = F.struct(*_NAMES)
     first = lambda *kinds: F.max_by(F.when(F.col("type").isin(*kinds), record), F.when(F.col("type").isin(*kinds), F.col("record_id")))
-    grouped = rows.groupBy(of.alias("capture")).agg(first("response", "revisit").alias("response"), first("request").alias("request"), first("metadata").alias("metadata"))
-    return grouped.select(page_of(F.col("capture")).alias("page_id"), "response", "request", "metadata")
+    of = rows.join(tied.withColumnRenamed("node", "record_id"), "record_id", "left")
+    grouped = of.groupBy(F.coalesce("component", "record_id").alias("capture")).agg(first("response", "revisit").alias("response"), first("request").alias("request"), first("metadata").alias("metadata"))
+    return grouped.select(page_of(F.coalesce("response.record_id", "request.record_id", "capture")).alias("page_id"), "response", "request", "metadata")
 
 
 def page_of(record_id: Column) -> Column:
@@ -163,7 +190,7 @@ def page_of(record_id: Column) -> Column:
 
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", null_ids=True)
-    found = assemble(read_archives(spark, path, with_payload=False))
+    found = assemble(stored(read_archives(spark, path, with_payload=False), "records"))
     return found.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), page_of(F.col("response.refers_to")).alias("refers_to"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"))
 
 
