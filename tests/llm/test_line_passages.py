@@ -50,3 +50,6 @@ def test_random_lines_against_brute_force(spark):
         assert (got[i].n_lines, got[i].n_removed) == (len(own) if t else 0, len(gone))
     twins = deduped(spark, [(1, "a\nb"), (1, "a\nb"), (None, "a\nb")])
     assert twins[1].text == twins[None].text == "a\nb"
+    thin = {r.row.doc_id: r for r in linededup.dedup_passages(spark.createDataFrame([(i, t, "r") for i, t in rows], SCHEMA), 3).collect()}
+    assert 0 < sum(r.n_removed for r in thin.values()) < sum(r.n_removed for r in got.values()) and all(thin[i].n_removed <= got[i].n_removed for i in got)
+    assert linededup.dedup_passages(spark.createDataFrame([], SCHEMA)).count() == linededup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0

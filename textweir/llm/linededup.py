@@ -6,8 +6,9 @@ documents are kept at their first occurrence (smallest doc_id, then first in the
 is by the chunk's bytes as well as its hash, and a chunk is removed only if its bytes equal those of the kept one.
 
 A passage of few lines seldom holds a whole chunk of its own. dedup_passages, which the query and the pipeline run,
-therefore takes the densest level: a chunk of two lines begins at every line. Each repeated chunk of a coarser level, and
-each line by which it could be extended, is covered by such pairs, so no coarser level is needed beside it.
+therefore lets a chunk of two lines begin wherever the rolling hash of these lines says so, overlapping others, which is
+shift-resistant at any density; at EVERY_PAIR = 1 that is at every line, and then each repeated chunk of a coarser level,
+and each line by which it could be extended, is covered by such chunks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from textweir.llm.shared import SPACES, Pieces, mixed, prepared, runs, slices, stored, table, texts_of
 
 LEAST, EVERY, MOST = 2, 3, 16
+#: Of how many pairs of lines one begins a chunk of dedup_passages.
+EVERY_PAIR = 1
 
 
 def chunk_ends(lines: np.ndarray, least: int = LEAST, every: int = EVERY, most: int = MOST) -> list[int]:
@@ -112,16 +115,17 @@ def _blank_lines(found: Pieces) -> np.ndarray:
     return full[found.starts] == full[found.ends]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each two neighbouring lines that are not both blank: doc_id, place of the first, hash."""
+def _pairs(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of two neighbouring lines, not both blank, that begin where their rolling hash says so: doc_id, place of the first, hash."""
     for batch in slices(batches, "text"):
         found = Pieces(texts_of(batch, "text"), b"\n", empty=True)
         row = np.repeat(np.arange(batch.num_rows), np.diff(found.first))
         blank = _blank_lines(found)
-        at = np.flatnonzero((row[1:] == row[:-1]) & ~(blank[1:] & blank[:-1]))
+        rolled = runs(found.hashes, 2)
+        at = np.flatnonzero((row[1:] == row[:-1]) & ~(blank[1:] & blank[:-1]) & (rolled % np.uint64(every) == 0))
         ids = batch.column(0).to_numpy(zero_copy_only=False)[row[at]]
         places = (at - found.first[row[at]]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places), pa.array(runs(found.hashes, 2)[at].view(np.int64))], ["doc_id", "at", "hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places), pa.array(rolled[at].view(np.int64))], ["doc_id", "at", "hash"])
 
 
 def _pair_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +164,20 @@ def _without_pairs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names)
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_passages(docs: DataFrame, every: int = EVERY_PAIR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As dedup_lines, but without each run of two or more lines that stands line for line at an earlier place.
 
     Two neighbouring lines, not both blank, are removed if the same two lines begin earlier (a smaller doc_id, or two or
     more lines before in the same text). At least the first occurrence of each line is kept. Pairs that share a hash with
-    others are compared by bytes. Null and empty texts, repeated rows and null ids are treated as in dedup_lines.
+    others are compared by bytes. With every above 1 only that share of the pairs, chosen by their hash, is looked at. Null and
+    empty texts, repeated rows and null ids are treated as in dedup_lines. A text needs about 30 times its bytes of
+    memory in its task, a single line of any length too. Columns may have any names, since they stay in `row`; an
+    empty table gives an empty result.
     """
     prepared(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
     light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    pairs = light.mapInArrow(_pairs, "doc_id long, at int, hash long")
+    pairs = light.mapInArrow(lambda x: _pairs(x, every), "doc_id long, at int, hash long")
     place = F.struct("doc_id", "at")
     met = stored(pairs.groupBy("hash").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other").select("hash"), "met")
     hits = pairs.join(met, "hash").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
