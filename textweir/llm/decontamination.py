@@ -6,7 +6,8 @@ fingerprint. Two texts that share L consecutive words keep the same fingerprint
 every shared window; each hit is then extended to the windows around it, which are compared with those of the items.
 Fingerprints travel with the few word hashes around them, so a hit is settled without the document's text.
 
-The benchmark's fingerprints are broadcast only while they are at most BROADCAST_ROWS; beyond that they are shuffled.
+The benchmark's fingerprints, and its windows, are each broadcast only while they are at most BROADCAST_ROWS; beyond that they
+are shuffled.
 """
 
 from __future__ import annotations
@@ -25,10 +26,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HIGH = -(1 << 32)
 
 
-def word_hashes(text: Column) -> Column:
-    """The 64-bit hashes of a text's words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; null has none."""
+def words_of(text: Column) -> Column:
+    """A text's words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; null has none."""
     words = F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))
+    return F.array_remove(words, "")
+
+
+def word_hashes(text: Column) -> Column:
+    """The 64-bit hashes of words_of()."""
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -81,11 +87,10 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = []
     for length in sorted(lengths):
         own = items.where(F.col("n") >= WINDOW) if length == WINDOW else items.where(F.col("n") == length)
-        marks = fingerprints(own, length).cache()
-        fps = marks.select("fp").distinct()
-        windows = _extended(marks, length).select("w1", "w2", F.col("id").alias("item_id")).distinct()
-        few = marks.count() <= BROADCAST_ROWS
-        sized = F.broadcast if few else lambda x: x
+        marks = fingerprints(own, length)
+        fps = stored(marks.select("fp").distinct(), "fingerprints")
+        windows = stored(_extended(marks, length).select("w1", "w2", F.col("id").alias("item_id")).distinct(), "windows")
+        sized = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
         hits = fingerprints(docs, length).join(sized(fps), "fp", "left_semi")
         spans = _extended(hits, length).distinct()
         found.append(spans.join(sized(windows), ["w1", "w2"]).select(F.col("id").alias("doc_id"), "start", F.lit(length).alias("length"), "item_id"))
@@ -100,7 +105,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hex digest of their ids, sorted as text and joined by commas. Null texts and texts without words have no words
     and no hits; items without words have no window. Rows of the same doc_id share their hits, as one document with
     several texts (so a repeated row gets the same result); a null id has no hits. Items of the same text count each.
-    Other columns are ignored. Empty tables on either side are fine.
+    Other columns are ignored, whatever their names. Empty tables on either side are fine. A text is one row throughout, and
+    takes some hundred bytes of memory for each of its words.
     """
     prepared(docs.sparkSession)
     words = hashed_words(docs, id_col, text_col)
@@ -113,7 +119,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             lambda acc, x: F.struct((acc["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["far"], x["start"]))).alias("hit"), F.greatest(acc["far"], x["end"]).alias("far")))["hit"].cast("long").alias("n_hit"))
     named = hits.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
     found = covered.join(named, "doc_id")
-    counts = words.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_words"))
+    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     out = counts.join(found, "doc_id", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("ids", none), ",").cast("binary"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
