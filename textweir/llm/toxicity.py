@@ -47,7 +47,7 @@ class Crf:
     curve: np.ndarray = field(default_factory=lambda: np.array([-8.0, 0.0, 0.0]))
 
     def emissions(self, f: np.ndarray) -> np.ndarray:
-        return self.bias + self.weights[f] @ VALUES.astype(np.float64)
+        return self.bias + sum(self.weights[f[:, j]] * v for j, v in enumerate(VALUES)).astype(np.float64)
 
     def tag(self, words: Pieces) -> np.ndarray:
         """Of each word the probability of tag 1."""
@@ -83,36 +83,48 @@ def starts_of(words: Pieces) -> np.ndarray:
     return first
 
 
-def _products(first: np.ndarray, emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The 2 x 2 matrices of each token: from the tag before to its own; at a text's first token the tag before has no say."""
-    m = np.exp(np.broadcast_to(trans, (len(emit), 2, 2)).copy())
-    m[first] = 1.0
-    m[:, :, 1] *= np.exp(np.clip(emit, -50, 50))[:, None]
+def _products(first: np.ndarray, emit: np.ndarray, trans: np.ndarray, n: int) -> np.ndarray:
+    """2 x 2 x n: of each token the matrix from the tag before to its own, unit matrices behind the last; at a text's first
+    token the tag before has no say."""
+    m = np.empty((2, 2, n))
+    m[:, :, len(emit) :] = np.eye(2)[:, :, None]
+    e = np.exp(np.clip(emit, -50, 50))
+    for x in range(2):
+        for y in range(2):
+            step = np.where(first, 1.0, np.exp(trans[x, y]))
+            m[x, y, : len(emit)] = step * e if y else step
     return m
 
 
 def _blocked(first: np.ndarray, emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """_products() as step x block, filled up with unit matrices."""
+    """_products() as 2 x 2 x step x block."""
     blocks = -(-len(emit) // BLOCK)
-    m = np.tile(np.eye(2), (blocks * BLOCK, 1, 1))
-    m[: len(emit)] = _products(first, emit, trans)
-    return m.reshape(blocks, BLOCK, 2, 2).transpose(1, 0, 2, 3)
+    return np.ascontiguousarray(_products(first, emit, trans, blocks * BLOCK).reshape(2, 2, blocks, BLOCK).swapaxes(2, 3))
+
+
+def _totals(m: np.ndarray) -> np.ndarray:
+    """block x 2 x 2: each block's product, up to a factor."""
+    a, b, c, d = np.ones(m.shape[3]), np.zeros(m.shape[3]), np.zeros(m.shape[3]), np.ones(m.shape[3])
+    for i in range(BLOCK):
+        w, x, y, z = m[0, 0, i], m[0, 1, i], m[1, 0, i], m[1, 1, i]
+        a, b, c, d = a * w + b * y, a * x + b * z, c * w + d * y, c * x + d * z
+        if i % 4 == 3 or i == BLOCK - 1:
+            most = 1 / (a + b + c + d)
+            a, b, c, d = a * most, b * most, c * most, d * most
+    return np.stack([a, b, c, d], axis=1).reshape(-1, 2, 2)
 
 
 def _passes(m: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward messages of each token of blocks, from what reaches each block from both sides."""
-    alpha, beta = np.empty((BLOCK, len(ahead), 2)), np.empty((BLOCK, len(ahead), 2))
-    v = ahead
+    """Forward and backward messages of each token of blocks, from what reaches each block from both sides: tag 1 over tag 0."""
+    forth, aback = np.empty(m.shape[2:]), np.empty(m.shape[2:])
+    r = ahead
     for i in range(BLOCK):
-        v = (v[:, :, None] * m[i]).sum(axis=1)
-        v /= v.sum(axis=1, keepdims=True)
-        alpha[i] = v
-    v = back
+        r = forth[i] = (m[0, 1, i] + m[1, 1, i] * r) / (m[0, 0, i] + m[1, 0, i] * r)
+    r = back
     for i in range(BLOCK - 1, -1, -1):
-        beta[i] = v
-        v = (m[i] * v[:, None, :]).sum(axis=2)
-        v /= v.sum(axis=1, keepdims=True)
-    return alpha.transpose(1, 0, 2).reshape(-1, 2), beta.transpose(1, 0, 2).reshape(-1, 2)
+        aback[i] = r
+        r = (m[1, 0, i] + m[1, 1, i] * r) / (m[0, 0, i] + m[0, 1, i] * r)
+    return forth.T.reshape(-1), aback.T.reshape(-1)
 
 
 def marginals(first: np.ndarray, emit: np.ndarray, trans: np.ndarray, fit: bool = False):
@@ -125,38 +137,33 @@ def marginals(first: np.ndarray, emit: np.ndarray, trans: np.ndarray, fit: bool
     """
     n = len(emit)
     parts = [slice(a, min(n, a + SEGMENT * BLOCK)) for a in range(0, n, SEGMENT * BLOCK)]
-    totals = []
-    for s in parts:
-        m = _blocked(first[s], emit[s], trans)
-        total = np.tile(np.eye(2), (m.shape[1], 1, 1))
-        for step in m:
-            total = total @ step
-            total /= total.sum(axis=(1, 2), keepdims=True)
-        totals.append(total)
-    total = np.concatenate(totals)
-    ahead, back = np.empty((len(total), 2)), np.empty((len(total), 2))
-    v = np.array([0.5, 0.5])
-    for b in range(len(total)):
-        ahead[b] = v
-        v = v @ total[b]
-        v /= v.sum()
-    v = np.array([0.5, 0.5])
-    for b in range(len(total) - 1, -1, -1):
-        back[b] = v
-        v = total[b] @ v
-        v /= v.sum()
+    only = _blocked(first, emit, trans) if len(parts) == 1 else None
+    of = lambda s: only if only is not None else _blocked(first[s], emit[s], trans)
+    total = np.concatenate([_totals(of(s)) for s in parts]).tolist()
+    ahead, back = np.empty(len(total)), np.empty(len(total))
+    r = 1.0
+    for k, ((a, b), (c, d)) in enumerate(total):
+        ahead[k] = r
+        r = (b + d * r) / (a + c * r)
+    r = 1.0
+    for k in range(len(total) - 1, -1, -1):
+        (a, b), (c, d) = total[k]
+        back[k] = r
+        r = (c + d * r) / (a + b * r)
     p, none, joint = np.empty(n), np.empty(n if fit else 0), np.empty((n if fit else 0, 2, 2))
     for k, s in enumerate(parts):
-        m = _blocked(first[s], emit[s], trans)
-        at, size = slice(k * SEGMENT, k * SEGMENT + m.shape[1]), s.stop - s.start
+        m = of(s)
+        at, size = slice(k * SEGMENT, k * SEGMENT + m.shape[3]), s.stop - s.start
         alpha, beta = (x[:size] for x in _passes(m, ahead[at], back[at]))
         both = alpha * beta
-        p[s] = both[:, 1] / both.sum(axis=1)
+        p[s] = both / (1 + both)
         if fit:
-            onward = _products(first[s], emit[s], trans) * beta[:, None, :]
-            none[s] = np.log(onward[:, 0, 0] / onward[:, 0].sum(axis=1))
+            m = _products(first[s], emit[s], trans, size)
+            none[s] = np.log(m[0, 0] / (m[0, 0] + m[0, 1] * beta))
             before = np.concatenate([ahead[at][:1], alpha[:-1]])
-            joint[s] = np.where(first[s][:, None], 0.0, before)[:, :, None] * onward
+            for x in range(2):
+                for y in range(2):
+                    joint[s, x, y] = np.where(first[s], 0.0, (before if x else 1.0) * m[x, y] * (beta if y else 1.0))
     if not fit:
         return p
     joint /= np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)
