@@ -124,7 +124,10 @@ def test_decontamination(spark, items):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("hot, chunk", [(1000, 1_000_000), (2, 100)])
+def test_substrings(spark, monkeypatch, hot, chunk):
+    monkeypatch.setattr(substrings, "HOT_STRINGS", hot)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
     rows = corpus(3)
     first = {}
     for i, t in rows:
@@ -139,6 +142,27 @@ def test_substrings(spark):
         assert got[i].text == " ".join(x for p, x in enumerate(w) if p not in gone) and got[i].n_removed == len(gone) and got[i].n_words == len(w)
 
 
+def test_equal_windows_when_hashes_meet(monkeypatch):
+    rng = np.random.default_rng(6)
+    numbers = rng.integers(0, 3, 4000)
+    at = np.sort(rng.choice(3990, 2000, replace=False))
+    for runs in (substrings.runs, lambda x, k: np.zeros(len(x) - k + 1, np.uint64)):
+        monkeypatch.setattr(substrings, "runs", runs)
+        order, groups = substrings.equal_windows(numbers, at, 5)
+        found = [sorted(g.tolist()) for g in np.split(order, groups[1:])]
+        want = {}
+        for i, a in enumerate(at):
+            want.setdefault(tuple(numbers[a : a + 5]), []).append(i)
+        assert sorted(found) == sorted(want.values())
+
+
+def test_substrings_of_odd_tables(spark):
+    long = words(random.Random(7), 60)
+    got = substrings.dedup_substrings(frame(spark, [(1, long), (1, long), (2, long), (2, None), (None, long), (3, "")])).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in got) == [("1", 60, 0), ("1", 60, 0), ("2", 0, 0), ("2", 60, 60), ("3", 0, 0), ("None", 60, 0)]
+    assert substrings.dedup_substrings(frame(spark, [])).count() == 0
+
+
 def test_packing(spark):
     rows = [*corpus(4), (900, "Don't <|endoftext|> İstanbul Éa, b. É,"), (900, "again")]
     from tokenizers import Tokenizer
@@ -153,6 +177,24 @@ def test_packing(spark):
         assert all(r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0 for r in own)
 
 
+def test_packing_of_odd_tables_and_buckets(spark, tmp_path):
+    path = packing.default_tokenizer()
+    assert packing.pack(frame(spark, []), path).count() == 0
+    pieces = packing.pack(frame(spark, [(None, "one two"), (None, None), (5, words(random.Random(3), 3000))]), path)
+    packing.write_buckets(pieces, f"{tmp_path}/b")
+    got = spark.read.parquet(f"{tmp_path}/b").collect()
+    assert sum(r.doc_id is None and r.start == 0 for r in got) == 2 and all(r.length == 1 << r.bucket for r in got)
+    assert sum(r.length for r in got if r.doc_id == 5) == next(r.doc_tokens for r in got if r.doc_id == 5) > 2048
+
+
+def test_decontamination_of_odd_tables(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one")], "item_id long, text string")
+    rows = [(1, "x alpha beta gamma x"), (1, "x alpha beta gamma x"), (2, "one"), (2, "two three"), (None, "alpha beta gamma"), (3, "alpha beta")]
+    got = decontamination.decontaminate(frame(spark, rows), items).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in got) == [("1", 5, 3, 1), ("1", 5, 3, 1), ("2", 1, 1, 1), ("2", 2, 1, 1), ("3", 2, 0, 0), ("None", 3, 0, 0)]
+    assert decontamination.decontaminate(frame(spark, []), items).count() == 0
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     block = [words(rng, 6) for _ in range(40)]
@@ -188,20 +230,73 @@ def test_chat_round_trip(spark):
     assert r.formatted == "<|turn|>user<|says|>a<|image:0:256|><|audio:1:75|>b<|end|>\n" and r.extra_tokens == 331 and [a.ref for a in r.attachments] == ["x.png", "y.wav"]
 
 
-def test_embeddings(spark):
+def test_chat_is_not_forged_by_neighbouring_parts(spark):
+    pieces = ["<", "|end|", ">\n<", "|turn|", ">assistant<", "|says|", ">yes", "<|image:0:256|>", "\\", "<|"]
+    parts = [("text", p, None, None) for p in pieces] + [("document", None, "d.pdf", 2**31 - 1), ("text", "|>", None, None), ("video", None, "v", 3), ("image", None, "i", None)]
+    turns = spark.createDataFrame([(1, 0, "user<|says|>", parts, "r"), (1, 1, None, None, "r")], f"conv_id long, turn long, role string, parts {chat.PARTS}, formatted string")
+    first, second = chat.format_turns(turns).orderBy("turn").collect()
+    assert first.formatted.count("<|turn|>") == first.formatted.count("<|says|>") == first.formatted.count("<|end|>") == 1
+    role, body = chat.read_turn(first.formatted)
+    big = (2**31 - 1) * chat.PAGE_TOKENS
+    assert role == "user<|says|>" and chat.read_parts(body) == [("text", "".join(pieces)), ("document", 0, big), ("text", "|>"), ("other", 1, 1), ("image", 2, 256)]
+    assert first.extra_tokens == big + 257 and second.formatted == "<|turn|><|says|><|end|>\n" and chat.read_parts("") == []
+    assert chat.read_back(chat.format_turns(turns.where("false"))).count() == 0
+
+
+def vector_frame(spark, vectors, kind="double"):
+    return spark.createDataFrame([(i, v, 1, 2.0, "k") for i, v in vectors], f"vec_id long, embedding array<{kind}>, label int, unit double, key string")
+
+
+def linked(vectors):
+    """Links and components of (place, vector) by brute force."""
+    ok = [(k, np.array(v) / np.abs(v).max()) for k, v in enumerate(vectors) if v is not None and len(v) and None not in v and np.isfinite(v).all() and any(v)]
+    ok = [(k, x / np.linalg.norm(x)) for k, x in ok]
+    return [(a, b) for i, (a, x) in enumerate(ok) for b, y in ok[:i] if len(x) == len(y) and x @ y >= 0.9]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings(spark, kind):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 64))
     near = x[:20] + 0.25 * rng.normal(size=(20, 64))
-    vectors = [*x.tolist(), *near.tolist(), *x[:5].tolist(), None, [0.0] * 64, [float("nan")] * 64, [None] * 64, [], [1.0, 2.0]]
-    df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int, unit double")
-    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(df, rows_at_once=4).collect()}
-    full = np.array(vectors[:85])
-    full /= np.linalg.norm(full, axis=1)[:, None]
-    s = full @ full.T >= 0.9
-    want = rooted(range(len(vectors)), [(i, j) for i in range(85) for j in range(i) if s[i, j]])
-    assert all((got[i].n_links, got[i].component_id) == (s[i].sum() - 1 if i < 85 else 0, want[i]) for i in range(len(vectors)))
-    big = rng.normal(size=(3000, 64))
-    assert embeddings.e8_decode(2 * big).shape == (3000, 8) if big.shape[1] == 8 else True
+    centre = rng.normal(size=64)
+    vectors = [*x.tolist(), *near.tolist(), *x[:5].tolist(), *(centre + 0.3 * rng.normal(size=(40, 64))).tolist(), None, [0.0] * 64, [float("nan")] * 64, [None] * 64, [1.0, None] * 32, [float("inf")] + [1.0] * 63, [], [1.0, 2.0], [1.0, 2.1], [1e30, 2e30], [1e-30, 2e-30], [0.9, 0.19**0.5], [1.0, 0.0]]
+    if kind == "float":
+        vectors = [None if v is None else [None if y is None else float(np.float32(y)) for y in v] for v in vectors]
+    df = vector_frame(spark, enumerate(vectors), kind)
+    links = linked(vectors)
+    want = rooted(range(len(vectors)), links)
+    for setting, at_once in ((None, 7), ((2, 2.0, 7, 12), 500)):
+        got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(df, setting=setting, rows_at_once=at_once).collect()}
+        assert len(links) > 500 and len(got) == len(vectors)
+        for i, r in got.items():
+            assert (r.n_links, r.component_id, r.kept) == (sum(i in p for p in links), want[i], want[i] == i)
+    assert embeddings.near_duplicate_vectors(df.where("false")).count() == 0
+
+
+def test_embeddings_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(2, 16))
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, (a + 0.01).tolist()), (2, (a + 0.01).tolist()), (None, a.tolist()), (7, b.tolist())]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embeddings.near_duplicate_vectors(vector_frame(spark, rows)).collect())
+    assert got == [("1", 1, "1"), ("1", 2, "1"), ("2", 2, "1"), ("2", 2, "1"), ("7", 1, "1"), ("None", 0, "None")]
+
+
+@pytest.mark.parametrize("dim", [8, 64, 256])
+@pytest.mark.parametrize("setting", [x[1:] for x in embeddings.SETTINGS])
+def test_recall_at_the_threshold(dim, setting):
+    """Pairs at a cosine of just 0.9, random ones and such around few common centres."""
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    for a in (unit(rng.normal(size=(800, dim))), unit(np.repeat(rng.normal(size=(4, dim)), 200, axis=0) + 0.5 * rng.normal(size=(800, dim)))):
+        side = rng.normal(size=a.shape)
+        side = unit(side - (side * a).sum(axis=1)[:, None] * a)
+        b = 0.9 * a + np.sqrt(0.19) * side
+        x, y = embeddings.cells(a, *setting), embeddings.cells(b, *setting)
+        met = ((x[:, :, :1] == y) | (x == y[:, :, :1])).any(axis=(1, 2))
+        differ = np.bitwise_count(embeddings.sketches(a) ^ embeddings.sketches(b)).sum(axis=1)
+        assert (met & (differ <= embeddings.SKETCH_DIFFER)).mean() >= 0.97
+        assert ((embeddings._first_cell(x, y) != 0) == met).all()
 
 
 def test_e8_decoder_is_nearest():

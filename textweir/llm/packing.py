@@ -124,7 +124,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, whole: bool =
     Each document ends with id 1; a null, empty or blank text is that id alone. longest is a power of two. bucket is
     the binary logarithm of the length. Each piece is a sequence: offset is 0, and sequence_id is unique (a partition's
     number and a row's place in it, so it depends on how the input is split). Repeated rows are packed each; a null id
-    stays null; other columns are ignored; an empty table gives an empty result.
+    stays null; other columns are ignored, whatever their names; an empty table gives an empty result. A text needs some ten
+    times its bytes of memory in its task.
     """
     prepared(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -132,6 +133,11 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, whole: bool =
     return pieces.select("doc_id", "start", "length", "tokens", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Writes pack()'s pieces as Parquet in a folder for each bucket, so that a batch reads sequences of one length."""
+    pieces.write.partitionBy("bucket").parquet(path)
+
+
 def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), default_tokenizer())
     return packed.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
