@@ -132,7 +132,7 @@ def test_base_spans_against_a_plain_scanner(spark):
         got = [s for s in secrets.scan(t.encode()) if s[2] < 3]
         assert got == plain_base(t), t
         found += len(got)
-    assert found > 800
+    assert found > 600
     rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*texts[:200], None, "", texts[0]])] + [(0, texts[0], "s"), (None, texts[1], "s")], "doc_id long, text string, spans string")
     out = secrets.scan_secrets(rows, default_tokenizer()).collect()
     assert len(out) == 205 and secrets.scan_secrets(rows.where("false")).count() == 0
