@@ -12,9 +12,10 @@ from textweir.functions.distance import hamming_distance, letter_mask
 from textweir.functions.text import MOST_DISTANCE
 from textweir.sources.tables import stored
 
-#: Each vocabulary word is compared with all dictionary words of about its length while these are at most so many; beyond
-#: that words meet in the letters they have in common. Such a dictionary holds at most 15 times as many words, about 1 MB.
-BAND_WORDS = 1500
+#: By distance: each vocabulary word is compared with all dictionary words of about its length while these are at most so
+#: many, where both ways took equally long (203,788 words of sf0.1); beyond that words meet in the letters they have in
+#: common. A dictionary below the bound has at most 80,000 words, about 5 MB.
+BAND_WORDS = {1: 1500, 2: 4500, 3: 18_000}
 
 
 def vocabulary(doc_words: DataFrame) -> DataFrame:
@@ -95,14 +96,15 @@ def _by_segments(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
     return left.join(cut, ["len", "no", "piece"]).select("doc_word", "query_word").distinct()
 
 
-def edit_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE, band_words: int = BAND_WORDS) -> DataFrame:
+def edit_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE, band_words: int | None = None) -> DataFrame:
     """(doc_word, query_word, edit) within edit distance k.
 
     How many pairs a comparison by length makes is known from the dictionary's lengths, a row for each. If it is at most
-    band_words for each vocabulary word, the dictionary is broadcast and met by length; letter masks and the thresholded
+    band_words (BAND_WORDS of k) for each vocabulary word, the dictionary is broadcast and met by length; letter masks and the thresholded
     distance decide. Otherwise words meet by equi-joins: dictionary words whose k + 1 pieces have three letters or more by
     shifted pieces, shorter ones by deletions.
     """
+    band_words = BAND_WORDS.get(k, 0) if band_words is None else band_words
     v = vocab.select(F.col("word").alias("doc_word")).distinct()
     q = words.select(F.col("word").alias("query_word")).distinct().withColumn("len", F.length("query_word"))
     lengths = {r["len"]: r["count"] for r in q.groupBy("len").count().collect()}  # a row for each length
