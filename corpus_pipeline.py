@@ -15,8 +15,9 @@ from textweir.llm.decontamination import decontaminate
 from textweir.llm.linededup import dedup_passages
 from textweir.llm.minhash import near_duplicates
 from textweir.llm.packing import default_tokenizer, pack
-from textweir.llm.shared import stored, table
+from textweir.llm.shared import table
 from textweir.llm.toxicity import fit, score
+from textweir.sources.tables import dropped, scratch, shared_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's table is written before the next begins; then what the stage needed, and the table it read, go."""
+    given = docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = shared_path(spark, name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        if docs is not given:
+            dropped(docs)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

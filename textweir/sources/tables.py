@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +26,29 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() makes inside are deleted at the end; what is made of them must be written by then."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            deleted(spark, path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: later stages depend on files, not on executors."""
+    """df, written to the shared folder and read again: later stages depend on files, not on executors.
+
+    The files stay for as long as a result may read them: until dropped(), the end of scratch(), or the folder is cleared."""
     path = shared_path(df.sparkSession, label)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
