@@ -105,7 +105,8 @@ def test_components_of_a_path(spark):
 
 
 @pytest.mark.parametrize("items", [[], [(1, None), (2, "")], [(1, "W1 w2"), (2, "one"), (3, "ha ha ha ha ha ha ha ha ha ha ha"), (4, "ha ha ha"), (10, "PASSAGE"), (11, "PASSAGE"), (None, "one two")]])
-def test_decontamination(spark, items):
+def test_decontamination(spark, monkeypatch, items):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 500_000 if len(items) % 2 else 0)
     rows = corpus(2)
     passage = " ".join(rows[46][1].split()[25:50])
     items = [(i, passage if t == "PASSAGE" else t) for i, t in items]

@@ -61,14 +61,18 @@ def _grams(k: int) -> Column:
     return F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(0), F.col("n") - k), hashed)).otherwise(F.array().cast("array<long>"))
 
 
-def fingerprints(words: DataFrame, length: int) -> DataFrame:
-    """words (id, wh, n) -> (id, fp, pos, lo, around): fingerprints, their place, and the words that windows with them span."""
+def fingerprints(words: DataFrame, length: int, wanted: DataFrame | None = None) -> DataFrame:
+    """words (id, wh, n) -> (id, fp, pos, lo, around): fingerprints, their place, and the words that windows with them span.
+
+    wanted: a small table (fp) to broadcast; then the words around are cut out for its fingerprints only."""
     k, w = _windows(length)
     grams = settled(words.where(F.col("n") >= length), "g", _grams(k))
     kept = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - length + 1), lambda j: F.array_min(F.slice("g", j, w)))) if w > 1 else F.col("g")
     kept = grams.select("id", "wh", kept.alias("kept"))
     pos = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))
     rows = kept.select("id", "wh", F.explode("kept").alias("p")).select("id", "wh", F.shiftright("p", 32).cast("int").alias("fp"), pos.cast("int").alias("pos"))
+    if wanted is not None:
+        rows = rows.join(F.broadcast(wanted), "fp", "left_semi")
     rows = rows.withColumn("lo", F.greatest(F.col("pos") - (w - 1), F.lit(0)))
     return rows.select("id", "fp", "pos", "lo", F.slice("wh", F.col("lo") + 1, F.col("pos") - F.col("lo") + length).alias("around"))
 
@@ -90,10 +94,9 @@ def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         marks = fingerprints(own, length)
         fps = stored(marks.select("fp").distinct(), "fingerprints")
         windows = stored(_extended(marks, length).select("w1", "w2", F.col("id").alias("item_id")).distinct(), "windows")
-        sized = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
-        hits = fingerprints(docs, length).join(sized(fps), "fp", "left_semi")
+        hits = fingerprints(docs, length, fps) if fps.count() <= BROADCAST_ROWS else fingerprints(docs, length).join(fps, "fp", "left_semi")
         spans = _extended(hits, length).distinct()
-        found.append(spans.join(sized(windows), ["w1", "w2"]).select(F.col("id").alias("doc_id"), "start", F.lit(length).alias("length"), "item_id"))
+        found.append(spans.join(F.broadcast(windows) if windows.count() <= BROADCAST_ROWS else windows, ["w1", "w2"]).select(F.col("id").alias("doc_id"), "start", F.lit(length).alias("length"), "item_id"))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], "doc_id long, start int, length int, item_id long")
 
 
