@@ -359,10 +359,10 @@ SQL = {
     "parse_expected": _EXACT + "SELECT doc_id * 100 + 53 AS seq, doc_id, num_res, query_ids FROM res",
     "validate_commands": _RAW,
     "write_results": _EXACT + "SELECT doc_id, 'r ' || doc_id || ' ' || num_res || CASE WHEN num_res > 0 THEN ' ' || replace(query_ids, ',', ' ') ELSE '' END AS value, num_res, query_ids FROM res",
-    "read_command_log": _BASE + """, lines AS (SELECT start_seq * 10 AS at, 's ' || query_id || ' ' || match_type || ' ' || match_dist || ' ' || len(words) || ' ' || array_to_string(words, ' ') AS value FROM q
+    "read_command_log": _BASE + """, lines AS (SELECT start_seq * 10 AS s, 's ' || query_id || ' ' || match_type || ' ' || match_dist || ' ' || len(words) || ' ' || array_to_string(words, ' ') AS value FROM q
   UNION ALL SELECT end_seq * 10 + 1, 'e ' || query_id FROM q WHERE end_seq IS NOT NULL
   UNION ALL SELECT seq * 10 + 2, 'm ' || doc_id || ' ' || len(ws) || ' ' || array_to_string(ws, ' ') FROM dl)
-SELECT row_number() OVER (ORDER BY at, value)::BIGINT AS seq, value FROM lines""",
+SELECT row_number() OVER (ORDER BY s, value)::BIGINT AS seq, value FROM lines""",
     "query_words": _BASE + "SELECT * FROM qw",
     "doc_words": _BASE + "SELECT * FROM dw",
     "normalized_text": _BASE + "SELECT doc_id, text FROM d",

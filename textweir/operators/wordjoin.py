@@ -46,20 +46,29 @@ def _cut(word: str, parts: int) -> list[Column]:
     return [F.substring(F.col(word), start(i) + 1, start(i + 1) - start(i)) for i in range(parts)]
 
 
-def hamming_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE) -> DataFrame:
-    """(doc_word, query_word, hamming) of equal length and at most k mismatches.
+def _piece_pairs(word: str, k: int) -> Column:
+    pieces = _cut(word, k + 2)
+    return F.array(*(F.concat(F.lit(f"{k}{i}{j}"), pieces[i], F.lit(" "), pieces[j]) for i, j in combinations(range(k + 2), 2)))
+
+
+def _hamming_pairs(vocab: DataFrame, need: DataFrame, ks: range | tuple) -> DataFrame:
+    """(doc_word, query_word, hamming) within each needed word's own k, from need (word, k) with k in ks.
 
     k mismatches leave two of k + 2 pieces untouched, so words meet on (length, which two, their letters): a key has half
     or a third of a word's letters, far rarer than a single piece. Pairs are verified before they are made distinct.
     """
+    v = vocab.select(F.col("word").alias("doc_word")).distinct()
+    v = v.select("doc_word", F.length("doc_word").alias("len"), F.explode(F.concat(*(_piece_pairs("doc_word", k) for k in ks))).alias("key"))
+    q = need.select(F.col("word").alias("query_word"), "k").distinct()
+    of = reduce(lambda rest, k: F.when(F.col("k") == k, _piece_pairs("query_word", k)).otherwise(rest), ks, F.array().cast("array<string>"))
+    q = q.select("query_word", "k", F.length("query_word").alias("len"), F.explode(of).alias("key"))
+    pairs = v.join(q, ["len", "key"])
+    return pairs.select("doc_word", "query_word", hamming_distance(F.col("doc_word"), F.col("query_word")).alias("hamming"), "k").where("hamming <= k").drop("k").distinct()
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        pieces = _cut(name, k + 2)
-        two = [F.concat(F.lit(f"{i}{j}"), pieces[i], F.lit(" "), pieces[j]) for i, j in combinations(range(k + 2), 2)]
-        return df.select(F.col("word").alias(name)).distinct().select(name, F.length(name).alias("len"), F.explode(F.array(*two)).alias("key"))
 
-    pairs = keyed(vocab, "doc_word").join(keyed(words, "query_word"), ["len", "key"])
-    return pairs.select("doc_word", "query_word", hamming_distance(F.col("doc_word"), F.col("query_word")).alias("hamming")).where(F.col("hamming") <= k).distinct()
+def hamming_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE) -> DataFrame:
+    """(doc_word, query_word, hamming) of equal length and at most k mismatches."""
+    return _hamming_pairs(vocab, words.select("word", F.lit(k).alias("k")), (k,))
 
 
 def _shorter(word: str, k: int) -> Column:
@@ -72,10 +81,12 @@ def _shorter(word: str, k: int) -> Column:
     return F.array_distinct(F.concat(*levels))
 
 
-def _band(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
-    near = F.explode(F.sequence(F.length("doc_word") - k, F.length("doc_word") + k)).alias("len")
-    left = v.select("doc_word", letter_mask(F.col("doc_word")).alias("vm")).select("doc_word", "vm", near)
-    return left.join(F.broadcast(q.withColumn("qm", letter_mask(F.col("query_word")))), "len").where(F.bit_count(F.col("vm").bitwiseXOR(F.col("qm"))) <= 2 * k)
+def _band(v: DataFrame, q: DataFrame) -> DataFrame:
+    """(doc_word, query_word, k): q (query_word, len, k) is broadcast at each length within its k, and met by length and letters."""
+    near = F.explode(F.sequence(F.col("len") - F.col("k"), F.col("len") + F.col("k"))).alias("len")
+    q = q.select("query_word", "k", letter_mask(F.col("query_word")).alias("qm"), near)
+    left = v.select("doc_word", letter_mask(F.col("doc_word")).alias("vm"), F.length("doc_word").alias("len"))
+    return left.join(F.broadcast(q), "len").where(F.bit_count(F.col("vm").bitwiseXOR(F.col("qm"))) <= 2 * F.col("k")).select("doc_word", "query_word", "k")
 
 
 def _by_deletions(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
@@ -96,39 +107,43 @@ def _by_segments(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
     return left.join(cut, ["len", "no", "piece"]).select("doc_word", "query_word").distinct()
 
 
-def edit_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE, band_words: int | None = None) -> DataFrame:
-    """(doc_word, query_word, edit) within edit distance k.
+def _edit_pairs(vocab: DataFrame, need: DataFrame, band_words: int | None = None) -> DataFrame:
+    """(doc_word, query_word, edit) within each needed word's own k, from need (word, k).
 
-    How many pairs a comparison by length makes is known from the dictionary's lengths, a row for each. If it is at most
-    band_words (BAND_WORDS of k) for each vocabulary word, the dictionary is broadcast and met by length; letter masks and the thresholded
-    distance decide. Otherwise words meet by equi-joins: dictionary words whose k + 1 pieces have three letters or more by
-    shifted pieces, shorter ones by deletions.
+    How many pairs a comparison by length makes is known from the needed words' lengths, a row for each k and length. If it
+    is at most band_words (BAND_WORDS of k) for each vocabulary word, the words of that k are broadcast and met by length;
+    letter masks and the thresholded distance decide. Otherwise words meet by equi-joins: those whose k + 1 pieces have
+    three letters or more by shifted pieces, shorter ones by deletions.
     """
-    band_words = BAND_WORDS.get(k, 0) if band_words is None else band_words
     v = vocab.select(F.col("word").alias("doc_word")).distinct()
-    q = words.select(F.col("word").alias("query_word")).distinct().withColumn("len", F.length("query_word"))
-    lengths = {r["len"]: r["count"] for r in q.groupBy("len").count().collect()}  # a row for each length
-    if not lengths:
-        pairs = v.join(q, v.doc_word == q.query_word)
-    elif max(sum(lengths.get(n + d, 0) for d in range(-k, k + 1)) for n in lengths) <= band_words:
-        pairs = _band(v, q, k)
-    else:
-        short = 3 * (k + 1)
-        pairs = _by_deletions(v.where(F.length("doc_word") < short + k), q.where(F.col("len") < short), k).unionByName(_by_segments(v.where(F.length("doc_word") >= short - k), q.where(F.col("len") >= short), k))
-    return pairs.select("doc_word", "query_word", F.levenshtein("doc_word", "query_word", k).alias("edit")).where("edit >= 0")
+    q = need.select(F.col("word").alias("query_word"), F.length("word").alias("len"), "k").distinct()
+    counts: dict[int, dict[int, int]] = {}
+    for r in q.groupBy("k", "len").count().collect():  # a row for each k and length
+        counts.setdefault(r.k, {})[r.len] = r["count"]
+    near = [k for k, n in counts.items() if max(sum(n.get(x + d, 0) for d in range(-k, k + 1)) for x in n) <= (BAND_WORDS.get(k, 0) if band_words is None else band_words)]
+    pairs = _band(v, q.where(F.col("k").isin(near)))
+    for k in sorted(counts.keys() - {*near}):
+        own, short = q.where(F.col("k") == k), 3 * (k + 1)
+        keyed = _by_deletions(v.where(F.length("doc_word") < short + k), own.where(F.col("len") < short), k).unionByName(_by_segments(v.where(F.length("doc_word") >= short - k), own.where(F.col("len") >= short), k))
+        pairs = pairs.unionByName(keyed.withColumn("k", F.lit(k)))
+    return pairs.select("doc_word", "query_word", F.expr("levenshtein(doc_word, query_word, k)").alias("edit")).where("edit >= 0")
+
+
+def edit_word_join(vocab: DataFrame, words: DataFrame, k: int = MOST_DISTANCE, band_words: int | None = None) -> DataFrame:
+    """(doc_word, query_word, edit) within edit distance k."""
+    return _edit_pairs(vocab, words.select("word", F.lit(k).alias("k")), band_words)
 
 
 def word_match_table(vocab: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(doc_word, query_word, hamming, edit), each distance null beyond what the query word needs.
 
-    Each word is searched at the distance it needs and no wider: one join for each distance in use.
+    Each word is searched at the distance it needs and no wider.
     """
     vocab, thresholds = stored(vocab, "vocabulary"), stored(thresholds, "thresholds")
-    found = []
-    for column, join in (("hamming", hamming_word_join), ("edit", edit_word_join)):
-        other = "edit" if column == "hamming" else "hamming"
-        for k in range(MOST_DISTANCE + 1):
-            need = thresholds.where(F.col(f"max_{column}") == k)
-            pairs = join(vocab, need, k) if k else exact_word_join(vocab, need).withColumn(column, F.lit(0))
-            found.append(pairs.withColumn(other, F.lit(None).cast("int")).select("doc_word", "query_word", "hamming", "edit"))
-    return reduce(DataFrame.unionByName, found).groupBy("doc_word", "query_word").agg(F.min("hamming").alias("hamming"), F.min("edit").alias("edit"))
+    need = lambda column: thresholds.select("word", F.col(f"max_{column}").alias("k"))
+    same = exact_word_join(vocab, thresholds.where("max_hamming = 0 or max_edit = 0")).join(thresholds.withColumnRenamed("word", "query_word"), "query_word")
+    same = same.select("doc_word", "query_word", F.when(F.col("max_hamming") == 0, 0).alias("hamming"), F.when(F.col("max_edit") == 0, 0).alias("edit"))
+    none = F.lit(None).cast("int")
+    ham = _hamming_pairs(vocab, need("hamming").where("k > 0"), range(1, MOST_DISTANCE + 1)).select("doc_word", "query_word", "hamming", none.alias("edit"))
+    edit = _edit_pairs(vocab, need("edit").where("k > 0")).select("doc_word", "query_word", none.alias("hamming"), "edit")
+    return same.unionByName(ham).unionByName(edit).groupBy("doc_word", "query_word").agg(F.min("hamming").alias("hamming"), F.min("edit").alias("edit"))
