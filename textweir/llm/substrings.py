@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from textweir.llm.shared import Pieces, dropped, mixed, prepared, runs, slices, stored, table, texts_of
 
 WINDOW, GRAM = 50, 8
-#: Different strings of a bucket that are sorted in one task, and bytes of strings that are sorted at once.
-HOT_STRINGS, CHUNK_BYTES = 1000, 1_000_000
+#: Different strings of a bucket that are sorted in one task (about 10 MB), and bytes of strings that are sorted at once.
+HOT_STRINGS, CHUNK_BYTES = 20_000, 1_000_000
 
 
 def super_kmers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
