@@ -4,11 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweir.functions.text import legal_words, normalize_text
+from textweir.sources.tables import spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seq, text) with normalized texts; arrival never ties with a query change."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return d.select("doc_id", (F.col("doc_id") * 10 + 5).alias("seq"), normalize_text(F.col("text")).alias("text"))
 
 

@@ -53,6 +53,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if its files make fewer partitions than there are cores, as one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _folder(spark: SparkSession, path: str):
     """The path and its file system, as Hadoop's."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
