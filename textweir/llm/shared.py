@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweir.sources.tables import dropped, shared_dir, stored
+from textweir.sources.tables import dropped, shared_dir, spread, stored
 
 __all__ = ["Pieces", "components", "constants", "crc32_text", "dropped", "mixed", "prepared", "runs", "shared_dir", "slices", "stored", "table", "texts_of"]
 
@@ -33,7 +33,8 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    found = prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return found if name in ("labels", "benchmark") else spread(found)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
