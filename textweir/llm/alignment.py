@@ -27,6 +27,8 @@ from textweir.llm.shared import prepared, slices, stored, table
 
 #: Bytes of units that a task keeps the alignment of (it takes about thirty times as much memory).
 KEPT_BYTES = 6_000_000
+#: New units that are encoded as one text.
+JOINED = 1000
 #: Pairs of ids with their counts, 24 bytes each, that are broadcast; more are shuffled.
 BROADCAST_PAIRS = 500_000
 
@@ -104,32 +106,46 @@ class Aligner:
         self.n_a = self.n_b = self.first = np.zeros(0, np.int64)
         self.links = np.zeros(0, np.int64)
 
-    def _ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        ids_a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+        """The ids of all units under a and b, how many each unit has, and which units' bytes they give back.
+
+        Many units are encoded as one text by a. Units that are not given back have no ids.
+        """
+        given = [f" {u}".encode() for u in units]
         # An empty unit is the space at the end of a text, which the model would not see.
-        ids_b = [x if u else [self.space] for u, x in zip(units, self.b.encode(units, num_threads=1), strict=True)]
-        return ids_a, ids_b
+        of_b = [x if u else [self.space] for u, x in zip(units, self.b.encode(units, num_threads=1), strict=True)]
+        b, n_b = np.fromiter(chain.from_iterable(of_b), np.int64), np.fromiter(map(len, of_b), np.int64)
+        most = JOINED if self.units else 1
+        joined = [" " + " ".join(units[k : k + most]) for k in range(0, len(units), most)]
+        a = np.fromiter(chain.from_iterable(e.ids for e in self.a.encode_batch(joined, add_special_tokens=False)), np.int64)
+        every, sizes = b"".join(given), np.fromiter(map(len, given), np.int64)
+        ends = np.cumsum(sizes)
+        back = lambda ids, table: b"".join(map(table.__getitem__, ids.tolist())) == every
+        upto = np.searchsorted(np.cumsum(self.len_a[a]), ends, "right")
+        if back(a, self.bytes_a) and back(b, self.bytes_b) and (np.cumsum(self.len_b[b])[np.cumsum(n_b) - 1] == ends).all():
+            return a, np.diff(upto, prepend=0), b, n_b, [True] * len(units)
+        of_a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        good = [b"".join(self.bytes_a[i] for i in x) == g == b"".join(self.bytes_b[i] for i in y) for x, y, g in zip(of_a, of_b, given, strict=True)]
+        of_a, of_b = ([x if ok else [] for x, ok in zip(of, good, strict=True)] for of in (of_a, of_b))
+        flat = lambda of: (np.fromiter(chain.from_iterable(of), np.int64), np.fromiter(map(len, of), np.int64))
+        return *flat(of_a), *flat(of_b), good
 
     def _learn(self, units: list[str]) -> None:
         """Aligns new units; the groups of one whose tokens' bytes are not its own are None."""
-        ids_a, ids_b = self._ids(units)
-        for k, u in enumerate(units):
-            given = f" {u}".encode()
-            if b"".join(self.bytes_a[i] for i in ids_a[k]) != given or b"".join(self.bytes_b[i] for i in ids_b[k]) != given:
-                ids_a[k], ids_b[k] = [], []
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
-        cuts, upto_a, upto_b = shared_cuts(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
+        a, n_a, b, n_b, good = self._ids(units)
+        _, upto_a, upto_b = shared_cuts(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
         links = a[upto_a - 1] << 32 | b[upto_b - 1]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64) for x in (ids_a, ids_b))
         last = np.searchsorted(upto_a, np.cumsum(n_a), "right")  # a unit's end is a shared cut, so its groups are done by then
-        text_a, text_b = ([str(i) for i in x.tolist()] for x in (a, b))
-        from_a, from_b = ([0, *x.tolist()] for x in (upto_a, upto_b))
+        text_a, text_b = ([*map(str, x.tolist())] for x in (a, b))
+        to_a, to_b = upto_a.tolist(), upto_b.tolist()
+        groups = [f"{text_a[p] if q - p == 1 else ','.join(text_a[p:q])}|{text_b[r] if s - r == 1 else ','.join(text_b[r:s])}" for p, q, r, s in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
         begin = 0
-        for k, (u, end) in enumerate(zip(units, last.tolist(), strict=True)):
-            self.groups[u] = ";".join([",".join(text_a[from_a[g] : from_a[g + 1]]) + "|" + ",".join(text_b[from_b[g] : from_b[g + 1]]) for g in range(begin, end)]).encode() if ids_a[k] else None
-            self.known[u] = len(self.n_a) + k
-            self.size += len(u) + 8
+        for k, (u, end) in enumerate(zip(units, last.tolist(), strict=True), len(self.n_a)):
+            self.groups[u] = ";".join(groups[begin:end]).encode()
+            self.known[u] = k
             begin = end
+        self.groups.update((u, None) for u, ok in zip(units, good, strict=True) if not ok)
+        self.size += sum(map(len, units)) + 8 * len(units)
         had = len(self.links)
         self.n_a, self.n_b = np.append(self.n_a, n_a), np.append(self.n_b, n_b)
         self.first = np.append(self.first, had + np.concatenate(([0], last[:-1])))
