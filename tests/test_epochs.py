@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from textweir.operators import lifecycle
@@ -11,3 +13,22 @@ def test_epochs_of_a_long_log(spark):
     assert got.count() == 150_000 and got.where((F.col("epoch") != F.floor(F.col("seq") / 3)) | (F.col("id") != 7 * F.col("seq"))).count() == 0
     ties = spark.createDataFrame([(s, c) for s in range(40) for c in "sme"], "seq long, cmd string")
     assert all(r.epoch == 2 * (r.seq + 1) for r in lifecycle.assign_epochs(ties, 7).collect())
+
+
+def test_dyadic_blocks(spark):
+    """Each number once, in at most two blocks of a level."""
+    rows = spark.createDataFrame([(a, b) for a in range(34) for b in range(a, 34)], "a long, b long").select("a", "b", lifecycle.dyadic(F.col("a"), F.col("b"), 6).alias("d"))
+    for r in rows.collect():
+        assert sorted(x for level, block in r.d for x in range(block << level, block + 1 << level)) == list(range(r.a, r.b))
+        assert len(r.d) <= 2 * max((r.b - r.a).bit_length(), 1) and len({x.level for x in r.d}) * 2 >= len(r.d)
+
+
+def test_active_sets_by_brute_force(spark):
+    random.seed(5)
+    for spread in (1, 9, 10**12):
+        clock = [random.choice([random.randint(0, 300), random.randint(0, 5)]) * spread for _ in range(90)]
+        q = [(i, s, random.choice([None, s - 1, s, s + spread, s + random.randint(0, 200) * spread])) for i, s in enumerate(random.sample(clock, 60))]
+        docs, life = spark.createDataFrame(list(enumerate(clock)), "doc_id long, seq long"), spark.createDataFrame(q, "query_id long, start_seq long, end_seq long")
+        got = sorted(map(tuple, lifecycle.active_at_document(docs, life).collect()))
+        assert got == sorted((d, i) for d, t in enumerate(clock) for i, s, e in q if s < t and (e is None or t < e))
+    assert lifecycle.active_at_document(docs.where("false"), life).columns == ["doc_id", "query_id"]

@@ -134,10 +134,14 @@ def test_types_make_the_whole(spark):
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, matching.match_documents(docs, life).collect()))
 
 
-@pytest.mark.parametrize("cuts", [[22], [3, 12, 22], [1, 5, 9, 13, 22]])
+@pytest.mark.parametrize("cuts", [[31], [3, 12, 31], [1, 5, 9, 13, 25, 31]])
 def test_replay_equals_batch(spark, tmp_path, cuts):
-    p = parsed(spark)
-    want = {r.doc_id: r.query_ids for r in results_of(p)[2].collect()}
+    """Each part of the log is a run of its own that goes on from the checkpoint of the one before."""
+    rows = [*BAD[:3], *LOG, *BAD[3:]]
+    p = parsed(spark, rows)
+    assert len(rows) == 31
+    good, bad = cmd.validate_commands(p)
+    want = {r.doc_id: r.query_ids for r in results_of(good)[2].collect()}
     schema = p.schema
     at = 0
     for i, c in enumerate(cuts):
@@ -147,6 +151,8 @@ def test_replay_equals_batch(spark, tmp_path, cuts):
         streams.replay_stream(stream, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = streams.delivered(spark, str(tmp_path / "out")).collect()
     assert len(got) == len(want) and {r.doc_id: r.query_ids for r in got} == want
+    refused = streams.refused(spark, str(tmp_path / "state"))
+    assert sorted((r.seq, r.reason) for r in refused.collect()) == sorted((r.seq, r.reason) for r in bad.collect())
 
 
 def test_epochs_and_empty_tables(spark):

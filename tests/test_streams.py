@@ -1,14 +1,17 @@
 """Registry, delivery and log replay over several micro-batches, with retries and repeated documents."""
 
 import time
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from test_matching import BAD, LOG, lines, parsed, results_of
 from textweir.jobs.replay import replay_log
 from textweir.operators import lifecycle
+from textweir.operators.verify import verify_results
 from textweir.sources import commands as cmd
-from textweir.sources.tables import batches
+from textweir.sources.tables import batches, shared_dir
 from textweir.streaming import streams
 
 
@@ -16,32 +19,73 @@ def state(spark, path):
     return sorted(tuple(r) for r in streams.registry(spark, path).collect())
 
 
-def test_registry_over_batches(spark, tmp_path):
+def replayed(spark, path, parsed_rows, cuts):
+    """Runs the stream over the commands cut at these places, each part after the last one was through."""
+    p = lambda n: str(path / n)
+    at = 0
+    for i, c in enumerate(cuts):
+        parsed_rows.where((F.col("seq") > at) & (F.col("seq") <= c)).coalesce(1).write.parquet(p(f"in/{i}"))
+        at = c
+        stream = spark.readStream.schema(parsed_rows.schema).option("recursiveFileLookup", "true").parquet(p("in"))
+        streams.replay_stream(stream, p("state"), p("out"), p("cp")).awaitTermination()
+    return p("state"), p("out")
+
+
+def test_registry_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "REBUILT", 2)
+    commands = parsed(spark, ["s 1 0 0 1 ring", "s 2 0 0 1 gold", "e 1", "e 7", "s 1 0 0 1 again", "s 3 0 0 1 iron", "s 7 0 0 1 lead", "e 2", "e 1", "s 2 0 0 1 gold", "x 9", "e 2", "s 9 2 4 1 tin"])
+    path, _ = replayed(spark, tmp_path, commands, [4, 8, 10, 11, 13])
+    # An end before the start is none, an id in use or once used is not given again.
+    assert state(spark, path) == [(1, "ring", 0, 0, 1, 3), (2, "gold", 0, 0, 2, 8), (3, "iron", 0, 0, 6, None), (7, "lead", 0, 0, 7, None)]
+    assert sorted((r.seq, r.reason) for r in streams.refused(spark, path).collect()) == [(5, "id used before"), (10, "id used before"), (11, "unknown command"), (13, "distance")]
+    last = batches(spark, f"{path}/changes")[-1]
+    # A micro-batch writes what it changed and no more; the table of open queries holds these only.
+    rows = [spark.read.parquet(f"{path}/changes/batch={k}").count() for k in batches(spark, f"{path}/changes")]
+    assert [n for n in rows if n] == [3, 3] and sum(rows) == 6
+    assert len(batches(spark, f"{path}/open")) <= 2
+    assert sorted(r.query_id for r in streams.open_queries(spark, path, last + 1).where("end_seq is null").collect()) == [3, 7]
+
+
+def test_unsound_commands_on_a_stream_are_refused_as_in_a_batch(spark, tmp_path):
+    rows = ["s 1 0 0 1 Ring", "s 1 0 0 1 ring", "s 2 2 4 1 golden", "m 1 2 ring silver", "m 2 1 Bad", "m 2 1 ring"]
+    path, out = replayed(spark, tmp_path, parsed(spark, rows), [6])
+    assert {r.doc_id: r.query_ids for r in streams.delivered(spark, out).collect()} == {1: [1], 2: [1]}
+    assert sorted((r.seq, r.reason) for r in streams.refused(spark, path).collect()) == [(1, "characters"), (3, "distance"), (5, "characters")]
+
+
+def test_retried_batch_writes_the_same_again(spark, tmp_path):
+    judged = lambda rows: spark.createDataFrame(rows, streams.JUDGED)
+    one = judged([(1, "s", 5, 0, 0, 1, "ring", None, None, None)])
+    two = judged([(4, "e", 5, None, None, None, None, None, None, 1), (5, "s", 6, 0, 0, 1, "gold", None, None, None)])
     path = str(tmp_path / "state")
-    commands = parsed(spark, ["s 1 0 0 1 ring", "s 2 0 0 1 gold", "e 1", "e 7", "s 1 0 0 1 again", "s 3 0 0 1 iron", "s 7 0 0 1 lead", "e 2", "e 1", "s 2 0 0 1 gold"])
-    part = lambda a, b: commands.where((F.col("seq") >= a) & (F.col("seq") <= b))
-    streams.update_registry(part(1, 4), 0, path)
-    assert state(spark, path) == [(1, "ring", 0, 0, 1, 3), (2, "gold", 0, 0, 2, None)]
-    first = sorted(map(tuple, streams.update_registry(part(5, 8), 1, path).collect()))
-    # An end before the start is none, an id in use or once used is not given again, a query that had ended keeps its times only.
-    assert first == [(1, None, 0, 0, 1, 3), (2, "gold", 0, 0, 2, 8), (3, "iron", 0, 0, 6, None), (7, "lead", 0, 0, 7, None)] == state(spark, path)
-    assert sorted(map(tuple, streams.update_registry(part(5, 8), 1, path).collect())) == first
-    streams.update_registry(part(9, 10), 2, path)
-    assert state(spark, path) == [(1, None, 0, 0, 1, 3), (2, None, 0, 0, 2, 8), *first[2:]]
-    streams.update_registry(part(99, 99), 3, path)
-    assert batches(spark, path) == [2, 3] and len(state(spark, path)) == 4
-
-
-def test_delivered_once_over_batches_and_retries(spark, tmp_path):
-    out = str(tmp_path / "out")
-    schema = "doc_id long, num_res int, query_ids array<long>"
-    rows = lambda *r: spark.createDataFrame(list(r), schema)
-    assert streams.delivered(spark, out).count() == 0
-    streams.deliver_once(rows((1, 1, [5]), (1, 1, [5]), (2, 0, [])), 0, out)
+    streams.update_registry(one, 0, path)
+    first = sorted(map(tuple, streams.update_registry(two, 1, path).collect()))
+    assert sorted(map(tuple, streams.update_registry(two, 1, path).collect())) == first == state(spark, path) == [(5, "ring", 0, 0, 1, 4), (6, "gold", 0, 0, 5, None)]
+    results = spark.createDataFrame([(1, 1, [5])], streams.RESULTS)
     for _ in range(2):
-        streams.deliver_once(rows((2, 1, [9]), (3, 0, [])), 1, out)
-    streams.deliver_once(rows((1, 0, []), (3, 1, [4]), (4, 2, [1, 2])), 2, out)
-    assert sorted((r.doc_id, r.num_res, r.query_ids, r.batch) for r in streams.delivered(spark, out).collect()) == [(1, 1, [5], 0), (2, 0, [], 0), (3, 0, [], 1), (4, 2, [1, 2], 2)]
+        streams.deliver_once(results, 3, str(tmp_path / "out"))
+    assert [tuple(r) for r in streams.delivered(spark, str(tmp_path / "out")).collect()] == [(1, 1, [5], 3)]
+
+
+@pytest.mark.parametrize("cuts", [[30], [1, 5, 9, 13, 18, 30]])
+def test_checked_as_the_log_goes_on(spark, tmp_path, cuts):
+    """Statuses of the stream are those of the batch; a change closes what came before it."""
+    rows = [*LOG[:6], "r 1 2 1 2", "r 2 1 9", "m 30 1 ring", "r 31 0", *LOG[9:], *BAD, "m 50 1 ring"]
+    p = parsed(spark, rows)
+    path, _ = replayed(spark, tmp_path, p, [min(c, len(rows)) for c in cuts[:-1]] + [len(rows)])
+    good, _ = cmd.validate_commands(p)
+    docs, life, results = results_of(good)
+    want = sorted((r.doc_id, r.status, r.missing_ids, r.extra_ids) for r in verify_results(results, cmd.parse_expected(good).drop("seq")).collect())
+    assert sorted(map(tuple, streams.checked_results(spark, path).collect())) == want and {r[1] for r in want} == {"ok", "wrong", "missing", "unknown"}
+    closed = spark.read.parquet(*(f"{path}/checked/batch={k}" for k in batches(spark, f"{path}/checked")))
+    assert {r.doc_id for r in closed.collect()} == {r[0] for r in want} - {50}
+
+
+def test_streams_leave_no_tables_behind(spark, tmp_path):
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    replayed(spark, tmp_path, parsed(spark), [22])
+    assert set(shared.iterdir()) == before
 
 
 def test_document_that_is_sent_again(spark, tmp_path):
@@ -77,3 +121,15 @@ def test_active_sets_on_a_sparse_clock(spark):
     want = {(x.doc_id, y.query_id) for x in d.collect() for y in q.collect() if y.start_seq < x.seq and (y.end_seq is None or x.seq < y.end_seq)}
     assert got == want and len(want) > 500
     assert lifecycle.active_at_document(d.where("false"), q).count() == 0
+
+
+def test_results_are_written_in_arrival_order(spark, tmp_path):
+    rows = [(i, (i * 7919) % 1000, i % 3, list(range(i % 3))) for i in range(1000)] + [(5000, None, 0, [])]
+    results = spark.createDataFrame(rows, "doc_id long, seq long, num_res int, query_ids array<long>").repartition(5)
+    cmd.write_in_order(results, str(tmp_path / "lines"), 100)
+    files = sorted((tmp_path / "lines").glob("part-*"))
+    lines = [x for f in files for x in f.read_text().splitlines()]
+    want = sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[0]))
+    assert lines == [" ".join(map(str, ["r", r[0], r[2], *r[3]])) for r in want] and 5 <= len(files) <= 11
+    cmd.write_in_order(results.where("false"), str(tmp_path / "lines"))
+    assert not "".join(f.read_text() for f in (tmp_path / "lines").glob("part-*"))

@@ -20,6 +20,26 @@ def hamming_distance(a: Column, b: Column, longest: int = LONGEST) -> Column:
     return F.when((F.length(a) == F.length(b)) & (F.length(a) <= longest), reduce(lambda x, y: x + y, differ))
 
 
+#: Letters of a packed long: one byte each, and room above them for a carry.
+_LETTERS = 7
+
+
+def packed(word: Column, longest: int = LONGEST) -> Column:
+    """An ASCII word as a struct of longs of seven letters each, a byte a letter, zero behind the last; made once a word, not once a pair."""
+    part = lambda i: F.coalesce(F.conv(F.hex(F.rpad(F.substring(word, i + 1, _LETTERS), _LETTERS, "\0")), 16, 10).cast("long"), F.lit(0).cast("long")).alias(f"p{i}")
+    return F.struct(*(part(i) for i in range(0, longest, _LETTERS)))
+
+
+def packed_hamming(a: Column, b: Column, longest: int = LONGEST) -> Column:
+    """Positions at which two packed words of equal length differ.
+
+    A byte of the XOR is at most 127; with 127 added to each, its highest bit tells whether it was above 0.
+    """
+    spread, high = int("7f" * _LETTERS, 16), int("80" * _LETTERS, 16)
+    differ = lambda i: F.bit_count((a[f"p{i}"].bitwiseXOR(b[f"p{i}"]) + F.lit(spread)).bitwiseAND(F.lit(high)))
+    return reduce(lambda x, y: x + y, map(differ, range(0, longest, _LETTERS)))
+
+
 def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
     """Least insertions, deletions and replacements; null above `most`."""
     if most is None:

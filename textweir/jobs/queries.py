@@ -11,7 +11,7 @@ from textweir.jobs import replay
 from textweir.jobs.derived import documents, keyword_queries, log_lines
 from textweir.operators import lifecycle, matching, verify, wordjoin
 from textweir.sources import commands as cmd
-from textweir.sources.tables import shared_path
+from textweir.sources.tables import shared_path, stored
 from textweir.streaming import streams
 
 
@@ -53,10 +53,8 @@ def parse_documents(spark, d):
 
 
 def _expected_lines(spark, d):
-    """The `r` line of each document for the exact queries."""
-    docs, q = documents(spark, d), keyword_queries(spark, d)
-    results = matching.document_results(docs, matching.match_exact(docs, q))
-    return cmd.result_lines(results)
+    """The `r` line of each document."""
+    return cmd.result_lines(_results(spark, d)[1])
 
 
 def parse_expected(spark, d):
@@ -72,9 +70,9 @@ def validate_commands(spark, d):
 
 
 def write_results(spark, d):
-    """S7: results of the exact queries, written as `r` lines and as Parquet, and read back from both."""
-    docs, text, rows = documents(spark, d), shared_path(spark, "lines"), shared_path(spark, "rows")
-    results = matching.document_results(docs, matching.match_exact(docs, keyword_queries(spark, d)))
+    """S7: the results, written as `r` lines and as Parquet, and read back from both."""
+    text, rows = shared_path(spark, "lines"), shared_path(spark, "rows")
+    results = stored(_results(spark, d)[1], "results")
     cmd.write_results(results, text, "text")
     cmd.write_results(results, rows)
     lines = spark.read.text(text).withColumn("doc_id", F.split("value", " ")[1].cast("long"))
@@ -259,7 +257,7 @@ def match_stream(spark, d):
 def deliver_once(spark, d):
     """T4: every document is sent three times, twice in one micro-batch and once more in another; each has one result."""
     path, out, state = shared_path(spark, "docs"), shared_path(spark, "once"), shared_path(spark, "state")
-    docs, q = documents(spark, d), keyword_queries(spark, d).where("match_type = 0")
+    docs, q = documents(spark, d), keyword_queries(spark, d)
     for sent in (docs.union(docs), docs.withColumn("text", F.lit("sent again"))):
         sent.write.mode("append").parquet(path)
         streams.match_stream(spark.readStream.schema(docs.schema).parquet(path), q, out, state).awaitTermination()
@@ -292,15 +290,11 @@ def replay_stream(spark, d):
 
 def update_registry(spark, d):
     """T3: the registry after the log's query changes came in several micro-batches."""
-    changes, state = _parsed(spark, d).where("cmd <> 'm'"), shared_path(spark, "registry")
-    bounds = [-1.0, *sorted(set(changes.approxQuantile("seq", [0.25, 0.5, 0.75], 0.06))), float("inf")]
-    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        streams.update_registry(changes.where((F.col("seq") > a) & (F.col("seq") <= b)), k, state)
-    return streams.registry(spark, state).select("query_id", "start_seq", "end_seq")
+    return streams.registry(spark, _replayed(spark, _parsed(spark, d).where("cmd <> 'm'"))[1]).select("query_id", "start_seq", "end_seq")
 
 
 def replay_log(spark, d):
-    """A log file with the results of the exact queries as its `r` lines, from text to verified results."""
+    """A log file with the results as its `r` lines, from text to verified results."""
     path, docs = shared_path(spark, "log"), documents(spark, d)
     lines = _expected_lines(spark, d).join(docs.select("doc_id", "seq"), "doc_id").select((F.col("seq") * 10 + 3).alias("seq"), "value")
     log_lines(spark, d).unionByName(lines).orderBy("seq", "value").select("value").write.text(path)
@@ -337,10 +331,10 @@ _HITS = _WM + r""", hw AS (SELECT DISTINCT dw.doc_id, qw.query_id, qw.match_type
   WHERE CASE WHEN match_type = 2 THEN edit <= match_dist ELSE hamming <= match_dist END AND start_seq < dw.seq AND (end_seq IS NULL OR dw.seq < end_seq)),
 m AS (SELECT doc_id, query_id, match_type FROM hw GROUP BY doc_id, query_id, match_type, n_words HAVING count(*) = n_words)
 """
-_RES = ", res AS (SELECT d.doc_id, d.seq, count(m.query_id)::INTEGER AS num_res, coalesce(string_agg(m.query_id::VARCHAR, ',' ORDER BY m.query_id), '') AS query_ids FROM d LEFT JOIN m ON d.doc_id = m.doc_id{} GROUP BY 1, 2)\n"
+_RES = ", res AS (SELECT d.doc_id, d.seq, count(m.query_id)::INTEGER AS num_res, coalesce(string_agg(m.query_id::VARCHAR, ',' ORDER BY m.query_id), '') AS query_ids FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY 1, 2)\n"
 _PAIRS = ", p AS (SELECT a.query_id, a.pos, a.word AS a, b.word AS b, a.match_type, a.match_dist FROM qw a JOIN qw b ON a.query_id = b.query_id AND b.pos = a.pos + 1)\n"
 _LOG = ", log AS (SELECT start_seq * 10 AS seq, 's' AS cmd, query_id AS id FROM q UNION ALL SELECT end_seq * 10 + 1, 'e', query_id FROM q WHERE end_seq IS NOT NULL UNION ALL SELECT seq * 10 + 2, 'm', doc_id FROM d)\n"
-_ALL, _EXACT = _BASE + _HITS + _RES.format(""), _BASE + _HITS + _RES.format(" AND m.match_type = 0")
+_ALL = _BASE + _HITS + _RES
 _HAM = "CASE WHEN length(a) = length(b) THEN hamming(a, b) END"
 _RAW = r"""WITH c AS (SELECT doc_id * 2 AS seq, 'm' AS cmd, doc_id AS id, NULL AS dist, NULL AS typ, CASE WHEN doc_id % 2 = 0 THEN text ELSE lower(text) END AS body FROM documents
   UNION ALL SELECT item_id * 2 + 1, 's', item_id // 2, item_id % 5, item_id % 3, string_split(""" + _NORM + r""", ' ')[2] FROM benchmark),
@@ -356,9 +350,9 @@ SQL = {
     "parse_starts": _BASE + "SELECT start_seq * 10 AS seq, query_id, array_to_string(words, ' ') AS query_str, match_type, match_dist FROM q",
     "parse_ends": _BASE + "SELECT end_seq * 10 + 1 AS seq, query_id FROM q WHERE end_seq IS NOT NULL",
     "parse_documents": _BASE + "SELECT seq * 10 + 2 AS seq, doc_id, CASE WHEN len(ws) > 0 THEN array_to_string(ws, ' ') END AS text FROM dl",
-    "parse_expected": _EXACT + "SELECT doc_id * 100 + 53 AS seq, doc_id, num_res, query_ids FROM res",
+    "parse_expected": _ALL + "SELECT doc_id * 100 + 53 AS seq, doc_id, num_res, query_ids FROM res",
     "validate_commands": _RAW,
-    "write_results": _EXACT + "SELECT doc_id, 'r ' || doc_id || ' ' || num_res || CASE WHEN num_res > 0 THEN ' ' || replace(query_ids, ',', ' ') ELSE '' END AS value, num_res, query_ids FROM res",
+    "write_results": _ALL + "SELECT doc_id, 'r ' || doc_id || ' ' || num_res || CASE WHEN num_res > 0 THEN ' ' || replace(query_ids, ',', ' ') ELSE '' END AS value, num_res, query_ids FROM res",
     "read_command_log": _BASE + """, lines AS (SELECT start_seq * 10 AS s, 's ' || query_id || ' ' || match_type || ' ' || match_dist || ' ' || len(words) || ' ' || array_to_string(words, ' ') AS value FROM q
   UNION ALL SELECT end_seq * 10 + 1, 'e ' || query_id FROM q WHERE end_seq IS NOT NULL
   UNION ALL SELECT seq * 10 + 2, 'm ' || doc_id || ' ' || len(ws) || ' ' || array_to_string(ws, ' ') FROM dl)
@@ -399,9 +393,9 @@ SELECT row_number() OVER (ORDER BY s, value)::BIGINT AS seq, value FROM lines"""
     "match_stream": _ALL + "SELECT doc_id, num_res, query_ids FROM res",
     "replay_stream": _ALL + "SELECT doc_id, num_res, query_ids FROM res",
     "update_registry": _BASE + "SELECT query_id, start_seq * 10 AS start_seq, end_seq * 10 + 1 AS end_seq FROM q",
-    "deliver_once": _EXACT + "SELECT doc_id, num_res, query_ids FROM res",
+    "deliver_once": _ALL + "SELECT doc_id, num_res, query_ids FROM res",
     "verify_results": _ALL + _X + "SELECT doc_id, CASE WHEN n = 0 THEN 'ok' ELSE 'wrong' END AS status, '' AS missing_ids, extra_ids FROM x",
     # A document without a legal word is no sound command; its `r` line has no result.
-    "replay_log": _ALL + _X + """SELECT doc_id, CASE WHEN len(ws) > 0 THEN num_res END AS num_res, CASE WHEN len(ws) > 0 THEN query_ids ELSE '' END AS query_ids,
-  CASE WHEN len(ws) = 0 THEN 'missing' WHEN n = 0 THEN 'ok' ELSE 'wrong' END AS status, '' AS missing_ids, extra_ids FROM x JOIN res USING (doc_id) JOIN dl USING (doc_id)""",
+    "replay_log": _ALL + """SELECT doc_id, CASE WHEN len(ws) > 0 THEN num_res END AS num_res, CASE WHEN len(ws) > 0 THEN query_ids ELSE '' END AS query_ids,
+  CASE WHEN len(ws) = 0 THEN 'missing' ELSE 'ok' END AS status, '' AS missing_ids, '' AS extra_ids FROM res JOIN dl USING (doc_id)""",
 }

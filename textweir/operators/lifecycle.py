@@ -1,6 +1,6 @@
 """Query lifetimes on the log's clock."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,19 +22,42 @@ def active_queries(lifetimes: DataFrame, seq: int) -> DataFrame:
     return lifetimes.where(active(F.lit(seq)))
 
 
-def active_at_document(documents: DataFrame, lifetimes: DataFrame, spans: int = 1000) -> DataFrame:
+def dyadic(first: Column, behind: Column, levels: int) -> Column:
+    """The numbers first..behind - 1 as array of (level, block), block b of level l being b * 2^l to (b + 1) * 2^l - 1.
+
+    They are the fewest such blocks, at most two of a level: at each level what is left begins at the next even block
+    and ends at the last one, and the odd blocks before and behind are taken. `behind` is at most 2^levels.
+    """
+    def odd(level: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        lo, hi = F.call_function("shiftright", first + width - 1, level), F.call_function("shiftright", behind, level)
+        block = lambda b, taken: F.when((lo < hi) & taken, F.struct(level.alias("level"), b.alias("block")))
+        return F.array(block(lo, lo % 2 == 1), block(hi - 1, hi % 2 == 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), odd)))
+
+
+def active_at_document(documents: DataFrame, lifetimes: DataFrame) -> DataFrame:
     """(doc_id, query_id) of all documents and the queries active at their arrival.
 
-    A range join as an equi-join: the documents' clock is cut into at most `spans` equal spans, a query is active in each
-    from its start to its end (an open one to the last document), and a document lies in one. The result is as large as the
-    sum of active sets; the matching operators carry the condition in their word join instead.
+    A range join as an equi-join: a lifetime, cut to the documents' clock, is made of at most two dyadic blocks of the clock of
+    each size, and a document looks for the block of each size that it lies in. With a clock of n ticks, that is 2 log2(n)
+    rows a query and log2(n) a document. The result is as large as the sum of active sets; the matching operators carry
+    the condition in their word join instead.
     """
-    clock = documents.agg(F.min("seq").alias("least"), F.max("seq").alias("most")).withColumn("width", F.floor((F.col("most") - F.col("least")) / spans) + 1)
-    span = lambda seq: F.floor((F.least(F.greatest(seq, F.col("least")), F.col("most")) - F.col("least")) / F.col("width"))
-    q = lifetimes.join(F.broadcast(clock), F.lit(True)).where("start_seq <= most and (end_seq is null or end_seq >= least)")  # one row is broadcast
-    q = q.select("query_id", "start_seq", "end_seq", F.explode(F.sequence(span(F.col("start_seq")), F.greatest(span(F.col("start_seq")), span(F.coalesce("end_seq", "most"))))).alias("span"))
-    d = documents.join(F.broadcast(clock), F.lit(True)).select("doc_id", "seq", span(F.col("seq")).alias("span"))
-    return d.join(q, "span").where(active(F.col("seq"))).select("doc_id", "query_id")
+    clock = documents.agg(F.min("seq").alias("least"), F.max("seq").alias("most")).first()  # one row
+    if clock.least is None:
+        return documents.select("doc_id").join(lifetimes.select("query_id"), F.lit(False))
+    n = clock.most - clock.least + 1
+    levels = (n - 1).bit_length()
+    tick = lambda seq: seq - F.lit(clock.least)
+    first = F.greatest(tick(F.col("start_seq")) + 1, F.lit(0).cast("long"))
+    behind = F.least(F.coalesce(tick(F.col("end_seq")), F.lit(n)), F.lit(n))
+    q = lifetimes.select("query_id", first.alias("first"), behind.alias("behind")).where("first < behind")
+    q = q.select("query_id", F.explode(dyadic(F.col("first"), F.col("behind"), levels)).alias("d")).select("query_id", "d.level", "d.block")
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    d = documents.select("doc_id", tick(F.col("seq")).alias("tick"), level).select("doc_id", "level", F.call_function("shiftright", F.col("tick"), F.col("level")).alias("block"))
+    return d.join(q, ["level", "block"]).select("doc_id", "query_id")
 
 
 def assign_epochs(commands: DataFrame, parts: int = 64) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textweir.functions.text import LONGEST, MOST_CHARS, MOST_DISTANCE, MOST_WORDS, SHORTEST, words
@@ -55,11 +55,11 @@ def first_by_seq(commands: DataFrame) -> DataFrame:
     return commands.withColumn("nth", F.row_number().over(Window.partitionBy("cmd", "id").orderBy("seq"))).where("nth = 1").drop("nth")
 
 
-def with_reasons(commands: DataFrame) -> DataFrame:
-    """commands with a column `reason`, null for good ones. The first of several commands of one kind and id is good."""
+def unsound() -> Column:
+    """Why a command is no sound one by itself, null for sound ones."""
     c, own = F.col, words(F.col("body"))
     text = c("cmd").isin("s", "m")
-    reason = (
+    return (
         F.when(c("cmd").isNull() | ~c("cmd").isin("s", "e", "m", "r"), "unknown command")
         .when(c("id").isNull() | (c("id") < 0) | ((c("cmd") == "s") & (c("match_type").isNull() | c("match_dist").isNull() | c("body").isNull())) | (c("cmd").isin("m", "r") & c("n_declared").isNull()) | ((c("cmd") == "m") & c("body").isNull()), "too few fields")
         .when((c("cmd") == "s") & ~c("match_type").between(0, 2), "match type")
@@ -69,7 +69,12 @@ def with_reasons(commands: DataFrame) -> DataFrame:
         .when((c("cmd") == "m") & (F.length("body") > MOST_CHARS), "too long")
         .when(text & F.exists(own, lambda w: ~F.length(w).between(SHORTEST, LONGEST)), "word length")
         .when((c("cmd") == "r") & ((F.size("result_ids") != c("n_declared")) | F.exists("result_ids", lambda x: x.isNull())), "result count"))
-    judged = commands.withColumn("reason", reason)
+
+
+def with_reasons(commands: DataFrame) -> DataFrame:
+    """commands with a column `reason`, null for good ones. The first of several commands of one kind and id is good."""
+    c = F.col
+    judged = commands.withColumn("reason", unsound())
     # Only sound commands compete for an id; few ids have several, so a command is looked up among those.
     twice = judged.where(c("reason").isNull() & c("cmd").isin("s", "m", "r")).groupBy("cmd", "id").agg(F.min("seq").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Bad commands, many of them perhaps without an id, are spread over ids that no sound one has.
@@ -84,9 +89,14 @@ def validate_commands(commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
+def _line() -> Column:
+    """A result as an `r` line."""
+    return F.concat_ws(" ", F.lit("r"), F.col("doc_id").cast("string"), F.col("num_res").cast("string"), F.transform("query_ids", lambda x: x.cast("string"))).alias("value")
+
+
 def result_lines(results: DataFrame) -> DataFrame:
     """The `r` line of each result."""
-    return results.select("doc_id", F.concat_ws(" ", F.lit("r"), F.col("doc_id").cast("string"), F.col("num_res").cast("string"), F.transform("query_ids", lambda x: x.cast("string"))).alias("value"))
+    return results.select("doc_id", _line())
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -95,3 +105,19 @@ def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
         result_lines(results).select("value").write.text(path)
     else:
         results.write.format(fmt).save(path)
+
+
+#: Rows of a file of write_in_order().
+FILE_ROWS = 1_000_000
+
+
+def write_in_order(results: DataFrame, path: str, rows: int = FILE_ROWS) -> None:
+    """Writes the `r` lines of results (doc_id, seq, num_res, query_ids) in the order of seq, then doc_id.
+
+    Files are ranges of seq of about `rows` lines each, sorted within and named in order, so that they read in arrival
+    order one behind another; no task sees more than a range. Results without a seq come first.
+    """
+    keys = [F.col("seq").asc_nulls_first(), F.col("doc_id").asc_nulls_first()]
+    files = max(1, -(-results.count() // rows))
+    ranged = results.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+    ranged.select(_line()).write.mode("overwrite").text(path)
