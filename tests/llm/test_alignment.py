@@ -97,3 +97,8 @@ def test_query_is_brute_force(spark, tmp_path):
         n_a, n_b, groups, links = brute(t)
         assert (got[i].n_a, got[i].n_b, got[i].n_links) == (n_a, n_b, len(links))
         assert got[i].groups_sha256 == (hashlib.sha256(groups.encode()).hexdigest() if n_a else "")
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.sql("select 1L as doc_id, cast(x'61ff62' as string) as text union all select 2L, 'a b'")
+    assert {r.doc_id: r.n_a for r in alignment.align(docs).collect()} == {1: 0, 2: 2}

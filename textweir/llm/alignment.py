@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweir.llm.packing import _byte_letters
-from textweir.llm.shared import prepared, slices, stored, table
+from textweir.llm.shared import prepared, slices, stored, table, texts_of
 
 #: Bytes of units that a task keeps the alignment of (it takes about thirty times as much memory).
-KEPT_BYTES = 6_000_000
+KEPT_BYTES = 4_000_000
 #: New units that are encoded as one text.
 JOINED = 1000
 #: Pairs of ids with their counts, 24 bytes each, that are broadcast; more are shuffled.
@@ -101,7 +101,7 @@ class Aligner:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.groups: dict[str, bytes | None] = {}
+        self.groups: list[bytes | None] = []
         self.size = 0
         self.n_a = self.n_b = self.first = np.zeros(0, np.int64)
         self.links = np.zeros(0, np.int64)
@@ -117,14 +117,14 @@ class Aligner:
         b, n_b = np.fromiter(chain.from_iterable(of_b), np.int64), np.fromiter(map(len, of_b), np.int64)
         most = JOINED if self.units else 1
         joined = [" " + " ".join(units[k : k + most]) for k in range(0, len(units), most)]
-        a = np.fromiter(chain.from_iterable(e.ids for e in self.a.encode_batch(joined, add_special_tokens=False)), np.int64)
+        a = np.fromiter(chain.from_iterable(self.a.encode(x, add_special_tokens=False).ids for x in joined), np.int64)
         every, sizes = b"".join(given), np.fromiter(map(len, given), np.int64)
         ends = np.cumsum(sizes)
         back = lambda ids, table: b"".join(map(table.__getitem__, ids.tolist())) == every
         upto = np.searchsorted(np.cumsum(self.len_a[a]), ends, "right")
         if back(a, self.bytes_a) and back(b, self.bytes_b) and (np.cumsum(self.len_b[b])[np.cumsum(n_b) - 1] == ends).all():
             return a, np.diff(upto, prepend=0), b, n_b, [True] * len(units)
-        of_a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        of_a = [self.a.encode(" " + u, add_special_tokens=False).ids for u in units]
         good = [b"".join(self.bytes_a[i] for i in x) == g == b"".join(self.bytes_b[i] for i in y) for x, y, g in zip(of_a, of_b, given, strict=True)]
         of_a, of_b = ([x if ok else [] for x, ok in zip(of, good, strict=True)] for of in (of_a, of_b))
         flat = lambda of: (np.fromiter(chain.from_iterable(of), np.int64), np.fromiter(map(len, of), np.int64))
@@ -140,11 +140,10 @@ class Aligner:
         to_a, to_b = upto_a.tolist(), upto_b.tolist()
         groups = [f"{text_a[p] if q - p == 1 else ','.join(text_a[p:q])}|{text_b[r] if s - r == 1 else ','.join(text_b[r:s])}" for p, q, r, s in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
         begin = 0
-        for k, (u, end) in enumerate(zip(units, last.tolist(), strict=True), len(self.n_a)):
-            self.groups[u] = ";".join(groups[begin:end]).encode()
-            self.known[u] = k
+        for u, end, ok in zip(units, last.tolist(), good, strict=True):
+            self.known[u] = len(self.groups)
+            self.groups.append(";".join(groups[begin:end]).encode() if ok else None)
             begin = end
-        self.groups.update((u, None) for u, ok in zip(units, good, strict=True) if not ok)
         self.size += sum(map(len, units)) + 8 * len(units)
         had = len(self.links)
         self.n_a, self.n_b = np.append(self.n_a, n_a), np.append(self.n_b, n_b)
@@ -162,20 +161,21 @@ class Aligner:
                 self._forget()
                 fresh = wanted
             self._learn(list(fresh))
-        groups = []
-        of = self.groups.__getitem__
-        for k, units in enumerate(cut):
-            found = [*map(of, units)]
+        groups, places = [], []
+        for units in cut:
+            own = [*map(self.known.__getitem__, units)]
+            found = [*map(self.groups.__getitem__, own)]
             if None in found:
-                cut[k], found = [], []
+                own, found = [], []
+            places.append(own)
             groups.append(b";".join(found))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
-        bounds = np.concatenate(([0], np.cumsum([len(u) for u in cut], dtype=np.int64)))
+        at = np.fromiter(chain.from_iterable(places), np.int64)
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in places], dtype=np.int64)))
         total = lambda x: np.concatenate(([0], np.cumsum(x)))[bounds]
         count = self.count[at] if len(at) else at
         ends = np.cumsum(count)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat((self.first[at] if len(at) else at) - (ends - count), count)
-        return np.diff(total(self.n_a[at])).tolist(), np.diff(total(self.n_b[at])).tolist(), self.links[places], total(count), groups
+        of_links = np.arange(ends[-1] if len(ends) else 0) + np.repeat((self.first[at] if len(at) else at) - (ends - count), count)
+        return np.diff(total(self.n_a[at])).tolist(), np.diff(total(self.n_b[at])).tolist(), self.links[of_links], total(count), groups
 
 
 @lru_cache(maxsize=2)
@@ -183,10 +183,18 @@ def _aligner(name_a: str, name_b: str) -> Aligner:
     return Aligner(found_path(name_a), found_path(name_b))
 
 
+def _decoded(text: bytes) -> str:
+    """The text; bytes that are no UTF-8 are nothing that tokens could give back, so such a text counts as empty."""
+    try:
+        return text.decode()
+    except UnicodeDecodeError:
+        return ""
+
+
 def _align(batches: Iterator[pa.RecordBatch], name_a: str, name_b: str) -> Iterator[pa.RecordBatch]:
     aligner = _aligner(name_a, name_b)
     for batch in slices(batches, "text"):
-        n_a, n_b, links, bounds, groups = aligner(batch.column(1).to_pylist())
+        n_a, n_b, links, bounds, groups = aligner([*map(_decoded, texts_of(batch, "text"))])
         listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(links))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), listed, pa.array([g.decode() for g in groups], pa.string())], ["doc_id", "n_a", "n_b", "links", "groups"])
 
@@ -196,7 +204,7 @@ def align(docs: DataFrame, tokenizer_a: str = "byte_bpe_50k.json", tokenizer_b:
 
     links holds, for each byte at which a token of a and one of b end together, a's id times 2^32 plus b's. groups lists the
     ids between such bytes: `a1,a2|b1;a3|b2,b3`. Null and empty texts, and texts that the tokens of a or b do not give back
-    byte for byte, have no tokens, no links and empty groups. Repeated rows are aligned each; a null id stays null; other
+    byte for byte (those that are no UTF-8 among them), have no tokens, no links and empty groups. Repeated rows are aligned each; a null id stays null; other
     columns are ignored, whatever their names; an empty table gives an empty result. A stretch of text without a
     space is aligned whole: it needs about a hundred times its bytes of memory in its task, other text about thirty.
     The tokenizers are file names, looked up where the tasks run.
