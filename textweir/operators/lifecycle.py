@@ -3,6 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textweir.sources.tables import stored
+
+#: Points of the clock that one task numbers.
+RANGE_ROWS = 1_000_000
+
 
 def query_lifetimes(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """starts with end_seq: the first end after the start, null if there is none. Ends of unknown queries fall away."""
@@ -60,17 +65,20 @@ def active_at_document(documents: DataFrame, lifetimes: DataFrame) -> DataFrame:
     return d.join(q, ["level", "block"]).select("doc_id", "query_id")
 
 
-def assign_epochs(commands: DataFrame, parts: int = 64) -> DataFrame:
+def assign_epochs(commands: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """commands with the number of query changes up to and including each, without one task seeing all rows.
 
-    Rows are dealt by ranges of seq; each range counts its changes, and the ranges' running sums (a row each) are added
-    to running sums within them. The ranges' bounds are drawn once, as numbers, so both sums see the same ranges.
+    The points of the clock, each with its changes, are counted and dealt to ranges of about `rows` points (drawn from a
+    sample, then written, so that both sums below see the same). Each range's changes are summed, and the ranges' running sums, a row
+    each, are added to running sums within them. Commands get their point's number by an equi-join. Commands of one seq
+    share their number; those without a seq have none and count for nothing.
     """
-    bounds = sorted(set(commands.approxQuantile("seq", [k / parts for k in range(1, parts)], 0.25 / parts)))
-    part = sum((F.coalesce(F.col("seq").cast("double") > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
     change = F.col("cmd").isin("s", "e").cast("int")
-    ranged = commands.withColumn("part", part)
-    sums = ranged.groupBy("part").agg(F.sum(change).alias("n"))
+    clock = stored(commands.where("seq is not null").groupBy("seq").agg(F.sum(F.coalesce(change, F.lit(0))).alias("n")), "clock")
+    ranges = max(1, -(-clock.count() // rows))
+    ranged = stored(clock.repartitionByRange(ranges, "seq").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("n"))
     before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.sum(change).over(Window.partitionBy("part").orderBy("seq"))  # rows of one seq share their number
-    return ranged.withColumn("within", within).join(F.broadcast(before), "part").withColumn("epoch", F.col("within") + F.col("before")).drop("part", "within", "before")
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("seq"))
+    points = ranged.select("seq", "part", within.alias("within")).join(F.broadcast(before), "part").select("seq", (F.col("within") + F.col("before")).alias("epoch"))
+    return commands.join(points, "seq", "left").select(*commands.columns, "epoch")

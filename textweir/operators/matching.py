@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textweir.functions.text import legal_words, words
 from textweir.operators.lifecycle import active
 from textweir.operators.wordjoin import dictionary, index_thresholds, vocabulary, word_match_table
+from textweir.sources.tables import stored
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -26,6 +27,24 @@ def _within(match_type: str = "match_type", match_dist: str = "match_dist"):
     return F.when(t == 2, F.col("edit") <= d).otherwise(F.col("hamming") <= d)
 
 
+def answerable(wanted: DataFrame) -> DataFrame:
+    """The rows of wanted (doc_word, query_id, pos, n_words, ...) of queries each of whose words has a match at all.
+
+    Most queries of several rare words fail here, on word pairs, before anything is joined with documents.
+    """
+    whole = wanted.groupBy("query_id", "n_words").agg(F.bit_or(F.expr("shiftleft(1, pos)")).alias("mask")).where(F.bit_count("mask") == F.col("n_words"))
+    return wanted.join(whole.select("query_id"), "query_id", "left_semi")
+
+
+def _wanted(qwords: DataFrame, matches: DataFrame) -> DataFrame:
+    """(doc_word, query_id, pos, n_words, start_seq, end_seq): which words of documents match which query words."""
+    return matches.join(qwords, matches.query_word == qwords.word).where(_within()).select("doc_word", "query_id", "pos", "n_words", "start_seq", "end_seq")
+
+
+def _hits(dwords: DataFrame, wanted: DataFrame) -> DataFrame:
+    return dwords.join(wanted, dwords.word == wanted.doc_word).where(active(F.col("seq"))).select("doc_id", "query_id", "pos", "n_words")
+
+
 def word_hits(dwords: DataFrame, qwords: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """(doc_id, query_id, pos, n_words): query words that a document has, for queries active at its arrival.
 
@@ -34,8 +53,7 @@ def word_hits(dwords: DataFrame, qwords: DataFrame, matches: DataFrame | None =
     """
     if matches is None:
         matches = word_match_table(vocabulary(dwords), index_thresholds(dictionary(qwords)))
-    wanted = matches.join(qwords, matches.query_word == qwords.word).where(_within()).select("doc_word", "query_id", "pos", "n_words", "start_seq", "end_seq")
-    return dwords.join(wanted, dwords.word == wanted.doc_word).where(active(F.col("seq"))).select("doc_id", "query_id", "pos", "n_words")
+    return _hits(dwords, _wanted(qwords, matches))
 
 
 def covered_words(hits: DataFrame) -> DataFrame:
@@ -44,16 +62,26 @@ def covered_words(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "query_id", "n_words").agg(mask.alias("mask")).select("doc_id", "query_id", "n_words", F.bit_count("mask").alias("n_covered"))
 
 
+def by_document(rows: DataFrame) -> DataFrame:
+    """rows, dealt by doc_id once: what groups by doc_id, alone or with more, needs no further exchange."""
+    return rows.repartition("doc_id")
+
+
 def match_documents(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """(doc_id, query_id): all words of the query are matched by words of the document, and it was active on arrival."""
-    return covered_words(word_hits(doc_words(documents), query_words(queries))).where("n_covered = n_words").select("doc_id", "query_id")
+    """(doc_id, query_id): all words of the query are matched by words of the document, and it was active on arrival.
+
+    Hits are dealt by doc_id, so results per document are aggregated where the matches are found.
+    """
+    dwords, qwords = doc_words(documents), query_words(queries)
+    wanted = answerable(stored(_wanted(qwords, word_match_table(vocabulary(dwords), index_thresholds(dictionary(qwords)))), "wanted"))
+    return covered_words(by_document(_hits(dwords, wanted))).where("n_covered = n_words").select("doc_id", "query_id")
 
 
 def match_exact(documents: DataFrame, queries: DataFrame) -> DataFrame:
     """Exact queries only: a plain equi-join on the word."""
     q, d = query_words(queries.where("match_type = 0")), doc_words(documents)
     hits = d.join(q, "word").where(active(F.col("seq"))).select("doc_id", "query_id", "pos", "n_words")
-    return covered_words(hits).where("n_covered = n_words").select("doc_id", "query_id")
+    return covered_words(by_document(hits)).where("n_covered = n_words").select("doc_id", "query_id")
 
 
 def match_hamming(documents: DataFrame, queries: DataFrame) -> DataFrame:
@@ -81,7 +109,8 @@ def first_word_candidates(dwords: DataFrame, qwords: DataFrame, matches: DataFra
 
 def best_distances(dwords: DataFrame, matches: DataFrame) -> DataFrame:
     """Per document and query word the least Hamming and the least edit distance (Hamming at most i implies edit at most i)."""
-    return dwords.join(matches, dwords.word == matches.doc_word).groupBy("doc_id", "query_word").agg(F.min("hamming").alias("best_hamming"), F.min(F.least("edit", "hamming")).alias("best_edit"))
+    met = dwords.join(matches, dwords.word == matches.doc_word).select("doc_id", "query_word", "hamming", "edit")
+    return by_document(met).groupBy("doc_id", "query_word").agg(F.min("hamming").alias("best_hamming"), F.min(F.least("edit", "hamming")).alias("best_edit"))
 
 
 def document_results(documents: DataFrame, matches: DataFrame) -> DataFrame:

@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textweir.functions.text import LONGEST, MOST_CHARS, MOST_DISTANCE, MOST_WORDS, SHORTEST, words
+from textweir.sources.tables import stored
+
+
+#: Blocks of files, some 200 bytes each, that are broadcast.
+BROADCAST_BLOCKS = 500_000
 
 
 def read_command_log(spark: SparkSession, path: str) -> DataFrame:
     """(seq, value): the lines of a log in one global order: by file, then block, then place in the block.
 
     The order key is the partition's number and the line's place in it; Spark deals larger files first, so the parts are
-    ranked by (file, block start), one row a part, and the ranks are added to the lines.
+    ranked by (file, block start), one row a part, and the ranks are added to the lines. The parts are broadcast, so no line
+    is shuffled, while they are at most BROADCAST_BLOCKS (counted): some 60 TB of files.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     parts = lines.groupBy("file", "block").agg(F.min("row").alias("lo"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file block
-    return lines.join(parts.withColumn("before", before), ["file", "block"]).select((F.col("before") + F.col("row") - F.col("lo") + 1).cast("long").alias("seq"), "value")
+    parts = stored(parts.withColumn("before", before).select("file", "block", (F.col("before") - F.col("lo") + 1).alias("shift")), "blocks")
+    met = lines.join(F.broadcast(parts) if parts.count() <= BROADCAST_BLOCKS else parts, ["file", "block"])
+    return met.select((F.col("row") + F.col("shift")).cast("long").alias("seq"), "value")
 
 
 def parse_commands(lines: DataFrame) -> DataFrame:
