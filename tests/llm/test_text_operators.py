@@ -188,6 +188,15 @@ def test_packing_of_odd_tables_and_buckets(spark, tmp_path):
     assert sum(r.length for r in got if r.doc_id == 5) == next(r.doc_tokens for r in got if r.doc_id == 5) > 2048
 
 
+def test_decontamination_reads_documents_once_for_all_lengths(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f g h i j k l")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    words = decontamination.hashed_words(spark.read.parquet(str(tmp_path / "docs")), "doc_id", "text")
+    items = decontamination.hashed_words(frame(spark, [(n, " ".join("abcdefghijkl"[:n])) for n in range(1, 13)]), "doc_id", "text")
+    hits = decontamination.window_hits(words, items)
+    assert hits._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 3  # documents, fingerprints, windows
+    assert {(r.start, r.length, r.item_id) for r in hits.collect()} == {(s, min(n, 10), n) for n in range(1, 13) for s in range(max(n - 9, 1))}
+
+
 def test_decontamination_of_odd_tables(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one")], "item_id long, text string")
     rows = [(1, "x alpha beta gamma x"), (1, "x alpha beta gamma x"), (2, "one"), (2, "two three"), (None, "alpha beta gamma"), (3, "alpha beta")]

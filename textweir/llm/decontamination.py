@@ -12,8 +12,6 @@ are shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,43 +59,53 @@ def _grams(k: int) -> Column:
     return F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(0), F.col("n") - k), hashed)).otherwise(F.array().cast("array<long>"))
 
 
-def fingerprints(words: DataFrame, length: int, wanted: DataFrame | None = None) -> DataFrame:
-    """words (id, wh, n) -> (id, fp, pos, lo, around): fingerprints, their place, and the words that windows with them span.
+def fingerprints(words: DataFrame, lengths: list[int], wanted: DataFrame | None = None, items: bool = False) -> DataFrame:
+    """words (id, wh, n) -> (id, length, fp, pos, lo, around): fingerprints for windows of each length, their place, and the
+    words that windows with them span. A row's words are read once for all lengths.
+
+    items: a row has windows of one length only, the largest it can have. wanted: a small table (length, fp) to broadcast; then
+    the words around are cut out for its fingerprints only."""
+    rows = words
+    for k in sorted({_windows(length)[0] for length in lengths}):
+        rows = settled(rows, f"g{k}", _grams(k))
+
+    def marks(length: int) -> Column:
+        k, w = _windows(length)
+        grams = F.col(f"g{k}")
+        kept = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - length + 1), lambda j: F.array_min(F.slice(grams, j, w)))) if w > 1 else grams
+        has = F.least("n", F.lit(WINDOW)) == length if items else F.col("n") >= length
+        return F.when(has, F.transform(kept, lambda p: F.struct(F.lit(length).alias("length"), p.alias("p")))).otherwise(F.array().cast("array<struct<length:int,p:long>>"))
 
-    wanted: a small table (fp) to broadcast; then the words around are cut out for its fingerprints only."""
-    k, w = _windows(length)
-    grams = settled(words.where(F.col("n") >= length), "g", _grams(k))
-    kept = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - length + 1), lambda j: F.array_min(F.slice("g", j, w)))) if w > 1 else F.col("g")
-    kept = grams.select("id", "wh", kept.alias("kept"))
-    pos = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))
-    rows = kept.select("id", "wh", F.explode("kept").alias("p")).select("id", "wh", F.shiftright("p", 32).cast("int").alias("fp"), pos.cast("int").alias("pos"))
+    found = [marks(length) for length in lengths]
+    rows = rows.select("id", "wh", F.explode(F.flatten(F.array(*found))).alias("m"))
+    pos = F.col("m.p").bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = rows.select("id", "wh", "m.length", F.shiftright("m.p", 32).cast("int").alias("fp"), pos.cast("int").alias("pos"))
     if wanted is not None:
-        rows = rows.join(F.broadcast(wanted), "fp", "left_semi")
-    rows = rows.withColumn("lo", F.greatest(F.col("pos") - (w - 1), F.lit(0)))
-    return rows.select("id", "fp", "pos", "lo", F.slice("wh", F.col("lo") + 1, F.col("pos") - F.col("lo") + length).alias("around"))
+        rows = rows.join(F.broadcast(wanted), ["length", "fp"], "left_semi")
+    back = F.col("length") - F.least("length", F.lit(GRAM))  # a window has one k-gram more than that
+    rows = rows.withColumn("lo", F.greatest(F.col("pos") - back, F.lit(0)))
+    return rows.select("id", "length", "fp", "pos", "lo", F.slice("wh", F.col("lo") + 1, F.col("pos") - F.col("lo") + F.col("length")).alias("around"))
 
 
-def _extended(rows: DataFrame, length: int) -> DataFrame:
-    """(id, start, w1, w2): the windows of `length` words that a fingerprint's surroundings hold, as two hashes."""
-    starts = F.explode(F.sequence(F.lit(0), F.size("around") - length)).alias("i")
-    rows = rows.where(F.size("around") >= length).select("id", "lo", "around", starts)
-    window = F.slice("around", F.col("i") + 1, length)
-    return rows.select("id", (F.col("lo") + F.col("i")).alias("start"), window.alias("window")).select("id", "start", F.xxhash64("window").alias("w1"), F.hash("window").alias("w2"))
+def _extended(rows: DataFrame) -> DataFrame:
+    """(id, length, start, w1, w2): the windows that a fingerprint's surroundings hold, as two hashes."""
+    starts = F.explode(F.sequence(F.lit(0), F.size("around") - F.col("length"))).alias("i")
+    rows = rows.where(F.size("around") >= F.col("length")).select("id", "length", "lo", "around", starts)
+    window = F.slice("around", F.col("i") + 1, F.col("length"))
+    return rows.select("id", "length", (F.col("lo") + F.col("i")).alias("start"), window.alias("window")).select("id", "length", "start", F.xxhash64("window").alias("w1"), F.hash("window").alias("w2"))
 
 
 def window_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, start, length, item_id) of every place where a document holds a window of an item, from (id, wh, n) tables."""
-    lengths = [r.length for r in items.where("n > 0").select(F.least("n", F.lit(WINDOW)).alias("length")).distinct().collect()]  # 10 at most
-    found = []
-    for length in sorted(lengths):
-        own = items.where(F.col("n") >= WINDOW) if length == WINDOW else items.where(F.col("n") == length)
-        marks = fingerprints(own, length)
-        fps = stored(marks.select("fp").distinct(), "fingerprints")
-        windows = stored(_extended(marks, length).select("w1", "w2", F.col("id").alias("item_id")).distinct(), "windows")
-        hits = fingerprints(docs, length, fps) if fps.count() <= BROADCAST_ROWS else fingerprints(docs, length).join(fps, "fp", "left_semi")
-        spans = _extended(hits, length).distinct()
-        found.append(spans.join(F.broadcast(windows) if windows.count() <= BROADCAST_ROWS else windows, ["w1", "w2"]).select(F.col("id").alias("doc_id"), "start", F.lit(length).alias("length"), "item_id"))
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], "doc_id long, start int, length int, item_id long")
+    lengths = sorted(r.length for r in items.where("n > 0").select(F.least("n", F.lit(WINDOW)).alias("length")).distinct().collect())  # 10 at most
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "doc_id long, start int, length int, item_id long")
+    marks = fingerprints(items, lengths, items=True)
+    fps = stored(marks.select("length", "fp").distinct(), "fingerprints")
+    windows = stored(_extended(marks).select("length", "w1", "w2", F.col("id").alias("item_id")).distinct(), "windows")
+    hits = fingerprints(docs, lengths, fps) if fps.count() <= BROADCAST_ROWS else fingerprints(docs, lengths).join(fps, ["length", "fp"], "left_semi")
+    spans = _extended(hits).distinct()
+    return spans.join(F.broadcast(windows) if windows.count() <= BROADCAST_ROWS else windows, ["length", "w1", "w2"]).select(F.col("id").alias("doc_id"), "start", "length", "item_id")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -109,7 +117,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     and no hits; items without words have no window. Rows of the same doc_id share their hits, as one document with
     several texts (so a repeated row gets the same result); a null id has no hits. Items of the same text count each.
     Other columns are ignored, whatever their names. Empty tables on either side are fine. A text is one row throughout, and
-    takes some hundred bytes of memory for each of its words.
+    takes some hundred bytes of memory for each of its words and each length of windows.
     """
     prepared(docs.sparkSession)
     words = hashed_words(docs, id_col, text_col)
