@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_matching import BAD, LOG, lines, parsed, results_of
-from textweir.jobs.replay import replay_log
+from textweir.jobs.replay import replay_folder, replay_log
+from textweir.jobs.replay import replayed as replayed_results
 from textweir.operators import lifecycle
 from textweir.operators.verify import verify_results
 from textweir.sources import commands as cmd
@@ -133,3 +134,24 @@ def test_results_are_written_in_arrival_order(spark, tmp_path):
     assert lines == [" ".join(map(str, ["r", r[0], r[2], *r[3]])) for r in want] and 5 <= len(files) <= 11
     cmd.write_in_order(results.where("false"), str(tmp_path / "lines"))
     assert not "".join(f.read_text() for f in (tmp_path / "lines").glob("part-*"))
+
+
+def test_growing_folder_of_log_files_is_the_batch(spark, tmp_path):
+    """File by file, with a blank line, CRLF ends and lines that are no commands, to the results, statuses and refusals of the whole log."""
+    rows = [*LOG[:8], "", *BAD[:4], *LOG[8:], *BAD[4:], "m 50 1 ring"]
+    folder, whole = tmp_path / "log", tmp_path / "whole"
+    whole.mkdir()
+    (whole / "log.txt").write_text("\n".join(rows) + "\n")
+    cuts = [0, 4, 11, 11, 24, len(rows)]
+    p = lambda n: str(tmp_path / n)
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        end = "\r\n" if k % 2 else "\n"
+        name = folder / str(k // 2) / f"segment-{k:03}.txt"  # by folder, then by name
+        name.parent.mkdir(parents=True, exist_ok=True)
+        name.write_bytes("".join(r + end for r in rows[a:b]).encode())
+        if k in (1, 4):
+            replay_folder(spark, str(folder), p("state"), p("out"), p("cp")).awaitTermination()
+    got = sorted(map(tuple, replayed_results(spark, p("state"), p("out")).collect()))
+    assert got == sorted(map(tuple, replay_log(spark, str(whole)).collect())) and len(got) == 7
+    _, bad = cmd.validate_commands(cmd.parse_commands(cmd.read_command_log(spark, str(whole))))
+    assert sorted((r.cmd, r.id or -1, r.reason) for r in streams.refused(spark, p("state")).collect()) == sorted((r.cmd, r.id or -1, r.reason) for r in bad.collect())

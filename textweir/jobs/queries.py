@@ -293,21 +293,39 @@ def update_registry(spark, d):
     return streams.registry(spark, _replayed(spark, _parsed(spark, d).where("cmd <> 'm'"))[1]).select("query_id", "start_seq", "end_seq")
 
 
+def _lines_with_results(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, value): the derived log with the `r` line of each document behind it."""
+    docs = documents(spark, d)
+    lines = _expected_lines(spark, d).join(docs.select("doc_id", "seq"), "doc_id").select((F.col("seq") * 10 + 3).alias("seq"), "value")
+    return log_lines(spark, d).unionByName(lines)
+
+
 def replay_log(spark, d):
     """A log file with the results as its `r` lines, from text to verified results."""
-    path, docs = shared_path(spark, "log"), documents(spark, d)
-    lines = _expected_lines(spark, d).join(docs.select("doc_id", "seq"), "doc_id").select((F.col("seq") * 10 + 3).alias("seq"), "value")
-    log_lines(spark, d).unionByName(lines).orderBy("seq", "value").select("value").write.text(path)
+    path = shared_path(spark, "log")
+    _lines_with_results(spark, d).orderBy("seq", "value").select("value").write.text(path)
     return _ids(replay.replay_log(spark, path), "query_ids", "missing_ids", "extra_ids")
 
 
+def replay_folder(spark, d, segments: int = 3):
+    """The same log as a folder that grows by some files at a time, each lot replayed when the ones before are through."""
+    lines, folder = stored(_lines_with_results(spark, d), "lines"), shared_path(spark, "segments")
+    state, out, checkpoint = shared_path(spark, "registry"), shared_path(spark, "replayed"), shared_path(spark, "state")
+    bounds = [float("-inf"), *sorted(set(lines.approxQuantile("seq", [k / segments for k in range(1, segments)], 0.25 / segments))), float("inf")]
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        part = lines.where((F.col("seq") > a) & (F.col("seq") <= b))
+        part.repartitionByRange(2, "seq", "value").sortWithinPartitions("seq", "value").select("value").write.text(f"{folder}/{k}")
+        replay.replay_folder(spark, folder, state, out, checkpoint).awaitTermination()
+    return _ids(replay.replayed(spark, state, out), "query_ids", "missing_ids", "extra_ids")
+
+
 QUERIES = {f.__name__: f for f in (
     read_command_log, parse_starts, parse_ends, parse_documents, parse_expected, validate_commands, write_results,
     query_words, doc_words, normalized_text, exact_match, hamming_distance, edit_distance, word_matches,
     query_lifetimes, active_queries, active_at_document, exact_word_join, hamming_word_join, edit_word_join, edit_word_join_by_keys, word_match_table, first_word_candidates,
     match_exact, match_hamming, match_edit, match_documents, document_results, unmatched_documents,
     vocabulary, dictionary, index_thresholds, best_distances, covered_words,
-    assign_epochs, first_by_seq, sorted_ids, in_arrival_order, union_matches, undelivered, match_stream, replay_stream, update_registry, deliver_once, verify_results, replay_log)}
+    assign_epochs, first_by_seq, sorted_ids, in_arrival_order, union_matches, undelivered, match_stream, replay_stream, update_registry, deliver_once, verify_results, replay_log, replay_folder)}
 
 _NORM = "lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
 _BASE = rf"""
@@ -346,6 +364,10 @@ SELECT seq, cmd, id, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY
 _EDIT_TWO = "SELECT v.word AS doc_word, k.word AS query_word, levenshtein(v.word, k.word)::INTEGER AS edit FROM v JOIN k ON length(v.word) BETWEEN length(k.word) - 2 AND length(k.word) + 2 WHERE levenshtein(v.word, k.word) <= 2"
 _X = ", x AS (SELECT d.doc_id, count(m.query_id) FILTER (m.match_type <> 0) AS n, coalesce(string_agg(m.query_id::VARCHAR, ',' ORDER BY m.query_id) FILTER (m.match_type <> 0), '') AS extra_ids FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY 1)\n"
 
+# A document without a legal word is no sound command; its `r` line has no result.
+_REPLAY = _ALL + """SELECT doc_id, CASE WHEN len(ws) > 0 THEN num_res END AS num_res, CASE WHEN len(ws) > 0 THEN query_ids ELSE '' END AS query_ids,
+  CASE WHEN len(ws) = 0 THEN 'missing' ELSE 'ok' END AS status, '' AS missing_ids, '' AS extra_ids FROM res JOIN dl USING (doc_id)"""
+
 SQL = {
     "parse_starts": _BASE + "SELECT start_seq * 10 AS seq, query_id, array_to_string(words, ' ') AS query_str, match_type, match_dist FROM q",
     "parse_ends": _BASE + "SELECT end_seq * 10 + 1 AS seq, query_id FROM q WHERE end_seq IS NOT NULL",
@@ -395,7 +417,6 @@ SELECT row_number() OVER (ORDER BY s, value)::BIGINT AS seq, value FROM lines"""
     "update_registry": _BASE + "SELECT query_id, start_seq * 10 AS start_seq, end_seq * 10 + 1 AS end_seq FROM q",
     "deliver_once": _ALL + "SELECT doc_id, num_res, query_ids FROM res",
     "verify_results": _ALL + _X + "SELECT doc_id, CASE WHEN n = 0 THEN 'ok' ELSE 'wrong' END AS status, '' AS missing_ids, extra_ids FROM x",
-    # A document without a legal word is no sound command; its `r` line has no result.
-    "replay_log": _ALL + """SELECT doc_id, CASE WHEN len(ws) > 0 THEN num_res END AS num_res, CASE WHEN len(ws) > 0 THEN query_ids ELSE '' END AS query_ids,
-  CASE WHEN len(ws) = 0 THEN 'missing' ELSE 'ok' END AS status, '' AS missing_ids, '' AS extra_ids FROM res JOIN dl USING (doc_id)""",
+    "replay_log": _REPLAY,
+    "replay_folder": _REPLAY,
 }

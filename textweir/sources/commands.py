@@ -28,6 +28,25 @@ def read_command_log(spark: SparkSession, path: str) -> DataFrame:
     return met.select((F.col("row") + F.col("shift")).cast("long").alias("seq"), "value")
 
 
+def log_stream(spark: SparkSession, folder: str, most_files: int | None = None) -> DataFrame:
+    """(seq, value): the lines of a growing folder of log files as a stream; at most so many files a micro-batch.
+
+    A line's place is that of its file, then its number in it: files are ordered by the number that the name of their own
+    folder is (0 if it is none), then by the first number in their own names. So seq depends on nothing but the files, no line is
+    joined or shuffled for it, and a restart finds the same. Files must be complete when they appear, appear in their order
+    and hold at most some 100 MB, since a file is one row until it is cut into lines. Lines of a file without a number have no seq.
+    """
+    reader = spark.readStream
+    if most_files:
+        reader = reader.option("maxFilesPerTrigger", most_files)
+    path = F.col("_metadata.file_path")
+    number = lambda pattern: F.regexp_extract(path, pattern, 1).try_cast("long")
+    place = F.coalesce(number(r"/(\d+)/[^/]*$"), F.lit(0)) * (1 << 48) + number(r"/[^/\d]*(\d+)[^/]*$") * (1 << 32)
+    files = reader.text(folder, wholetext=True, recursiveFileLookup=True).select(place.alias("place"), F.regexp_replace("value", r"\r?\n\z", "").alias("value")).where("value <> ''")
+    lines = files.select("place", F.posexplode(F.split("value", r"\r?\n")).alias("nth", "value"))
+    return lines.select((F.col("place") + F.col("nth") + 1).alias("seq"), "value")
+
+
 def parse_commands(lines: DataFrame) -> DataFrame:
     """(seq, value) -> (seq, cmd, id, match_type, match_dist, n_declared, body, result_ids); fields that do not parse are null."""
     f = F.split(F.trim("value"), " +", 6)
