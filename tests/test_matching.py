@@ -165,3 +165,34 @@ def test_epochs_and_empty_tables(spark):
     assert got == want
     docs, life, results = results_of(p.where("false"))
     assert results.count() == 0 and matching.match_documents(docs, life).count() == 0
+
+
+def exchanges(df):
+    """The exchanges of rows, as the plan has them before it runs; broadcasts left out."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if " Exchange " in x]
+
+
+def test_hits_are_dealt_once_by_document(spark):
+    """From hits to results per document, one exchange; the others are of words and word pairs."""
+    docs, life, _ = results_of(parsed(spark))
+    results = matching.document_results(docs, matching.match_documents(docs, life))
+    assert sum("doc_id" in x.split("Exchange ", 1)[1].split("]", 1)[0] and "REPARTITION" in x for x in exchanges(results)) == 1
+    assert not any("query_id" in x.split("(", 1)[1].split("), ")[0] for x in exchanges(results) if "hashpartitioning(doc_id" in x)
+    dwords = matching.doc_words(docs)
+    best = matching.best_distances(dwords, spark.createDataFrame([("ring", "ring", 0, 0)], "doc_word string, query_word string, hamming int, edit int"))
+    assert sum("hashpartitioning(doc_id" in x for x in exchanges(best)) == 1
+
+
+def test_queries_with_a_word_that_nothing_matches_are_dropped_before_documents(spark):
+    wanted = spark.createDataFrame([("ring", 1, 0, 2), ("rang", 1, 1, 2), ("ring", 2, 0, 2), ("ring", 3, 2, 3), ("gold", 3, 0, 3), ("iron", 4, 0, 1)], "doc_word string, query_id long, pos int, n_words int")
+    assert sorted({r.query_id for r in matching.answerable(wanted).collect()}) == [1, 4]
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.sets(st.text("abz", min_size=4, max_size=31), min_size=1, max_size=25), st.integers(1, 3))
+def test_hamming_by_keys_and_by_length_agree(spark, some, k):
+    more = some | {w[:-1] + "q" for w in some} | {"q" + w[1:] for w in some}
+    v, q = (spark.createDataFrame([(x,) for x in s], "word string") for s in (more, some))
+    want = {(x, y, d) for x in more for y in some if len(x) == len(y) and (d := sum(a != b for a, b in zip(x, y, strict=True))) <= k}
+    for band in (None, 0, 2):
+        assert {tuple(r) for r in wordjoin.hamming_word_join(v, q, k, band).collect()} == want
