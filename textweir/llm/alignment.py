@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweir.llm.packing import _byte_letters
-from textweir.llm.shared import prepared, slices, stored, table, texts_of
+from textweir.llm.shared import found_path, prepared, slices, stored, table, texts_of
 
 #: Bytes of units that a task keeps the alignment of (it takes about thirty times as much memory).
 KEPT_BYTES = 4_000_000
@@ -41,15 +41,6 @@ _PROBE = "\ufb01x  y\tz\n \u00e9 e\u0301 "
 ALIGNED = "doc_id long, n_a long, n_b long, links array<long>, groups string"
 
 
-def found_path(name: str) -> str:
-    """A file as given, or the public tokenizers' file of that name; asked for where the file is opened."""
-    if os.path.exists(name):
-        return name
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _ranks(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many bits of a packed bitset are set at the places `at` and before."""
     before = np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)))

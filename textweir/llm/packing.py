@@ -7,6 +7,7 @@ batches alike. No row leaves its task: the plan is a scan, one Arrow pass and a
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweir.llm.shared import prepared, slices, table, texts_of
+from textweir.llm.shared import found_path, prepared, slices, table, texts_of
 
 LONGEST, END_ID = 2048, 1
 #: Distinct white-space-delimited strings that a task keeps the ids of, and the longest such string.
@@ -38,22 +39,30 @@ PIECES = "doc_id long, start long, length long, tokens binary, doc_tokens long,
 
 
 def default_tokenizer() -> str:
-    import public_tokenizers
+    return found_path("word_bpe_49k.json")
 
-    return public_tokenizers.path("word_bpe_49k.json")
+
+def drops_spaces(tokenizer) -> bool:
+    """Whether a tokenizer is told by its own rules to lower case and to join nothing across white space, which it drops."""
+    rules = json.loads(tokenizer.to_str())
+    kinds = {x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])}
+    splits = [x for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    kept = any(x["behavior"] == "Removed" and x["invert"] and r"[^\s" in x["pattern"].get("Regex", "") for x in splits)
+    return "Lowercase" in kinds and kept and bool(rules["model"].get("end_of_word_suffix"))
 
 
 class Encoder:
     """Token ids of texts under a tokenizer that drops white space and never joins across it.
 
     Such a tokenizer gives a text the ids of its white-space-delimited strings one after another, so the ids of a
-    string are asked for once and kept. `whole` encodes the text at once, for other tokenizers.
+    string are asked for once and kept. Others, told by drops_spaces(), encode each text at once, as `whole` asks of any.
     """
 
     def __init__(self, path: str, whole: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.whole = Tokenizer.from_file(path), {}, whole
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.whole = whole or not drops_spaces(self.tokenizer)
         self.letters = _byte_letters()
         self.ends = {e: self._whole(e).tolist() for e in (b"", b",", b".")}
 
@@ -97,7 +106,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, whole: bool) -> Encoder:
-    return Encoder(path, whole)
+    return Encoder(found_path(path), whole)
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -125,7 +134,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, whole: bool =
     the binary logarithm of the length. Each piece is a sequence: offset is 0, and sequence_id is unique (a partition's
     number and a row's place in it, so it depends on how the input is split). Repeated rows are packed each; a null id
     stays null; other columns are ignored, whatever their names; an empty table gives an empty result. A text needs some ten
-    times its bytes of memory in its task.
+    times its bytes of memory in its task. The tokenizer is a file, or one of the public tokenizers by name, looked up where the tasks
+    run; one that joins across white space or keeps case encodes each text at once, which takes longer.
     """
     prepared(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -139,5 +149,5 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 
 def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(table(spark, sf_dir, "documents"), default_tokenizer())
+    packed = pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
     return packed.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textweir.sources.tables import dropped, shared_dir, spread, stored
 
-__all__ = ["Pieces", "components", "constants", "crc32_text", "dropped", "mixed", "prepared", "runs", "shared_dir", "slices", "stored", "table", "texts_of"]
+__all__ = ["Pieces", "components", "constants", "crc32_text", "dropped", "found_path", "mixed", "prepared", "runs", "shared_dir", "slices", "stored", "table", "texts_of"]
 
 #: Rows that Spark hands to Python at once, and bytes of text that a Python task works on at once.
 ARROW_ROWS = 512
@@ -37,6 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return found if name in ("labels", "benchmark") else spread(found)
 
 
+def found_path(name: str) -> str:
+    """A file as given, or the public tokenizers' file of that name; asked for where the file is opened."""
+    if os.path.exists(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about `most` bytes of the column's text, or one row."""
     for batch in batches:
