@@ -1,118 +1,149 @@
 """Line dedup by content-defined chunks.
 
-A rolling hash over the hashes of neighbouring lines ends a chunk wherever its remainder says so, so that lines put in
-or taken out move only the boundaries beside them. Chunks of at least LEAST lines that occur more than once in all
-documents are kept at their first occurrence (smallest doc_id, then first in the text) and removed elsewhere. Grouping
-is by the chunk's bytes as well as its hash, and a chunk is removed only if its bytes equal those of the kept one.
-
-A passage of few lines seldom holds a whole chunk of its own. dedup_passages, which the query and the pipeline run,
-therefore lets a chunk of two lines begin wherever the rolling hash of these lines says so, overlapping others, which is
-shift-resistant at any density; at EVERY_PAIR = 1 that is at every line, and then each repeated chunk of a coarser level,
-and each line by which it could be extended, is covered by such chunks.
+A rolling hash over the hashes of two neighbouring lines sets a boundary before the first of them wherever it is no larger
+than the rolling hash one line earlier or later, and at both ends of a text. A boundary depends on four lines at most, so
+lines put in or taken out move only those beside them, and of two places one line apart at least one is a boundary. A chunk
+reaches from a boundary to the next, two lines at least. Chunks that occur more than once in all documents are kept at
+their first occurrence (smallest doc_id, then first in the text) and removed elsewhere; a removed chunk takes the line
+before or after with it if these three lines stand earlier too. Candidates meet by hashes, and are removed only if
+their bytes equal those of the kept ones.
+
+Each run of three lines holds a boundary that the lines themselves decide, so dedup_lines removes every run of three or
+more lines that stands earlier, whatever is around it. Of a run of just two lines the lines around decide whether it is a
+chunk. dedup_passages, which the pipeline runs, lets a chunk of two lines begin at every line instead (EVERY_PAIR = 1)
+and so finds those too.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweir.llm.shared import SPACES, Pieces, mixed, prepared, runs, slices, stored, table, texts_of
+from textweir.llm.shared import SPACES, Pieces, prepared, runs, slices, stored, table, texts_of
 
-LEAST, EVERY, MOST = 2, 3, 16
 #: Of how many pairs of lines one begins a chunk of dedup_passages.
 EVERY_PAIR = 1
+_NEVER = np.uint64(2**64 - 1)
 
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SPACES)] = True
 
-def chunk_ends(lines: np.ndarray, least: int = LEAST, every: int = EVERY, most: int = MOST) -> list[int]:
-    """Where chunks end (a line's place + 1), from the hashes of a text's lines."""
-    rolled = mixed(lines[1:] * np.uint64(3) + lines[:-1]) if len(lines) > 1 else lines[:0]
-    marks = np.flatnonzero(rolled % np.uint64(every) == 0) + 2
-    out, last = [], 0
-    for m in marks.tolist():
-        while m - last > most:
-            last += most
-            out.append(last)
-        if m - last >= least:
-            out.append(m)
-            last = m
-    while len(lines) - last > most:
-        last += most
-        out.append(last)
-    return out + [len(lines)] * (last < len(lines))
-
-
-def _chunks(texts: list[bytes]) -> Iterator[list[tuple[bytes, int]]]:
-    """Of each text its chunks: bytes without the last line's end, and lines."""
-    found = Pieces(texts, b"\n", empty=True)
-    for a, b in zip(found.first, found.first[1:], strict=False):
-        at, out = a, []
-        for end in chunk_ends(found.hashes[a:b]):
-            out.append((found.data[found.starts[at] : found.ends[a + end - 1]], a + end - at))
-            at = a + end
-        yield out
-
-
-def _digest(chunk: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(chunk, digest_size=8).digest(), "little", signed=True)
-
-
-def _rows(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        rows = [(i, k, _digest(c), *([c] * with_text)) for i, chunks in zip(batch.column(0).to_pylist(), _chunks(texts_of(batch, "text")), strict=True) for k, (c, n) in enumerate(chunks) if n >= LEAST and c.strip()]
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())[: 3 + with_text]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["doc_id", "idx", "digest", "chunk"][: 3 + with_text])
+
+def _blank_lines(found: Pieces) -> np.ndarray:
+    full = np.concatenate(([0], np.cumsum(~_BLANK[np.frombuffer(found.data, np.uint8)])))
+    return full[found.starts] == full[found.ends]
 
 
-def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _boundaries(found: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts: the places of the lines that begin a chunk, and whether a line of the same text is before the chunk, and after it."""
+    row = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
+    blank = _blank_lines(found)
+    tied = row[1:] == row[:-1]
+    value = np.where(blank[1:] & blank[:-1], _NEVER, runs(found.hashes, 2))
+    before, after = np.concatenate(([False], tied))[:-1], np.concatenate((tied, [False]))[1:]
+    least = ~before | ~after
+    least[1:] |= value[1:] <= value[:-1]
+    least[:-1] |= value[:-1] <= value[1:]
+    at = np.flatnonzero(tied & least & (value != _NEVER))
+    return at, before[at], after[at]
+
+
+def boundaries(text: str) -> list[int]:
+    """The lines of one text at which a chunk begins."""
+    return _boundaries(Pieces([text.encode()], b"\n", empty=True))[0].tolist()
+
+
+def _batch(rows: dict[str, tuple[np.ndarray | list, pa.DataType, np.ndarray | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t, mask=m) for x, t, m in rows.values()], list(rows))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk: doc_id, place of its first line, hash, and its hashes with the line before and the line after (null without one)."""
     for batch in slices(batches, "text"):
-        texts, lines, removed = [], [], []
-        given = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        drops = batch.column(batch.schema.get_field_index("drops")).to_pylist()
-        for old, drop, chunks in zip(given, drops, _chunks(texts_of(batch, "text")), strict=True):
-            lines.append(sum(n for _, n in chunks) if old else 0)
-            if not drop:
-                texts.append(old)
-                removed.append(0)
-                continue
-            at = {(d["idx"], d["chunk"]) for d in drop}
-            kept = [c for k, (c, n) in enumerate(chunks) if (k, c) not in at]
-            texts.append(b"\n".join(kept).decode("utf-8"))
-            removed.append(sum(n for k, (c, n) in enumerate(chunks) if (k, c) in at))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names)
+        found = Pieces(texts_of(batch, "text"), b"\n", empty=True)
+        at, before, after = _boundaries(found)
+        row = np.searchsorted(found.first, at, side="right") - 1
+        pair, triple = runs(found.hashes, 2).view(np.int64), np.concatenate((runs(found.hashes, 3).view(np.int64), [0, 0]))
+        yield _batch({
+            "doc_id": (batch.column(0).to_numpy(zero_copy_only=False)[row], pa.int64(), None), "at": ((at - found.first[row]).astype(np.int32), pa.int32(), None), "hash": (pair[at], pa.int64(), None),
+            "before": (triple[at - 1], pa.int64(), ~before), "after": (triple[at], pa.int64(), ~after)})
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's repeated chunks, and three lines around each; these are wanted where a removed chunk ends and no other goes on."""
+    for batch in batches:
+        flat = batch.column(1).flatten()
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column(1))))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)[row]
+        at, later = flat.field("at").to_numpy(), flat.field("later").to_numpy(zero_copy_only=False)
+        line = row * 2**32 + at
+        gone = np.concatenate((line[later], line[later] + 1))
+        sides = [(at, 2, "hash", np.ones(len(at), bool)), (at - 1, 3, "before", later & ~np.isin(line - 1, gone)), (at, 3, "after", later & ~np.isin(line + 2, gone))]
+        for start, lines, name, wanted in sides:
+            digest = flat.field(name)
+            known = np.flatnonzero(digest.is_valid())
+            yield _batch({
+                "doc_id": (ids[known], pa.int64(), None), "at": (start[known], pa.int32(), None), "lines": (np.full(len(known), lines), pa.int32(), None),
+                "hash": (digest.drop_null().to_numpy(), pa.int64(), None), "wanted": (wanted[known], pa.bool_(), None)})
+
+
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks at the places `ats`, with their bytes."""
+    for batch in slices(batches, "text"):
+        found = Pieces(texts_of(batch, "text"), b"\n", empty=True)
+        rows = [(i, d["at"], d["hash"], found.data[found.starts[a + d["at"]] : found.ends[a + d["at"] + d["lines"] - 1]]) for i, ats, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), found.first.tolist(), found.first[1:].tolist(), strict=False) for d in ats if a + d["at"] + d["lines"] <= b]
+        yield _batch({k: ([r[j] for r in rows], t, None) for j, (k, t) in enumerate((("doc_id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("chunk", pa.binary())))})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents (all columns in a struct `row`) with text, n_lines and n_removed after removing repeated chunks.
+def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of rows with a place (doc_id, at): the keys that stand at more than one, and the first place of each as `one`."""
+    place = F.struct("doc_id", "at")
+    return rows.groupBy(*keys).agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other").drop("other")
 
-    Lines end at \\n. Null texts stay null and have no lines; empty texts too; chunks of blank lines are left alone. Rows of
-    the same id count as one document: their chunks at the same place are one occurrence, so a repeated row keeps what
-    its twin keeps. Rows with a null id are returned as they are and are nobody's first occurrence.
-    """
-    prepared(docs.sparkSession)
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
-    light = given.where("doc_id is not null").select("doc_id", "text")
-    chunks = light.mapInArrow(lambda x: _rows(x, True), "doc_id long, idx int, digest long, chunk binary")
-    repeated = chunks.groupBy("digest", "chunk").agg(F.min(F.struct("doc_id", "idx")).alias("one"), F.max(F.struct("doc_id", "idx")).alias("other")).where("one < other")
-    repeated = stored(repeated.select("digest", "chunk", "one"), "repeated")
-    places = light.mapInArrow(lambda x: _rows(x, False), "doc_id long, idx int, digest long")
-    drops = places.join(repeated, "digest").where(F.struct("doc_id", "idx") != F.col("one")).groupBy("doc_id").agg(F.collect_list(F.struct("idx", "chunk")).alias("drops"))
-    joined = given.join(drops, "doc_id", "left").select("text", "row", "drops")
+
+def _later(lines: Column) -> Column:
+    """Whether a place comes after `one`, without overlap."""
+    return (F.col("doc_id") > F.col("one.doc_id")) | (F.col("doc_id") == F.col("one.doc_id")) & (F.col("at") >= F.col("one.at") + lines)
+
+
+def _left(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents without the chunks `drops` (doc_id, at, lines, chunk)."""
+    of = drops.groupBy("doc_id").agg(F.collect_list(F.struct("at", "lines", "chunk")).alias("drops"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    joined = given.join(of, "doc_id", "left").select(F.col("row")[text_col].cast("string").alias("text"), "row", "drops")
     schema = f"row {given.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed long"
     return joined.mapInArrow(lambda x: _without(x, ["row", "text", "n_lines", "n_removed"]), schema)
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[list(SPACES)] = True
-
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents (all columns in a struct `row`) with text, n_lines and n_removed after removing repeated chunks.
 
-def _blank_lines(found: Pieces) -> np.ndarray:
-    full = np.concatenate(([0], np.cumsum(~_BLANK[np.frombuffer(found.data, np.uint8)])))
-    return full[found.starts] == full[found.ends]
+    Removed are each three neighbouring lines, not all blank, that begin earlier (a smaller doc_id, or three or more lines
+    before in the same text), and each two that are a chunk here and at an earlier place. At least the first occurrence of
+    each line is kept. Blank lines between removed ones go with them. Lines end at \\n. Null texts stay null and
+    have no lines; empty texts too; blank lines alone are left. Rows of the same id count as one document: their
+    chunks at the same place are one occurrence, so a repeated row keeps what its twin keeps. Rows with a null id are
+    returned as they are and are nobody's first occurrence. A text needs about 30 times its bytes of memory in its
+    task, a single line of any length too. Columns may have any names, since they stay in `row`; an empty table gives an
+    empty result.
+    """
+    prepared(docs.sparkSession)
+    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    chunks = light.mapInArrow(_chunks, "doc_id long, at int, hash long, before long, after long")
+    met = stored(_repeated(chunks, "hash"), "met")
+    own = chunks.join(met, "hash").groupBy("doc_id").agg(F.collect_set(F.struct("at", "hash", "before", "after", _later(F.lit(2)).alias("later"))).alias("chunks"))
+    around = stored(own.mapInArrow(_candidates, "doc_id long, at int, lines int, hash long, wanted boolean"), "around")
+    hot = around.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("one"), F.max(F.struct("doc_id", "at")).alias("other"), F.max("wanted").alias("wanted")).where("one < other and wanted").select("hash")
+    places = stored(around.select("doc_id", "at", "lines", "hash").join(hot, "hash"), "places")
+    hits = places.groupBy("doc_id").agg(F.collect_set(F.struct("at", "lines", "hash")).alias("ats"))
+    compared = light.join(hits, "doc_id").mapInArrow(_bytes, "doc_id long, at int, hash long, chunk binary")
+    repeated = stored(_repeated(compared, "hash", "chunk"), "repeated")
+    return _left(docs, places.join(repeated, "hash").where(_later(F.col("lines"))), id_col, text_col)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
@@ -137,7 +168,7 @@ def _pair_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "at", "hash", "pair"])
 
 
-def _without_pairs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         texts, lines, removed = [], [], []
         given = batch.column(batch.schema.get_field_index("text")).to_pylist()
@@ -149,8 +180,8 @@ def _without_pairs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Itera
             gone = np.zeros(b - a, bool)
             for d in drop or ():
                 at = a + d["at"]
-                if at + 1 < b and found.data[found.starts[at] : found.ends[at + 1]] == d["pair"]:
-                    gone[d["at"] : d["at"] + 2] = True
+                if at + d["lines"] <= b and found.data[found.starts[at] : found.ends[at + d["lines"] - 1]] == d["chunk"]:
+                    gone[d["at"] : d["at"] + d["lines"]] = True
             removed.append(0)
             if not gone.any():
                 texts.append(old)
@@ -165,7 +196,7 @@ def _without_pairs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Itera
 
 
 def dedup_passages(docs: DataFrame, every: int = EVERY_PAIR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As dedup_lines, but without each run of two or more lines that stands line for line at an earlier place.
+    """As dedup_lines, but without each run of two or more lines, too, that stands line for line at an earlier place.
 
     Two neighbouring lines, not both blank, are removed if the same two lines begin earlier (a smaller doc_id, or two or
     more lines before in the same text). At least the first occurrence of each line is kept. Pairs that share a hash with
@@ -175,23 +206,16 @@ def dedup_passages(docs: DataFrame, every: int = EVERY_PAIR, id_col: str = "doc_
     empty table gives an empty result.
     """
     prepared(docs.sparkSession)
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
     light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     pairs = light.mapInArrow(lambda x: _pairs(x, every), "doc_id long, at int, hash long")
-    place = F.struct("doc_id", "at")
-    met = stored(pairs.groupBy("hash").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other").select("hash"), "met")
+    met = stored(_repeated(pairs, "hash").select("hash"), "met")
     hits = pairs.join(met, "hash").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
     compared = light.join(hits, "doc_id").mapInArrow(_pair_bytes, "doc_id long, at int, hash long, pair binary")
-    repeated = compared.groupBy("hash", "pair").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other")
-    repeated = stored(repeated.select("hash", "pair", "one"), "repeated")
-    later = (F.col("doc_id") > F.col("one.doc_id")) | (F.col("doc_id") == F.col("one.doc_id")) & (F.col("at") >= F.col("one.at") + 2)
-    drops = pairs.join(repeated, "hash").where(later).groupBy("doc_id").agg(F.collect_list(F.struct("at", "pair")).alias("drops"))
-    joined = given.join(drops, "doc_id", "left").select(F.col("row")[text_col].cast("string").alias("text"), "row", "drops")
-    schema = f"row {given.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed long"
-    return joined.mapInArrow(lambda x: _without_pairs(x, ["row", "text", "n_lines", "n_removed"]), schema)
+    repeated = stored(_repeated(compared, "hash", "pair"), "repeated")
+    return _left(docs, pairs.join(repeated, "hash").where(_later(F.lit(2))).select("doc_id", "at", F.lit(2).alias("lines"), F.col("pair").alias("chunk")), id_col, text_col)
 
 
 def op9_content_defined_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed lines, kept_sha256 (hex digest of the text that is left)."""
-    out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
