@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -36,12 +37,16 @@ def _size_class(size: Column) -> Column:
     return sum((F.when(size > SMALL_BYTES * STEP**k, 1).otherwise(0) for k in range(CLASSES)), F.lit(0))
 
 
-def _pages(pages: DataFrame, least: int, null_ids: bool) -> tuple[DataFrame, DataFrame]:
-    """The pages with payload_bytes, digest, size class and `no` (null for a page_id that stands once), and the owners of repeated payloads."""
+def _pages(pages: DataFrame, least: int, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pages with payload_bytes, digest, size class and `no` (null for a page_id that stands once), the owners of repeated payloads, and the pages without payloads.
+
+    The last is a table that one pass over the pages makes; what is settled on ids and digests reads it alone.
+    """
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     given = given.withColumn("payload_bytes", F.octet_length("html")).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("class", _size_class(F.col("payload_bytes")))
     known = given.where("page_id is not null")
-    repeated = stored(known.groupBy("page_id").count().where("count > 1").select("page_id"), "repeated")
+    light = stored(given.select("page_id", "payload_bytes", "digest", "class"), "light")
+    repeated = stored(light.where("page_id is not null").groupBy("page_id").count().where("count > 1").select("page_id"), "repeated")
     named = known.withColumn("no", F.lit(None).cast("string"))
     if not repeated.isEmpty():
         number = F.row_number().over(Window.partitionBy("page_id", "digest", "payload_bytes").orderBy("url"))
@@ -49,9 +54,9 @@ def _pages(pages: DataFrame, least: int, null_ids: bool) -> tuple[DataFrame, Dat
         named = named.join(repeated, "page_id", "left_anti").unionByName(again)
     if null_ids:
         named = named.unionByName(given.where("page_id is null").withColumn("no", F.concat(F.col("class").cast("string"), F.lit("."), F.monotonically_increasing_id().cast("string"))))
-    owners = given.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null").drop("n")
+    owners = light.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null").drop("n")
     owners = owners.join(repeated.select(F.col("page_id").alias("owner"), F.lit(True).alias("owner_repeated")), "owner", "left")
-    return named, owners.withColumn("owner_no", F.when(F.col("owner_repeated"), F.concat("digest", F.lit(".1")))).drop("owner_repeated")
+    return named, owners.withColumn("owner_no", F.when(F.col("owner_repeated"), F.concat("digest", F.lit(".1")))).drop("owner_repeated"), light
 
 
 def records(pages: DataFrame, least: int = LEAST_BYTES, null_ids: bool = False, date: str | None = None) -> DataFrame:
@@ -67,11 +72,11 @@ def records(pages: DataFrame, least: int = LEAST_BYTES, null_ids: bool = False,
     return _records(*_pages(pages, least, null_ids), least, date)
 
 
-def _records(named: DataFrame, owners: DataFrame, least: int, date: str | None) -> DataFrame:
+def _records(named: DataFrame, owners: DataFrame, light: DataFrame, least: int, date: str | None) -> DataFrame:
     # Which pages revisit another is settled on ids; payloads, most of which are alike perhaps, are dealt by page.
     payload = ["digest", "payload_bytes"]
     known = named.where("page_id is not null")
-    revisits = known.where(F.col("payload_bytes") >= least).select("page_id", *payload).join(owners, payload).where("owner <> page_id").distinct()
+    revisits = light.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", *payload).join(owners, payload).where("owner <> page_id").distinct()
     rows = known.join(revisits, ["page_id", *payload], "left").unionByName(named.where("page_id is null").join(owners, payload, "left"))
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     again = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id"))
@@ -98,12 +103,12 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, null_i
     Pages of each size class are written apart, larger ones fewer at a time, so that an archive holds about
     ARCHIVE_RECORDS / 3 * SMALL_BYTES bytes of payload, or one page.
     """
-    named, owners = _pages(pages, least, null_ids)
+    named, owners, light = _pages(pages, least, null_ids)
     owners = stored(owners, "owners")
-    found = sorted(r[0] for r in named.select("class").distinct().collect())
+    found = sorted(r[0] for r in light.select("class").distinct().collect())
     for k, c in enumerate(found or [0]):
         most = 3 * max(1, ARCHIVE_RECORDS // 3 // STEP**c)
-        out = _records(named.where(F.col("class") == c), owners, least, date).write.mode("append" if k else "errorifexists")
+        out = _records(named.where(F.col("class") == c), owners, light.where(F.col("class") == c), least, date).write.mode("append" if k else "errorifexists")
         out.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     return path
 
@@ -121,13 +126,35 @@ def _hex(digest: str | None) -> str | None:
     return base64.b32decode(value.upper()).hex() if kind.lower() in ("sha1", "") and len(value) == 32 else value.lower()
 
 
+class _Unzipped(io.RawIOBase):
+    """The bytes of a gzip file up to where it is damaged; what is wrong there, if anything, is in `damage`."""
+
+    damage: Exception | None = None
+
+    def __init__(self, archive: bytes):
+        self._file = gzip.GzipFile(fileobj=io.BytesIO(archive))
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        try:
+            data = self._file.read1(len(buffer))
+        except (EOFError, OSError, zlib.error) as e:
+            self.damage, data = e, b""
+        buffer[: len(data)] = data
+        return len(data)
+
+
 def parse(archive: bytes, with_payload: bool = True) -> Iterator[tuple]:
     """The records of one archive, with as many gzip members as it has.
 
     A response's payload length and digest are taken from its payload, a revisit's from its header (null if absent). The
-    record's WARC-Concurrent-To may stand several times; of other repeated fields the last one counts.
+    record's WARC-Concurrent-To may stand several times; of other repeated fields the last one counts. Damage raises one of
+    DAMAGE once the records before it are given out.
     """
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(archive)))
+    unzipped = _Unzipped(archive)
+    stream = io.BufferedReader(unzipped)
     while line := stream.readline():
         if line == b"\r\n":
             continue
@@ -141,6 +168,8 @@ def parse(archive: bytes, with_payload: bool = True) -> Iterator[tuple]:
             if k.strip().lower() == "warc-concurrent-to":
                 beside.append(v.strip())
         block = stream.read(int(head["content-length"]))
+        if len(block) < int(head["content-length"]):
+            raise EOFError("the archive ends within a record")
         kind, payload, size, digest = head["warc-type"], None, None, None
         if kind == "response":
             payload = block.partition(b"\r\n\r\n")[2]
@@ -148,25 +177,62 @@ def parse(archive: bytes, with_payload: bool = True) -> Iterator[tuple]:
         elif kind == "revisit":
             size, digest = int(head["x-payload-length"]) if "x-payload-length" in head else None, _hex(head.get("warc-payload-digest"))
         yield head["warc-record-id"], kind, beside, head.get("warc-refers-to"), head.get("warc-target-uri"), size, digest, payload if with_payload else None
+    if unzipped.damage:
+        raise unzipped.damage
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
+#: What a truncated or altered archive raises.
+DAMAGE = (EOFError, OSError, zlib.error, ValueError, KeyError)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], with_payload: bool, keep: bool) -> Iterator[pa.RecordBatch]:
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
     for batch in batches:
-        for archive in batch.column(0):
+        for path, archive in zip(batch.column(0), batch.column(1), strict=True):
             rows: list[tuple] = []
-            for row in parse(archive.as_py(), with_payload):
-                rows.append(row)
-                if len(rows) == 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
-                    rows = []
+            try:
+                for row in parse(archive.as_py(), with_payload):
+                    rows.append(row)
+                    if len(rows) == 1000:
+                        yield made(rows)
+                        rows = []
+            except DAMAGE as e:
+                if not keep:
+                    raise ValueError(f"{path}: {e!r}") from e
+                rows.append((None, "damaged", [], None, path.as_py(), None, None, None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+                yield made(rows)
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, keep_damaged: bool = False) -> DataFrame:
+    """The records of the archives under path.
+
+    An archive that is cut off, no gzip or not made of records with a type, an id and a length ends the job with its
+    name. With keep_damaged its records before the damage are returned, and one more of type `damaged` that has the
+    archive's path as its target and no id.
+    """
     prepared(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(lambda x: _parsed(x, with_payload), RECORD)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    return files.mapInArrow(lambda x: _parsed(x, with_payload, keep_damaged), RECORD)
+
+
+def _captures(rows: DataFrame) -> DataFrame:
+    """The records with the id that stands for their capture.
+
+    A record tied to just one other, and that nothing is tied to, goes where that one goes. In plain archives these are
+    all that have links; only what is left has its components searched.
+    """
+    links = rows.select("record_id", F.explode("concurrent_to").alias("beside"))
+    ends = links.select(F.col("record_id").alias("node"), "beside", F.lit(False).alias("met")).union(links.select("beside", F.lit(None).cast("string"), F.lit(True)))
+    sums = ends.groupBy("node").agg(F.min("beside").alias("least"), F.max("beside").alias("most"), F.max("met").alias("met"))
+    knots = stored(sums.where("least is not null and (met or least < most)").select(F.col("node").alias("record_id")), "knots")
+    beside = F.get("concurrent_to", F.lit(0))
+    if knots.isEmpty():
+        return rows.withColumn("capture", F.coalesce(beside, "record_id"))
+    tied = stored(components(links.join(knots, "record_id", "left_semi"), "record_id", "beside"), "tied")
+    own = tied.select(F.col("node").alias("record_id"), F.col("component").alias("own"))
+    other = tied.select(F.col("node").alias("beside"), F.col("component").alias("other"))
+    return rows.withColumn("beside", beside).join(own, "record_id", "left").join(other, "beside", "left").withColumn("capture", F.coalesce("own", "other", "beside", "record_id"))
 
 
 def assemble(rows: DataFrame) -> DataFrame:
@@ -174,13 +240,12 @@ def assemble(rows: DataFrame) -> DataFrame:
 
     Records that WARC-Concurrent-To ties, over any number of steps and in any direction, make a capture; a record that
     nothing is tied to is one of its own. Of several records of one kind the one with the largest id is kept. page_id is
-    null for ids that write_archives() did not give. The rows are read twice.
+    null for ids that write_archives() did not give. Records of damaged archives are passed over where they have no id. The
+    rows are read twice.
     """
-    tied = components(rows.select("record_id", F.explode("concurrent_to").alias("beside")), "record_id", "beside")
     record = F.struct(*_NAMES)
     first = lambda *kinds: F.max_by(F.when(F.col("type").isin(*kinds), record), F.when(F.col("type").isin(*kinds), F.col("record_id")))
-    of = rows.join(tied.withColumnRenamed("node", "record_id"), "record_id", "left")
-    grouped = of.groupBy(F.coalesce("component", "record_id").alias("capture")).agg(first("response", "revisit").alias("response"), first("request").alias("request"), first("metadata").alias("metadata"))
+    grouped = _captures(rows.where("record_id is not null")).groupBy("capture").agg(first("response", "revisit").alias("response"), first("request").alias("request"), first("metadata").alias("metadata"))
     return grouped.select(page_of(F.coalesce("response.record_id", "request.record_id", "capture")).alias("page_id"), "response", "request", "metadata")
 
 
