@@ -138,7 +138,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = stored(_repeated(chunks, "hash"), "met")
     own = chunks.join(met, "hash").groupBy("doc_id").agg(F.collect_set(F.struct("at", "hash", "before", "after", _later(F.lit(2)).alias("later"))).alias("chunks"))
     around = stored(own.mapInArrow(_candidates, "doc_id long, at int, lines int, hash long, wanted boolean"), "around")
+    # Stored, so that the join below has an exchange of its own on either side and a very common chunk can be split.
     hot = around.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("one"), F.max(F.struct("doc_id", "at")).alias("other"), F.max("wanted").alias("wanted")).where("one < other and wanted").select("hash")
+    hot = stored(hot, "hot")
     places = stored(around.select("doc_id", "at", "lines", "hash").join(hot, "hash"), "places")
     hits = places.groupBy("doc_id").agg(F.collect_set(F.struct("at", "lines", "hash")).alias("ats"))
     compared = light.join(hits, "doc_id").mapInArrow(_bytes, "doc_id long, at int, hash long, chunk binary")
