@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_matching import BAD, LOG, lines, parsed, results_of
+from textweir.jobs import queries
 from textweir.jobs.replay import replay_folder, replay_log
 from textweir.jobs.replay import replayed as replayed_results
 from textweir.operators import lifecycle
@@ -155,3 +156,22 @@ def test_growing_folder_of_log_files_is_the_batch(spark, tmp_path):
     assert got == sorted(map(tuple, replay_log(spark, str(whole)).collect())) and len(got) == 7
     _, bad = cmd.validate_commands(cmd.parse_commands(cmd.read_command_log(spark, str(whole))))
     assert sorted((r.cmd, r.id or -1, r.reason) for r in streams.refused(spark, p("state")).collect()) == sorted((r.cmd, r.id or -1, r.reason) for r in bad.collect())
+
+
+def given_tables(spark, path):
+    """documents, some without a legal word, and a benchmark whose queries are all open or start early."""
+    texts = ["silver rings and golden things", "Von.", None, "", "golden things", "Ah! 12, oh.", "silver lining"]
+    spark.createDataFrame(list(enumerate(texts, 30)), "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    items = [(0, "silver golden rings"), (1, "golden things"), (2, "lining silver sliver")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_documents_without_a_legal_word_are_delivered_by_the_replay(spark, tmp_path):
+    d = given_tables(spark, tmp_path)
+    got = sorted(tuple(r) for r in queries.replay_stream(spark, d).collect())
+    assert got == sorted(tuple(r) for r in queries.document_results(spark, d).collect())
+    assert [r[0] for r in got] == list(range(30, 37)) and any(r[1] for r in got) and (31, 0, "") in got
+    rows = ["m 1 0", "m 2", "m 3 2", "m 4 0 Bad", "m 1 1 ring"]
+    reasons = lambda *x: [r[0] for r in parsed(spark, rows).orderBy("seq").select(cmd.unsound(*x)).collect()]
+    assert reasons(True) == [None, "too few fields", "too few fields", "characters", None] and reasons()[0] == "too few fields"
