@@ -321,3 +321,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(found) == [1, 2, 3, 4, 5, 6] and all(r.request and r.metadata for r in found.values())
     assert bytes(found[5].response.payload).decode() == body and found[1].response.type == "revisit" and found[1].response.refers_to == "<urn:page:response:5>"
     assert found[2].response.payload_digest == hashlib.sha1(body.encode()).hexdigest() and found[4].response.type == found[6].response.type == "response"
+
+
+def test_embedding_links_do_not_depend_on_the_size(spark, monkeypatch):
+    """The same vectors in a table of their own and among others, with the old limits of the sizes drawn in to between the two."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(150, 16))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1)[:, None] * a
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    few = list(enumerate([*a.tolist(), *b.tolist()]))
+    far = np.zeros((200, 24))
+    far[:, 16:] = rng.normal(size=(200, 8))  # of another length, so they link with none of the others
+    monkeypatch.setattr(embeddings, "SETTINGS", ((400, 1, 12.0, 1, 1), (1 << 62, 2, 4.0, 7, 16)))
+    got = lambda rows: {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(vector_frame(spark, rows)).collect()}
+    small, large = got(few), got([*few, *enumerate(far.tolist(), 1000)])
+    assert small == {i: large[i] for i in small} and sum(n for n, _ in small.values()) >= 280

@@ -2,8 +2,8 @@
 
 Each of several tables projects the unit vectors to one or two times eight orthonormal random directions, scales them, and
 takes the nearest E8 points as home cell; a vector also probes the neighbouring cells that it is nearest to. How fine the
-cells are, how many are probed and how many tables there are follows the number of vectors (SETTINGS), so that a cell
-holds some hundred vectors at any size.
+cells are, how many are probed and how many tables there are is one setting for tables of all sizes (SETTING), so whether
+two vectors are found is a matter of these two alone, whatever else the table holds.
 
 A cell first receives its vectors' ids and sketches (128 signs of random projections), 33 bytes each, and tells which of
 them have a neighbour at all; only these travel as vectors, in their own precision, and are compared by cosine in
@@ -26,17 +26,18 @@ from pyspark.sql import functions as F
 from textweir.llm.shared import components, constants, dropped, mixed, prepared, stored, table
 
 COSINE = 0.9
-#: Up to so many distinct vectors: lattice blocks, scale, probes, tables. Simulated: a pair at cosine 0.9 meets with
-#: probability 0.996 or more, two random vectors share a home cell with 4e-3, 2e-4, 2e-5 and 8e-7.
+#: Lattice blocks, scale, probes, tables. Simulated: of pairs at cosine 0.9, 5 to 7 in 10,000 do not meet (8, 64 and 256
+#: dimensions), two random vectors of 64 dimensions share a home cell with probability 2e-5.
+SETTING = (2, 4.0, 7, 16)
+#: Others that a caller may name, with the number of distinct vectors up to which their cells hold some hundred. Simulated: a pair at
+#: cosine 0.9 meets with probability 0.996 or more, two random vectors share a home cell with 4e-3, 2e-4, 2e-5 and 8e-7.
 SETTINGS = ((200_000, 1, 4.0, 3, 5), (5_000_000, 1, 6.0, 7, 8), (200_000_000, 2, 4.0, 7, 14), (1 << 62, 2, 5.0, 7, 28))
 #: Sketches of neighbours differ in at most so many of 128 signs: at cosine 0.9 all but 2 in 100,000 do, of random pairs 1 in a million.
 SKETCH_WORDS, SKETCH_DIFFER = 2, 36
 #: Rows of a cell that are compared at once: sketches, vectors.
 SKETCH_ROWS, BLOCK_ROWS = 1000, 500
-
-
-def settings(vectors: int) -> tuple[int, float, int, int]:
-    return next(x[1:] for x in SETTINGS if vectors <= x[0])
+#: Pairs whose cells are compared at once.
+PAIR_ROWS = 20_000
 
 
 def e8_decode(x: np.ndarray) -> np.ndarray:
@@ -248,8 +249,11 @@ def _links(batches: Iterator[pa.RecordBatch], least: float, single: bool, settin
         near = (x[left] @ x[right].T >= least) & (home[left][:, None] | home[right][None])
         a, b = np.nonzero(np.triu(near, 1) if same else near)
         a, b = left[a], right[b]
+        if not len(a):
+            continue
         keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), setting[3], -1)
-        here = _first_cell(keys[a], keys[b]) == group.column("key")[0].as_py()
+        first = [_first_cell(keys[a[k : k + PAIR_ROWS]], keys[b[k : k + PAIR_ROWS]]) for k in range(0, len(a), PAIR_ROWS)]
+        here = np.concatenate(first) == group.column("key")[0].as_py()
         a, b = a[here], b[here]
         if not len(a):
             continue
@@ -288,7 +292,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Vectors that are null, empty, zero or hold null or non-finite components have no links; neither have those with a
     null id, whose component is null. Vectors of different lengths are never linked. A cosine of exactly `least` is a link, as
     double precision has it. Rows of one id count each as a vector; repeated rows are linked with each other. Other
-    columns are ignored, whatever their names; an empty table gives an empty result. setting: as in SETTINGS, for tests.
+    columns are ignored, whatever their names; an empty table gives an empty result. setting: as SETTING, which None stands
+    for. It decides which links are found and never follows the table's size; a coarser one is cheaper for small tables.
     """
     prepared(vectors.sparkSession)
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
@@ -298,7 +303,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = given.mapInArrow(_usable, "vec_id long, v binary").withColumn("digest", F.unhex(F.sha2("v", 256)))
     nodes = rows.where("vec_id is not null and v is not null").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once, then read from files
-    setting = setting or settings(nodes.count())
+    setting = setting or SETTING
     hashed = nodes.select("node", "v").mapInArrow(lambda x: _hashed(x, single, setting), "key long, node long, home boolean, sketch binary")
     met = _in_blocks(hashed, _met, "key long, node long, home boolean", ["node", "home", "sketch"], SKETCH_ROWS).distinct()
     met = stored(met, "met")
