@@ -175,3 +175,15 @@ def test_documents_without_a_legal_word_are_delivered_by_the_replay(spark, tmp_p
     rows = ["m 1 0", "m 2", "m 3 2", "m 4 0 Bad", "m 1 1 ring"]
     reasons = lambda *x: [r[0] for r in parsed(spark, rows).orderBy("seq").select(cmd.unsound(*x)).collect()]
     assert reasons(True) == [None, "too few fields", "too few fields", "characters", None] and reasons()[0] == "too few fields"
+
+
+def test_replayed_log_finds_what_its_lines_lack(spark, tmp_path):
+    """Against lines of all results every document is right, against those of the exact queries the ids of the others are extra."""
+    d = given_tables(spark, tmp_path)
+    got = {r.doc_id: r for r in queries.replay_log(spark, d).collect()}
+    exact = {r.doc_id: r.query_ids for r in queries._results(spark, d)[1].join(queries.match_exact(spark, d).groupBy("doc_id").agg(F.collect_set("query_id").alias("same")), "doc_id", "left").select("doc_id", F.array_except("query_ids", F.coalesce("same", F.array().cast("array<bigint>"))).alias("query_ids")).collect()}
+    assert len(got) == 7 and {got[i].status for i in (31, 32, 33, 35)} == {"missing"}
+    for i in (30, 34, 36):
+        assert (got[i].status, got[i].missing_ids, got[i].extra_ids, got[i].exact_missing_ids) == ("ok", "", "", "")
+        assert (got[i].exact_status, got[i].exact_extra_ids) == ("wrong" if exact[i] else "ok", ",".join(map(str, exact[i])))
+    assert "wrong" in {r.exact_status for r in got.values()}
