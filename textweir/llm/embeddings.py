@@ -278,9 +278,13 @@ def _links(batches: Iterator[pa.RecordBatch], least: float, single: bool, settin
 
 
 def _in_blocks(rows: DataFrame, job: Callable, schema: str, names: list[str], rows_at_once: int) -> DataFrame:
-    """rows (key, node, ...) -> job over each pair of blocks of each key of two rows or more; rows of a key go to blocks by a hash of the node."""
+    """rows (key, node, ...) -> job over each pair of blocks of each key of two rows or more; rows of a key go to blocks by a hash of the node.
+
+    The counts, up to one for each cell of each vector, are never broadcast: Spark sizes them by the vectors' files, as if a
+    vector had one cell.
+    """
     counts = rows.groupBy("key").agg(F.count("*").alias("m"), F.max("home").alias("home")).where("m > 1 and home").select("key", F.ceil(F.col("m") / rows_at_once).cast("int").alias("blocks"))
-    dealt = rows.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.join(counts.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), (F.col("own") > F.col("peer")).cast("int").alias("side"), *names)
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(job, schema)
@@ -307,12 +311,13 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     hashed = nodes.select("node", "v").mapInArrow(lambda x: _hashed(x, single, setting), "key long, node long, home boolean, sketch binary")
     met = _in_blocks(hashed, _met, "key long, node long, home boolean", ["node", "home", "sketch"], SKETCH_ROWS).distinct()
     met = stored(met, "met")
-    full = met.join(nodes.select("node", "weight", "v"), "node")
+    # Nor are tables whose files say little of their rows: numbers of nodes take some bytes there, and ten times as much in a broadcast.
+    full = met.hint("merge").join(nodes.select("node", "weight", "v"), "node")
     found = stored(_in_blocks(full, lambda x: _links(x, least, single, setting), "a long, b long, n long", ["node", "home", "weight", "v"], rows_at_once), "links")
     dropped(met)
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comps = components(found.where("a <> b").select("a", "b"))
-    of = nodes.select("node", "digest", "least", "weight").join(comps, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = nodes.select("node", "digest", "least", "weight").join(comps.hint("merge"), "node", "left").join(counts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     top = of.groupBy("component").agg(F.min("least").alias("top"))
     of = of.join(top, "component").select("digest", "top", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
     out = rows.select("vec_id", "digest").join(of, "digest", "left")
