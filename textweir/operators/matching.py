@@ -10,6 +10,12 @@ from textweir.operators.lifecycle import active
 from textweir.operators.wordjoin import dictionary, index_thresholds, vocabulary, word_match_table
 from textweir.sources.tables import stored
 
+#: Bits of a distance, all set if there is none; words have 31 letters at most.
+_BITS = 6
+_NONE = (1 << _BITS) - 1
+#: Numbered query words that are broadcast, about 10 MB.
+BROADCAST_WORDS = 100_000
+
 
 def query_words(queries: DataFrame) -> DataFrame:
     """A row for each query word: query_id, pos, word, n_words, match_type, match_dist, start_seq, end_seq."""
@@ -108,9 +114,27 @@ def first_word_candidates(dwords: DataFrame, qwords: DataFrame, matches: DataFra
 
 
 def best_distances(dwords: DataFrame, matches: DataFrame) -> DataFrame:
-    """Per document and query word the least Hamming and the least edit distance (Hamming at most i implies edit at most i)."""
-    met = dwords.join(matches, dwords.word == matches.doc_word).select("doc_id", "query_word", "hamming", "edit")
-    return by_document(met).groupBy("doc_id", "query_word").agg(F.min("hamming").alias("best_hamming"), F.min(F.least("edit", "hamming")).alias("best_edit"))
+    """Per document and query word the least Hamming and the least edit distance (Hamming at most i implies edit at most i).
+
+    A word of a document meets many query words, so it travels to its document with one list of them, a long each. The
+    lists are joined in the order of the words: equal ones lie one behind another, and the exchange, which would hold a row for
+    each meeting, is about as large as the documents' words.
+    """
+    spark = dwords.sparkSession
+    matches = stored(matches, "matches")
+    numbers = stored(matches.select("query_word").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    if numbers.count() <= BROADCAST_WORDS:
+        numbers = F.broadcast(numbers)
+    held = lambda distance: F.coalesce(distance, F.lit(_NONE)).cast("long")
+    code = F.col("number") * (1 << 2 * _BITS) + held(F.col("hamming")) * (1 << _BITS) + held(F.least("edit", "hamming"))
+    lists = matches.join(numbers, "query_word").groupBy("doc_word").agg(F.collect_list(code).alias("codes"))
+    met = dwords.join(lists.hint("merge"), dwords.word == lists.doc_word).select("doc_id", "codes")
+    # As many partitions as are set: lists are small on the way and many rows when they are opened, so few partitions would spill.
+    dealt = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", F.explode("codes").alias("code"))
+    place = lambda i: F.shiftright("code", i * _BITS).bitwiseAND(F.lit(_NONE))
+    best = dealt.groupBy("doc_id", F.shiftright("code", 2 * _BITS).alias("number")).agg(F.min(place(1)).alias("h"), F.min(place(0)).alias("e"))
+    found = lambda c: F.when(F.col(c) < _NONE, F.col(c)).cast("int")
+    return best.join(numbers, "number").select("doc_id", "query_word", found("h").alias("best_hamming"), found("e").alias("best_edit"))
 
 
 def document_results(documents: DataFrame, matches: DataFrame) -> DataFrame:
